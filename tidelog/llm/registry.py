@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity_ordinal": toxicity.op1_toxicity_ordinal,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_cost_packing": packing.op4_cost_packing,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
 }
 
