@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, toxicity
+import corpus_pipeline
+
+from . import exact_dedup, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity_ordinal": toxicity.op1_toxicity_ordinal,
+    "op2_target_mix": mixing.op2_target_mix,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_cost_packing": packing.op4_cost_packing,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

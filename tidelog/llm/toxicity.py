@@ -25,8 +25,9 @@ SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean
 
 
 def words_of(text: str | None) -> set[str]:
-    """The distinct lower-cased words of a text, without the punctuation around them."""
-    return {w.strip(PUNCTUATION) for w in set((text or "").lower().split())} - {""}
+    """The features of a text: its distinct lower-cased words without the punctuation around them, and the stems (first four letters and *) of the longer ones."""
+    words = {w.strip(PUNCTUATION) for w in set((text or "").lower().split())} - {""}
+    return words | {w[:4] + "*" for w in words if len(w) > 5}
 
 
 @dataclass
@@ -41,7 +42,7 @@ class OrdinalModel:
         return np.diff(np.concatenate([np.zeros((len(score), 1)), below, np.ones((len(score), 1))], axis=1), axis=1)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_words: int, grades: int, l2: float = 2.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_words: int, grades: int, l2: float = 1.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by full-batch Adam on the penalised likelihood. (rows, cols): the words that are present."""
     n = len(y)
     share = np.clip(np.array([(y <= j).mean() for j in range(grades)]), 1e-3, 1 - 1e-3)
