@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, packing, secrets, simhash, toxicity
+from . import exact_dedup, licenses, mixing, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity_ordinal": toxicity.op1_toxicity_ordinal,
     "op2_target_mix": mixing.op2_target_mix,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_cost_packing": packing.op4_cost_packing,
+    "op5_license_diagonals": licenses.op5_license_diagonals,
     "op8_secret_ledger": secrets.op8_secret_ledger,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op8_secret_ledger": secrets.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_license_diagonals": licenses.ORACLE, "op8_secret_ledger": secrets.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
