@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, exact_dedup, licenses, mixing, packing, secrets, simhash, toxicity
+from . import chat, embeddings, exact_dedup, licenses, mixing, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity_ordinal": toxicity.op1_toxicity_ordinal,
@@ -12,12 +12,13 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_cost_packing": packing.op4_cost_packing,
     "op5_license_diagonals": licenses.op5_license_diagonals,
+    "op6_embedding_itq": embeddings.op6_embedding_itq,
     "op7_chat_template": chat.op7_chat_template,
     "op8_secret_ledger": secrets.op8_secret_ledger,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_license_diagonals": licenses.ORACLE, "op7_chat_template": chat.ORACLE, "op8_secret_ledger": secrets.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_license_diagonals": licenses.ORACLE, "op6_embedding_itq": embeddings.ORACLE, "op7_chat_template": chat.ORACLE, "op8_secret_ledger": secrets.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
