@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, embeddings, exact_dedup, licenses, mixing, packing, secrets, simhash, toxicity
+from . import chat, embeddings, exact_dedup, katz, licenses, mixing, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity_ordinal": toxicity.op1_toxicity_ordinal,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_embedding_itq": embeddings.op6_embedding_itq,
     "op7_chat_template": chat.op7_chat_template,
     "op8_secret_ledger": secrets.op8_secret_ledger,
+    "op9_katz_backoff": katz.op9_katz_backoff,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
     "pipeline": corpus_pipeline.run,
 }
