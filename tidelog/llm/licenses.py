@@ -14,23 +14,23 @@ PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 #: Templates (label, text) whose spans are looked for beside the phrases: well-known openings and grants of common licenses.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl", "released under the gnu general public license v3"),
     ("gpl", "licensed under the gnu general public license"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("cc-by-nc", "licensed under cc by nc 4.0"),
-    ("cc-by-sa", "licensed under cc by sa 4.0"),
-    ("cc-by", "licensed under cc by 4.0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form"),
 ]
 #: Diagonals this near to one another are one span; a span counts from this share of its template's grams.
-NEAR, LEAST = 3, 0.6
+NEAR, LEAST = 3, 0.7
 LONGEST = 64
 
 

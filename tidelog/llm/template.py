@@ -286,7 +286,9 @@ def fold_body(body: list[tuple], filters: dict[str, Callable]) -> list[tuple]:
                 cases.append((test, fold_body(inner, filters)))
                 if test[0] == "const":
                     break
-            if cases and cases[0][0][0] == "const":
+            if not cases:
+                continue
+            if cases[0][0][0] == "const":
                 for t in cases[0][1]:
                     _add(out, t)
                 continue
