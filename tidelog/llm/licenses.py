@@ -63,7 +63,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, long: list[t
     Every pair of neighbouring words of every whole text is joined by hash to its places in the templates (and compared, so a hash
     collision gives no vote); votes are summed by diagonal, the text's place less the template's. A phrase stands where its diagonal has
     all its pairs. Diagonals of a longer template at most ``near`` apart are merged and are a span if together they have ``least`` of its
-    pairs. score is the largest share of a span, 1 where a phrase stands, else 0. spans holds (label, base, first, last, share).
+    pairs. score is the largest share of a span, 1 where a phrase stands, else 0. spans holds (label, base, first word, word after the last, share).
 
     A null text counts as empty: no words, null first_word and last_word, empty labels. Rows that repeat id and text get the same result each. A
     null id is an id like any other. Empty input: no rows. The templates are constants, so their table is broadcast; the votes of a row
@@ -95,7 +95,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, long: list[t
         text(is_base).alias("base_labels"),
         text(F.col("ok")).alias("labels"),
         F.coalesce(F.max(F.when(F.col("ok"), F.col("share"))), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("label", "base", "first", "last", "share")))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("label", "base", "first", (F.col("last") + 1).alias("last"), "share")))).alias("spans"),
         F.max(F.when(F.col("tid").isNull(), F.col("n"))).cast("int").alias("copies"),
     )
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("th", "copy", "copies")
