@@ -84,6 +84,11 @@ class LogStore:
         rows = self.read()
         return None if rows is None else rows.filter(F.col(self.hlc) == key)
 
+    def cursor(self, version: int | None = None):
+        """Rows in key order, pulled one partition at a time."""
+        rows = self.read(version)
+        return iter(()) if rows is None else rows.orderBy(self.hlc).toLocalIterator()
+
     def verify(self, version: int | None = None) -> None:
         m, rows = self.manifest(version), self.read(version)
         if rows is None:
