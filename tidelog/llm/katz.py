@@ -5,7 +5,7 @@ columns (compressed arrays), a row a chunk and partition, and never as a row a t
 
   chunks    one row a chunk: token numbers, documents, and the chunk's words (hash, count in training documents); a table bucketed by chunk
   counted   words dealt by hash and summed over all chunks; each chunk gets its words' counts back, and N, V and the counts of counts come out
-  blocks    word pairs dealt by the first word (the context): per pair the word's count, its training count and the documents it stands in
+  blocks    word pairs dealt by the first word (the context): per pair the word's count and 40 bits of its hash, the training count and the documents
   scored    per partition of contexts: each document's sum over its seen pairs, and for unseen pairs the context's sums and the documents
 """
 
@@ -29,7 +29,7 @@ from .common import new_path, pick, table, written
 #: Counts up to this are discounted.
 KATZ = 5
 #: Tokens of a chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 START, END = b" start", b" end"  # no word holds a space
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -90,7 +90,7 @@ class Unigrams:
 CHUNKS = "chunk long, docs array<long>, lens binary, held binary, tokens binary, hashes binary, counts binary"
 DICTS = "p int, chunk long, h binary, lid binary, c binary"
 COUNTED = "chunk long, lid binary, c binary, n long, v long, " + ", ".join(f"r{r} long" for r in range(1, KATZ + 2))
-BLOCKS = "p int, chunk long, kind int, docs array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, i binary"
+BLOCKS = "p int, chunk long, kind int, docs array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, i binary, o binary"
 SCORED = "kind int, chunk long, docs array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, " + ", ".join(f"r{r} long" for r in range(1, KATZ + 2))
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -177,39 +177,45 @@ def pair_blocks(rows: DataFrame, parts: int, uni: Unigrams, starts: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, docs, lens, held, tokens, hashes, found in zip(*(x.to_pylist() for x in b.columns)):
-                lens, held, t, h = unpacked(lens, "<u4").astype(np.int64), unpacked(held, "<u1").astype(bool), unpacked(tokens, "<u4").astype(np.int64), unpacked(hashes, "<u8")
+                lens, held, t, h = unpacked(lens, "<u4").astype(np.int64), unpacked(held, "<u1").astype(bool), unpacked(tokens, "<u4").astype(np.int32), unpacked(hashes, "<u8")
                 c = np.zeros(len(h) + 1, np.int64)
                 for f in found:
                     c[unpacked(f["lid"], "<u4")] = unpacked(f["c"], "<u8").astype(np.int64)
                 h, c[-1] = np.append(h, first), starts
                 begin = np.cumsum(lens) - lens
-                sums = np.add.reduceat(np.log10(c[t] + 1.0) - base, begin)
-                yield batch([(chunk % parts, chunk, 1, docs, packed(lens, "<u4"), packed(held, "<u1"), packed(np.add.reduceat((c[t] > 0).astype(np.int64), begin), "<u4"), packed(sums, "<f8"), None, None, None, None)], schema)
-                prev = np.concatenate([[0], t[:-1]])
+                sums = np.add.reduceat(np.log10(c + 1.0)[t] - base, begin)
+                known = np.add.reduceat((c > 0).astype(np.int32)[t], begin)
+                yield batch([(chunk % parts, chunk, 1, docs, packed(lens, "<u4"), packed(held, "<u1"), packed(known, "<u4"), packed(sums, "<f8"), None, None, None, None, None)], schema)
+                # Words by count, then by hash: a pair's second word is known by both, which shortens what is sent.
+                word = np.minimum(c, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
+                prev = np.empty_like(t)
+                prev[1:] = t[:-1]
                 prev[begin] = len(h) - 1
-                doc = np.repeat(np.arange(len(lens)), lens)
+                doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
                 order = np.lexsort((doc, t, prev))
                 prev, t, doc = prev[order], t[order], doc[order]
-                new = np.concatenate([[True], (prev[1:] != prev[:-1]) | (t[1:] != t[:-1])])
-                pair = np.flatnonzero(new)
+                del order
+                pair = np.flatnonzero(np.concatenate([[True], (prev[1:] != prev[:-1]) | (t[1:] != t[:-1])]))
                 posts = np.diff(np.append(pair, len(t)))
-                train = np.add.reduceat((~held[doc]).astype(np.int64), pair)
-                ph, wh, ch, wc = h[prev[pair]], h[t[pair]], c[prev[pair]], c[t[pair]]
-                cuts = np.maximum(1, -(-ch // most)).astype(np.uint64)
-                p = ((ph + wh % cuts * np.uint64(0x9E3779B1)) % np.uint64(parts)).astype(np.int64)
+                train = np.add.reduceat((~held)[doc].astype(np.int32), pair)
+                prev, t = prev[pair], t[pair]
+                cuts = np.maximum(1, -(-c // most)).astype(np.uint64)[prev]
+                p = ((h[prev] + h[t] % cuts * np.uint64(0x9E3779B1)) % np.uint64(parts)).astype(np.int32)
                 by = np.argsort(p, kind="stable")
                 ends = np.searchsorted(p[by], np.arange(parts + 1))
-                start_post = np.cumsum(posts) - posts
                 out = []
                 for k in range(parts):
                     i = by[ends[k] : ends[k + 1]]
                     if not len(i):
                         continue
-                    n = posts[i]
-                    at = np.repeat(start_post[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    change = np.flatnonzero(np.concatenate([[True], ph[i][1:] != ph[i][:-1]]))
-                    heads = (packed(ph[i][change], "<u8"), packed(np.diff(np.append(change, len(i))), "<u4"), packed(ch[i][change], "<u8"))
-                    out.append((k, chunk, 0, None, *heads, packed(wh[i], "<u8"), packed(wc[i], "<u4"), packed(train[i], "<u4"), packed(n, "<u4"), packed(doc[at], "<u4")))
+                    n, v = posts[i], prev[i]
+                    at = np.repeat(pair[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    change = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                    kinds, w = np.unique(word[t[i]], return_inverse=True)
+                    counts = np.zeros(len(kinds), np.int64)
+                    counts[w] = c[t[i]]
+                    heads = (packed(h[v][change], "<u8"), packed(np.diff(np.append(change, len(i))), "<u4"), packed(c[v][change], "<u8"))
+                    out.append((k, chunk, 0, None, *heads, packed(np.diff(kinds, prepend=np.uint64(0)), "<u8"), packed(w, "<u4"), packed(train[i], "<u4"), packed(n, "<u4"), packed(doc[at], "<u4"), packed(np.maximum(counts - ((1 << 24) - 1), 0), "<u8")))
                 yield batch(out, schema)
 
     return rows.mapInArrow(run, BLOCKS)
@@ -231,18 +237,25 @@ def score_blocks(blocks: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
                     rows.append(r)
         if not rows:
             return
-        own = [(unpacked(r[4], "<u8"), unpacked(r[5], "<u4").astype(np.int64), unpacked(r[6], "<u8").astype(np.int64), unpacked(r[7], "<u8"), unpacked(r[8], "<u4").astype(np.int64), unpacked(r[9], "<u4").astype(np.int64), unpacked(r[10], "<u4").astype(np.int64), unpacked(r[11], "<u4").astype(np.int64)) for r in rows]
+        own = []
+        for r in rows:
+            words = np.cumsum(unpacked(r[7], "<u8"))
+            counts = (words >> np.uint64(40)).astype(np.int64) + unpacked(r[12], "<u8").astype(np.int64)
+            w = unpacked(r[8], "<u4")
+            own.append((unpacked(r[4], "<u8"), unpacked(r[5], "<u4").astype(np.int64), unpacked(r[6], "<u8").astype(np.int64), words[w], counts[w], unpacked(r[9], "<u4"), unpacked(r[10], "<u4").astype(np.int32), unpacked(r[11], "<u4").astype(np.int32)))
+        rows = [(r[0], r[1]) for r in rows]
         ph, ch = (np.concatenate([np.repeat(x[k], x[1]) for x in own]) for k in (0, 2))
         wh, wc, train, n, ref = (np.concatenate([x[k] for x in own]) for k in (3, 4, 5, 6, 7))
         docs = [int(x[7].max(initial=0)) + 1 for x in own]
         offset = np.cumsum([0, *docs])
-        doc = ref + np.repeat(offset[:-1], [len(x[7]) for x in own])
+        doc = ref + np.repeat(offset[:-1].astype(np.int32), [len(x[7]) for x in own])
+        del own, ref
         order = np.lexsort((wh, ph))
         a, w = ph[order], wh[order]
         context = np.concatenate([[True], a[1:] != a[:-1]])
         pair = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])])
         lead = np.flatnonzero(pair)
-        count = np.add.reduceat(train[order], lead)
+        count = np.add.reduceat(train[order].astype(np.int64), lead)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(pair) - 1
         ctx_of_pair = (np.cumsum(context) - 1)[lead]
@@ -360,7 +373,7 @@ def katz_scores(docs: DataFrame, held_out: str = "pmod(crc32(cast(coalesce(cast(
     one for ``held_out``. Repeated rows are documents of their own. With no training text every token is an unseen word. Empty input: no rows.
     """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     plain = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.expr(held_out).alias("held"), "text")
     name = f"tidelog_chunks_{uuid.uuid4().hex}"
     chunks(plain).write.format("parquet").bucketBy(parts, "chunk").option("path", new_path(spark, "chunks")).saveAsTable(name)
