@@ -57,7 +57,7 @@ def summary(rows: DataFrame, bucket: str = "bucket", key: str = "hlc") -> DataFr
 def balanced_summary(log: DataFrame, k: int = BUCKETS, key: str = "hlc") -> DataFrame:
     """``summary`` of k balanced buckets; the final window is over k rows."""
     placed = with_position(FP.with_lanes(log, key), key)
-    return summary(placed.crossJoin(F.broadcast(log.agg(F.count(F.lit(1)).alias("_n")))).withColumn("bucket", bucket_of(F.col("pos"), F.col("_n"), k)).drop("_n"), "bucket", key)
+    return summary(placed.withColumn("bucket", bucket_of(F.col("pos"), log.count(), k)), "bucket", key)
 
 
 def range_rows(log: DataFrame, key: str = "hlc") -> DataFrame:
@@ -79,8 +79,8 @@ def run_lengths(rows: DataFrame, value: str, order: str = "pos") -> DataFrame:
     starts = rows.join(before, rows[order] == before["_p"], "left").filter(F.col("_p").isNull() | ~F.col(value).eqNullSafe(F.col("_v")))
     starts = with_position(starts.select(F.col(order).alias("begin"), F.col(value).alias("value")), "begin").withColumnRenamed("pos", "run")
     after = starts.select((F.col("run") - 1).alias("_r"), F.col("begin").alias("_e"))
-    total = F.broadcast(rows.agg((F.max(order) + 1).alias("_n")))
-    return starts.join(after, starts["run"] == after["_r"], "left").crossJoin(total).select("run", "value", "begin", (F.coalesce("_e", "_n") - F.col("begin")).alias("length"))
+    end = (rows.agg(F.max(order)).first()[0] or 0) + 1
+    return starts.join(after, starts["run"] == after["_r"], "left").select("run", "value", "begin", (F.coalesce("_e", F.lit(end)) - F.col("begin")).cast("long").alias("length"))
 
 
 def with_previous(rows: DataFrame, column: str, name: str, order: str = "pos") -> DataFrame:

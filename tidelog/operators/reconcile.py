@@ -26,11 +26,12 @@ def compare(a: DataFrame, b: DataFrame, k: int = R.BUCKETS, key: str = "hlc") ->
     """a's balanced ranges with both sides' counts and fingerprints: range_idx, lower, upper, n_a, n_b, fp_a, fp_b, differs.
 
     Ranges are half open, from one bucket's first key to the next one's; the first has no lower bound and the last no upper one. b's keys are
-    placed by the k bounds, a constant number, which every task holds.
+    placed by the k - 1 inner bounds, which are literals of the plan.
     """
     ours = R.balanced_summary(a, k, key)
-    bounds = ours.agg(F.sort_array(F.collect_list(F.when(F.col("bucket") > 0, F.col("lower")))).alias("_b"))
-    placed = FP.with_lanes(b, key).crossJoin(F.broadcast(bounds)).withColumn("bucket", F.size(F.filter("_b", lambda x: x <= F.col(key))).cast("long"))
+    bounds = [r["lower"] for r in ours.filter("bucket > 0").select("lower").orderBy("lower").collect()]  # k - 1 at most
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(key))) if bounds else F.lit(0)
+    placed = FP.with_lanes(b, key).withColumn("bucket", place.cast("long"))
     theirs = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_b"), *FP.xor()).select("bucket", "n_b", FP.text().alias("fp_b"))
     out = ours.join(theirs, "bucket", "full_outer")
     lower = F.when(F.col("bucket") > 0, F.col("lower")).alias("lower")
