@@ -228,67 +228,77 @@ def score_blocks(blocks: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
     none = (0,) * (KATZ + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        names: list[int] = []
+        docs: list[int] = []
+        cols: list[list] = [[] for _ in range(7)]
         for b in batches:
-            for r in zip(*(x.to_pylist() for x in b.columns)):
+            for r in zip(*b.columns):
+                r = [x.as_py() for x in r]
                 if r[2] == 1:
                     yield batch([(1, r[1], r[3], r[4], r[5], r[6], r[7], None, None, None, *none)], schema)
-                else:
-                    rows.append(r)
-        if not rows:
+                    continue
+                words = np.cumsum(unpacked(r[7], "<u8"))
+                counts = (words >> np.uint64(40)).astype(np.int64) + unpacked(r[12], "<u8").astype(np.int64)
+                times, w, ref = unpacked(r[5], "<u4"), unpacked(r[8], "<u4"), unpacked(r[11], "<u4").astype(np.int32)
+                names.append(r[1])
+                docs.append(int(ref.max(initial=0)) + 1)
+                mine = (np.repeat(unpacked(r[4], "<u8"), times), np.repeat(unpacked(r[6], "<u8").astype(np.int64), times), words[w], counts[w], unpacked(r[9], "<u4"), unpacked(r[10], "<u4"), ref + np.int32(sum(docs[:-1])))
+                for c, x in zip(cols, mine):
+                    c.append(x)
+                del r, words, counts, times, w, ref, mine
+        if not names:
             return
-        own = []
-        for r in rows:
-            words = np.cumsum(unpacked(r[7], "<u8"))
-            counts = (words >> np.uint64(40)).astype(np.int64) + unpacked(r[12], "<u8").astype(np.int64)
-            w = unpacked(r[8], "<u4")
-            own.append((unpacked(r[4], "<u8"), unpacked(r[5], "<u4").astype(np.int64), unpacked(r[6], "<u8").astype(np.int64), words[w], counts[w], unpacked(r[9], "<u4"), unpacked(r[10], "<u4").astype(np.int32), unpacked(r[11], "<u4").astype(np.int32)))
-        rows = [(r[0], r[1]) for r in rows]
-        ph, ch = (np.concatenate([np.repeat(x[k], x[1]) for x in own]) for k in (0, 2))
-        wh, wc, train, n, ref = (np.concatenate([x[k] for x in own]) for k in (3, 4, 5, 6, 7))
-        docs = [int(x[7].max(initial=0)) + 1 for x in own]
         offset = np.cumsum([0, *docs])
-        doc = ref + np.repeat(offset[:-1].astype(np.int32), [len(x[7]) for x in own])
-        del own, ref
-        order = np.lexsort((wh, ph))
-        a, w = ph[order], wh[order]
+
+        def whole(k: int) -> np.ndarray:
+            out, cols[k] = np.concatenate(cols[k]), []
+            return out
+
+        ph, wh = whole(0), whole(2)
+        order = np.lexsort((wh, ph)).astype(np.int32)
+        a = ph[order]
         context = np.concatenate([[True], a[1:] != a[:-1]])
-        pair = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])])
-        lead = np.flatnonzero(pair)
-        count = np.add.reduceat(train[order].astype(np.int64), lead)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(pair) - 1
-        ctx_of_pair = (np.cumsum(context) - 1)[lead]
-        ctx_lead = np.flatnonzero(context)
-        p1 = uni.p(wc[order][lead])
-        total = ch[order][lead]
+        del ph
+        w = wh[order]
+        pair = context | np.concatenate([[True], w[1:] != w[:-1]])
+        del wh, w
+        lead, ctx_lead = np.flatnonzero(pair), np.flatnonzero(context)
+        count = np.add.reduceat(whole(4)[order], lead, dtype=np.int64)
+        which = np.empty(len(order), np.int32)
+        which[order] = np.cumsum(pair, dtype=np.int32) - 1
+        ctx_of_pair = (np.cumsum(context, dtype=np.int32) - 1)[lead]
+        first = order[lead]
+        p1, total = uni.p(whole(3)[first]), whole(1)[first]
+        a, ctx_total = a[ctx_lead], total[np.searchsorted(lead, ctx_lead)]
+        each = np.repeat(which, whole(5))
+        doc = whole(6)
+        del order, which, pair, context, first, lead
         small = np.minimum(count, KATZ + 1)
-        yield batch([(3, None, None, None, None, None, None, None, None, None, *np.bincount(small, minlength=KATZ + 2)[1:KATZ + 1].tolist(), int((count == KATZ + 1).sum()))], schema)
+        yield batch([(3, None, None, None, None, None, None, None, None, None, *np.bincount(small, minlength=KATZ + 2)[1 : KATZ + 1].tolist(), int((count == KATZ + 1).sum()))], schema)
         value = np.where(count > 0, np.log10(np.maximum(count, 1)) - np.log10(total + 1.0), np.log10(p1))
-        each = which[np.repeat(np.arange(len(n)), n)]
         sums = np.bincount(doc, value[each], offset[-1])
         ranks = [np.bincount(doc[small[each] == r], minlength=offset[-1]) for r in range(1, KATZ + 1)]
         touched = np.bincount(doc, minlength=offset[-1]) > 0
-        for k, r in enumerate(rows):
+        for k, name in enumerate(names):
             s = slice(offset[k], offset[k + 1])
             at = np.flatnonzero(touched[s])
-            yield batch([(0, r[1], None, packed(at, "<u4"), packed(sums[s][at], "<f4"), packed(np.stack([x[s][at] for x in ranks]).ravel(), "<u4"), None, None, None, None, *none)], schema)
+            yield batch([(0, name, None, packed(at, "<u4"), packed(sums[s][at], "<f4"), packed(np.stack([x[s][at] for x in ranks]).ravel(), "<u4"), None, None, None, None, *none)], schema)
         # Contexts that back off here, or that are cut and so have a part of their sums here.
         seen, n_ctx = count > 0, len(ctx_lead)
-        cut = ch[order][ctx_lead] > most
+        cut = ctx_total > most
         lost = (count == 0) & (total > 0)
         wanted = np.bincount(ctx_of_pair[lost], minlength=n_ctx) > 0
         wanted |= cut
         mass = np.stack([np.bincount(ctx_of_pair[small == r], count[small == r], n_ctx) for r in range(1, KATZ + 2)])
         spent = np.bincount(ctx_of_pair[seen], p1[seen], n_ctx)
         number = np.cumsum(wanted) - 1
-        k = lost[each]
+        k = np.flatnonzero(lost[each])
         key = number[ctx_of_pair[each[k]]] * offset[-1] + doc[k]
         events, times = np.unique(key, return_counts=True)
         ctx, at = np.divmod(events, max(offset[-1], 1))
         chunk_of = np.searchsorted(offset, at, "right") - 1
         if wanted.any():
-            yield batch([(2, None, [r[1] for r in rows], packed(a[ctx_lead][wanted], "<u8"), packed(ch[order][ctx_lead][wanted], "<u8"), packed(mass[:, wanted].ravel(), "<f8"), packed(spent[wanted], "<f8"), packed(cut[wanted], "<u1"), packed(np.concatenate([ctx, chunk_of, at - offset[chunk_of]]), "<u4"), packed(times, "<u4"), *none)], schema)
+            yield batch([(2, None, names, packed(a[wanted], "<u8"), packed(ctx_total[wanted], "<u8"), packed(mass[:, wanted].ravel(), "<f8"), packed(spent[wanted], "<f8"), packed(cut[wanted], "<u1"), packed(np.concatenate([ctx, chunk_of, at - offset[chunk_of]]), "<u4"), packed(times, "<u4"), *none)], schema)
 
     return blocks.repartition(parts, "p").mapInArrow(run, SCORED)
 
