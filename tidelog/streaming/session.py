@@ -15,7 +15,7 @@ from ..operators import ranges as R
 from ..operators import sets as S
 from ..sources.store import LogStore
 
-#: Changes of one message. What is left goes with the next round's messages.
+#: Changes of one message. What is more goes ahead in messages of changes alone.
 PER_MESSAGE = 10_000
 
 
@@ -124,7 +124,7 @@ class Session:
 
     def __init__(self, store: LogStore, owner: bytes, transport: QueueTransport, write_key: bytes | None = None, on_change: Callable[[int], None] | None = None):
         self.store, self.owner, self.transport, self.write_key = store, owner, transport, write_key
-        self.state, self.rounds, self.received, self.error, self.on_change = State.IDLE, 0, 0, "", on_change
+        self.state, self.rounds, self.parts, self.received, self.error, self.on_change = State.IDLE, 0, 0, 0, "", on_change
 
     def log(self) -> DataFrame:
         rows = self.store.read()
@@ -157,20 +157,31 @@ class Session:
             self.received += self.store.append(batch)
             if self.on_change:
                 self.on_change(len(m.changes))
+        if m.kind == W.BROADCAST:
+            self.parts += 1
+            if self.state is State.WAITING:  # changes alone do not end a sync; the message with the ranges comes after them
+                return True
         if W.complete(m):
             self.state = State.SYNCED
+            if m.ranges and m.changes:  # the sender waits to hear that all its changes came
+                self._send([W.Range(W.SKIP)])
             return True
         ranges, lacking = respond(self.log(), m.ranges)
-        sent = S.with_payload(lacking, self.log(), ["hlc"]).orderBy("hlc").limit(PER_MESSAGE).collect()
-        self._send(ranges, [(bytes.fromhex(r["hlc"]), bytes(r["payload"] or b"")) for r in sent])
+        sent: list[tuple[bytes, bytes]] = []
+        for r in S.with_payload(lacking, self.log(), ["hlc"]).orderBy("hlc").toLocalIterator():
+            if len(sent) == PER_MESSAGE:
+                self.transport.send(W.message(W.Message(self.owner, W.BROADCAST, changes=sent)))
+                sent = []
+            sent.append((bytes.fromhex(r["hlc"]), bytes(r["payload"] or b"")))
+        self._send(ranges, sent)
         self.state = State.SYNCED if all(r.kind == W.SKIP for r in ranges) and not sent else State.WAITING
         return True
 
 
 def run(a: Session, b: Session, max_rounds: int = 30) -> int:
-    """Lets two sessions talk until neither has a message waiting. Returns the number of messages handled."""
+    """Lets two sessions talk until neither has a message waiting. Returns the number of messages handled; those of changes alone do not count towards ``max_rounds``."""
     a.start()
-    n = 0
-    while n < max_rounds and (b.poll() or a.poll()):
+    n, parts = 0, a.parts + b.parts
+    while n - (a.parts + b.parts - parts) < max_rounds and (b.poll() or a.poll()):
         n += 1
     return n
