@@ -11,8 +11,22 @@ from .common import pick, table, written
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the base. Fixed by the result's contract.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Templates (label, text) whose spans are looked for beside the phrases: well-known openings and grants of common licenses.
+#: Templates (label, text) whose spans are looked for beside the phrases: well-known openings, grants and conditions of common licenses,
+#: and the short notices that name a license.
 TEMPLATES = [
+    ("mit", "the mit license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2.0", "the apache license version 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "the bsd license"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("lgpl", "gnu lesser general public license"),
+    ("mpl-2.0", "mozilla public license 2 0"),
+    ("isc", "the isc license"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -31,7 +45,8 @@ TEMPLATES = [
 ]
 #: Diagonals this near to one another are one span; a span counts from this share of its template's grams.
 NEAR, LEAST = 3, 0.7
-LONGEST = 64
+#: Places of a template in one bit mask; a longer template has several.
+MASK = 64
 
 
 def word_array(text: Column) -> Column:
@@ -50,8 +65,8 @@ def positions(spark: SparkSession, phrases: list[tuple[str, str]], long: list[tu
     rows = []
     for tid, (text, label, base) in enumerate([(t, lab, True) for t, lab in phrases] + [(t, lab, False) for lab, t in long]):
         w = text.split()
-        if not 2 <= len(w) <= LONGEST:
-            raise ValueError(f"a template has 2 to {LONGEST} words: {text!r}")
+        if len(w) < 2:
+            raise ValueError(f"a template has 2 words at least: {text!r}")
         rows += [(w[i], w[i + 1], tid, i, label, base, len(w) - 1) for i in range(len(w) - 1)]
     t = spark.createDataFrame(rows, "t0 string, t1 string, tid int, tpos int, label string, base boolean, size int")
     return t.withColumn("h", F.xxhash64("t0", "t1"))
@@ -69,6 +84,8 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, long: list[t
     null id is an id like any other. Empty input: no rows. The templates are constants, so their table is broadcast; the votes of a row
     are summed in the task that reads it before they are shuffled.
     """
+    places = max((len(t.split()) - 1 for t in [*(t for t, _ in phrases), *(t for _, t in long)]), default=1)
+    masks = [f"mask{i}" for i in range(-(-places // MASK))]
     at = F.broadcast(positions(docs.sparkSession, phrases, long))
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), word_array(F.col("text")).alias("ws"))
     rows = rows.select("doc_id", "th", F.posexplode_outer(grams("ws")).alias("pos", "w")).select("doc_id", "th", "pos", F.col("w.w0").alias("w0"), F.col("w.w1").alias("w1"))
@@ -77,13 +94,13 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, long: list[t
     # A row's last pair, or its lack of pairs, has no template and stays: it says that the row is there and how long it is.
     hits = hits.filter("tid IS NOT NULL OR w1 IS NULL").select("doc_id", "th", "tid", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos", "tpos", "label", "base", "size")
     votes = hits.groupBy("doc_id", "th", "tid", "diagonal", "label", "base", "size").agg(
-        F.bit_or(F.expr("shiftleft(1L, coalesce(tpos, 0))")).alias("mask"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n")
+        *[F.bit_or(F.expr(f"if(coalesce(tpos, 0) div {MASK} = {i}, shiftleft(1L, coalesce(tpos, 0) % {MASK}), 0L)")).alias(m) for i, m in enumerate(masks)], F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n")
     )
     by = Window.partitionBy("doc_id", "th", "tid").orderBy("diagonal")
     apart = F.col("base") | F.lag("diagonal").over(by).isNull() | (F.col("diagonal") - F.lag("diagonal").over(by) > near)
     runs = votes.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(by))
-    spans = runs.groupBy("doc_id", "th", "tid", "run", "label", "base", "size").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("first"), (F.max("last") + 1).alias("last"), F.max("n").alias("n"))
-    share = F.bit_count("mask").cast("double") / F.col("size")
+    spans = runs.groupBy("doc_id", "th", "tid", "run", "label", "base", "size").agg(*[F.bit_or(m).alias(m) for m in masks], F.min("first").alias("first"), (F.max("last") + 1).alias("last"), F.max("n").alias("n"))
+    share = sum((F.bit_count(m) for m in masks), F.lit(0)).cast("double") / F.col("size")
     spans = spans.withColumn("share", share).withColumn("ok", F.col("tid").isNotNull() & (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(least)))
     is_base = F.col("ok") & F.col("base")
     text = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, F.col("label")))), ",")
