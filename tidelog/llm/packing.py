@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,7 +24,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder(dict):
-    """Text to ids (uint32) of a byte-level BPE vocabulary; the strings of special tokens in a text are ordinary text.
+    """Text to ids (uint32) of a byte-level BPE vocabulary.
+
+    ``whole`` gives the ids of a text as the tokenizers file has them: the contents of added tokens are those tokens, wherever they stand in
+    the text. To ``ids`` they are ordinary text.
 
     The vocabulary is read from a ``tokenizers`` file; the merges run in ``tiktoken`` over the same vocabulary, whose ids are the same
     (a byte-level vocabulary numbers its tokens in merge order) and which is several times as fast. A text whose only white
@@ -40,7 +44,11 @@ class Encoder(dict):
             spec = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at what stands beside them are not supported")
+        self.added = {c: np.array([i], "<u4") for c, i in special.items()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         encoding = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.encode, self.piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
@@ -61,6 +69,11 @@ class Encoder(dict):
         first, *rest = text.replace("\n", " \n").split(" ")
         return np.frombuffer(np.array(self.encode(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest)), "<u4")
 
+    def whole(self, text: str) -> np.ndarray:
+        if not self.between or not self.between.search(text):
+            return self.ids(text)
+        return np.concatenate([self.added[t] if i % 2 else self.ids(t) for i, t in enumerate(self.between.split(text))])
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -130,7 +143,7 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, block_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost (of the piece).
 
-    A document is the ids of its text, then ``end_id``; a null or empty text is the end id alone. Each task packs the documents it
+    A document is the ids of its text (added tokens in it included, see ``Encoder.whole``), then ``end_id``; a null or empty text is the end id alone. Each task packs the documents it
     reads as they come, ``block_tokens`` tokens at a time (a longer document is a block of its own), so nothing is shuffled, no key
     can be hot and memory is bounded by a block and the longest document. sequence_id is the partition's number times 2**32 plus a
     count, unique over the result. Ties go to the sequence made first. Repeated rows are packed each on its own; a null id stays
@@ -158,7 +171,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
         tokens = 0
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1)):
-                ids = np.append(enc.ids(text.as_py() or ""), np.uint32(end_id))
+                ids = np.append(enc.whole(text.as_py() or ""), np.uint32(end_id))
                 if tokens and tokens + len(ids) > block_tokens:
                     out, base = flush(held, base)
                     yield out
