@@ -73,3 +73,39 @@ def test_odd_rows_and_labels(spark):
     assert len(got) == len(ROWS) + 1 and [r["toxic"] for r in got if r["doc_id"] == 50] == [True]
     assert not any(r["toxic"] for r in got if r["doc_id"] in (2, 3, 5)) and T.score(frame(spark, []), model).count() == 0
     assert T.drop_toxic(docs, spark.createDataFrame(labels, none.schema)).columns == docs.columns
+
+
+def test_query_against_brute_force(spark):
+    """The fitted severities against plain Python: named features, and gradient descent to the one optimum of the penalised likelihood."""
+    rows, labels = corpus(120, 7)
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:5])] + [(300, None), (301, "")]
+    got = {r["doc_id"]: r for r in T.score(frame(spark, rows), T.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), steps=400, tolerance=1e-5)).collect()}
+
+    def features(t):
+        w = {x.strip(T.PUNCTUATION) for x in (t or "").lower().split()} - {""}
+        return w | {x[:4] + "*" for x in w if len(x) > 5}
+
+    def telling(w):  # log odds in standard errors
+        hits = [[w in features(t) for (_, t), (_, _, k) in zip(rows, labels) if k == y] for y in (0, 1)]
+        low, high = (sum(h) + 0.5 for h in hits)
+        a, b = len(hits[1]) + 1 - high, len(hits[0]) + 1 - low
+        return abs(np.log(high / a) - np.log(low / b)) / np.sqrt(1 / high + 1 / low) >= T.SIGNIFICANT
+
+    names = [w for w in sorted(set().union(*(features(t) for _, t in rows))) if telling(w)]
+    x = np.array([[w in features(t) for w in names] for _, t in rows], float)
+    y = np.array([k for _, _, k in labels])
+    w, theta = np.zeros(len(names)), 0.0
+    for _ in range(20000):  # P(toxic) = sigmoid(score - theta)
+        p = 1 / (1 + np.exp(-(x[: len(y)] @ w - theta)))
+        w -= 0.02 * (x[: len(y)].T @ (p - y) + 0.1 * w)
+        theta -= 0.02 * -(p - y).sum()
+    want = 1 / (1 + np.exp(-(x @ w - theta)))
+    assert all(abs(got[i]["severity"] - v) < 1e-3 and got[i]["grade"] == (v > 0.5) and got[i]["toxic"] == (v >= 0.5) for (i, _), v in zip(rows, want))
+
+
+def test_rows_without_an_id_are_judged_by_their_own_texts(spark):
+    rows, labels = corpus(200, 2)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = [(None, "scum idiot trash moron scum"), (None, "w1 w2 w3"), (None, None), (1, "scum idiot trash moron")]
+    kept = [(r["doc_id"], r["text"]) for r in T.drop_toxic(frame(spark, rows + more), lab).collect()]
+    assert (None, "w1 w2 w3") in kept and (None, None) in kept and more[0] not in kept and more[3] not in kept and rows[1] in kept

@@ -2,124 +2,223 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_ids, pick, table, written
+from .common import dropped, pick, table, written
 
 #: Labelled rows that a fit reads at most: those whose ids have the smallest hashes. A larger table is sampled down to this.
 MAX_LABELLED = 20_000
-#: Words that a model may have, which bounds what is collected and broadcast.
-MAX_WORDS = 4096
-#: A word marks toxic text when its smoothed log odds between toxic and other labelled documents reach this.
-MARKS = 2.0
+#: Words are hashed to so many features, which bounds the model.
+FEATURES = 1 << 18
+#: A feature is used when, at some threshold, its smoothed log odds between the grades above and below are so many standard errors from 0.
+SIGNIFICANT = 3.0
+#: Tasks that share the labelled rows of a fit.
+TASKS = 8
+#: Words whose features a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 1 << 20
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-"
 
 SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
 
 def words_of(text: str | None) -> set[str]:
-    """The features of a text: its distinct lower-cased words without the punctuation around them, and the stems (first four letters and *) of the longer ones."""
+    """The words of a text: distinct, lower-cased, without the punctuation around them; and the stems (first four letters and *) of the longer ones."""
     words = {w.strip(PUNCTUATION) for w in set((text or "").lower().split())} - {""}
     return words | {w[:4] + "*" for w in words if len(w) > 5}
 
 
+class Features(dict):
+    """Words to features."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = f = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % FEATURES
+        return f
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The distinct features of a text, ascending."""
+        return np.unique(np.fromiter(map(self.__getitem__, words_of(text)), np.int32))
+
+
+_features = Features()
+
+
 @dataclass
 class OrdinalModel:
-    """P(grade <= j) = sigmoid(thresholds[j] - sum of the weights of the words present); one weight a word, shared by all thresholds."""
+    """P(grade <= j) = sigmoid(thresholds[j] - sum of the weights of the features present); one weight a feature, shared by all thresholds."""
 
-    weights: dict[str, float]
+    weights: np.ndarray
     thresholds: np.ndarray
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         below = 1 / (1 + np.exp(np.clip(score[:, None] - self.thresholds[None, :], -500, 500)))
         return np.diff(np.concatenate([np.zeros((len(score), 1)), below, np.ones((len(score), 1))], axis=1), axis=1)
 
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
+        """(n, grades) probabilities."""
+        return self.probabilities(np.array([self.weights[_features.of(t)].sum() for t in texts], dtype=float))
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_words: int, grades: int, l2: float = 1.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing thresholds by full-batch Adam on the penalised likelihood. (rows, cols): the words that are present."""
-    n = len(y)
-    share = np.clip(np.array([(y <= j).mean() for j in range(grades)]), 1e-3, 1 - 1e-3)
-    first = np.log(share / (1 - share))
-    gaps = np.maximum(np.diff(first), 1e-3)
-    p = np.concatenate([np.zeros(n_words), first[:1], np.log(gaps)])
-    m, v = np.zeros_like(p), np.zeros_like(p)
+
+def loss(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, p: np.ndarray, grades: int) -> tuple[float, np.ndarray]:
+    """Negative log likelihood of the grades ``y`` and its gradient. (rows, cols): the features present. ``p``: weights, first threshold, logs of the gaps."""
+    n_words = len(p) - grades
+    w, theta = p[:n_words], np.cumsum(np.concatenate([p[n_words : n_words + 1], np.exp(p[n_words + 1 :])]))
     lo_inf, hi_inf = y == 0, y == grades
-    for t in range(1, steps + 1):
-        w, theta = p[:n_words], np.cumsum(np.concatenate([p[n_words : n_words + 1], np.exp(p[n_words + 1 :])]))
-        s = np.bincount(rows, w[cols], n)
-        upper = np.where(hi_inf, 1.0, 1 / (1 + np.exp(np.clip(s - theta[np.minimum(y, grades - 1)], -500, 500))))
-        lower = np.where(lo_inf, 0.0, 1 / (1 + np.exp(np.clip(s - theta[np.maximum(y - 1, 0)], -500, 500))))
-        like = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / like, lower * (1 - lower) / like
-        g = np.empty_like(p)
-        g[:n_words] = np.bincount(cols, (du - dl)[rows], n_words) + l2 * w
-        gt = -np.bincount(np.minimum(y, grades - 1), np.where(hi_inf, 0, du), grades) + np.bincount(np.maximum(y - 1, 0), np.where(lo_inf, 0, dl), grades)
-        tail = np.cumsum(gt[::-1])[::-1]
-        g[n_words] = tail[0]
-        g[n_words + 1 :] = tail[1:] * np.exp(p[n_words + 1 :])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    s = np.bincount(rows, w[cols], len(y))
+    upper = np.where(hi_inf, 1.0, 1 / (1 + np.exp(np.clip(s - theta[np.minimum(y, grades - 1)], -500, 500))))
+    lower = np.where(lo_inf, 0.0, 1 / (1 + np.exp(np.clip(s - theta[np.maximum(y - 1, 0)], -500, 500))))
+    like = np.maximum(upper - lower, 1e-300)
+    du, dl = upper * (1 - upper) / like, lower * (1 - lower) / like
+    g = np.empty_like(p)
+    g[:n_words] = np.bincount(cols, (du - dl)[rows], n_words)
+    gt = -np.bincount(np.minimum(y, grades - 1), np.where(hi_inf, 0, du), grades) + np.bincount(np.maximum(y - 1, 0), np.where(lo_inf, 0, dl), grades)
+    tail = np.cumsum(gt[::-1])[::-1]
+    g[n_words] = tail[0]
+    g[n_words + 1 :] = tail[1:] * np.exp(p[n_words + 1 :])
+    return -float(np.log(like).sum()), g
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], p: np.ndarray, steps: int, tolerance: float, memory: int = 10) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with halving, until the largest gradient is within ``tolerance`` or ``steps`` evaluations are spent."""
+    value, g = f(p)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    step = min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
+    for _ in range(steps):
+        if np.abs(g).max() <= tolerance:
+            break
+        q, kept = g.copy(), []
+        for s, d in reversed(past):
+            a = (s @ q) / (s @ d)
+            q -= a * d
+            kept.append(a)
+        if past:
+            q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, d), a in zip(past, reversed(kept)):
+            q += s * (a - (d @ q) / (s @ d))
+        slope = -float(q @ g)
+        if slope >= 0:
+            q, slope, past = g.copy(), -float(g @ g), []
+        new, new_g = f(p - step * q)
+        if not new <= value + 1e-4 * step * slope:
+            step /= 4
+            if step < 1e-12:
+                break
+            continue
+        s, d = -step * q, new_g - g
+        if s @ d > 1e-12 * (d @ d):
+            past = [*past[1 - memory :], (s, d)]
+        p, value, g, step = p + s, new, new_g, 1.0
+    return p
+
+
+def telling(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How far each feature is from chance, in standard errors, at the threshold where it is farthest; ``counts`` (grades, features), ``totals`` by grade."""
+    out = np.zeros(counts.shape[1])
+    for j in range(1, len(totals)):
+        high, low, a, b = counts[j:].sum(axis=0) + 0.5, counts[:j].sum(axis=0) + 0.5, totals[j:].sum() + 1.0, totals[:j].sum() + 1.0
+        odds = np.log(high / (a - high)) - np.log(low / (b - low))
+        out = np.maximum(out, np.abs(odds) / np.sqrt(1 / high + 1 / low))
+    return out
+
+
+def fitted(y_share: np.ndarray, f: Callable[[np.ndarray], tuple[float, np.ndarray]], n_words: int, l2: float, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing thresholds at the optimum of the likelihood ``f`` with penalty l2 / 2 on the squared weights, from the shares of rows up to each grade."""
+    share = np.clip(y_share, 1e-3, 1 - 1e-3)
+    first = np.log(share / (1 - share))
+    p = np.concatenate([np.zeros(n_words), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
+
+    def penalised(p: np.ndarray) -> tuple[float, np.ndarray]:
+        value, g = f(p)
+        g[:n_words] += l2 * p[:n_words]
+        return value + l2 / 2 * float(p[:n_words] @ p[:n_words]), g
+
+    p = minimise(penalised, p, steps, tolerance)
     return p[:n_words], np.cumsum(np.concatenate([p[n_words : n_words + 1], np.exp(p[n_words + 1 :])]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade_col: str | None = None, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, min_docs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
-    """A model from ``labels`` (id, grade) over the texts of ``docs``; None when there are not at least two grades to tell apart.
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_words: int, grades: int, l2: float = 1.0, steps: int = 300, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """``fitted`` on rows in memory. (rows, cols): the features that are present."""
+    share = np.array([(y <= j).mean() for j in range(grades)])
+    return fitted(share, lambda p: loss(rows, cols, y, p, grades), n_words, l2, steps, tolerance)
 
-    With ``grade_col`` the labels hold grades 0, 1, ... themselves. Without, ``toxic`` 0/1 is graded: 0 stays 0, and a toxic document has
-    grade 1, 2 or 3 for up to one, two or three, or more distinct words that mark toxic text. Rows with a null id, grade or document are
-    not used; of labels that disagree on an id the highest counts. At most ``max_labelled`` labels and ``max_words`` words are used.
+
+def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", max_labelled: int = MAX_LABELLED, l2: float = 0.1, significant: float = SIGNIFICANT, steps: int = 60, tolerance: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
+    """A model from ``labels`` (id, grade) over the texts of ``docs``; None when there are not at least two grades to tell apart, or none is 0.
+
+    Grades are those that the labels hold, from 0 on: with labels that only say toxic or not there are two, and severity is the probability of
+    the upper. Rows with a null id, grade or document are not used; negative grades count as 0; of labels that disagree on an id the
+    highest counts. At most ``max_labelled`` labels are used, and all their texts. A grade that no label has is skipped in the order.
+
+    The labelled texts are written once as features in ``TASKS`` parts. Of all features those count that tell grades apart beyond chance (a
+    test of each feature by itself, so how many there are depends on the data alone); the others would only fit noise. A step of the
+    optimiser is one job: each part sums its likelihood and gradient, a number a feature, and the driver adds the parts.
     """
-    spark = docs.sparkSession
-    grade = grade_col or "toxic"
-    chosen = pick(labels, id_col, grade).toDF("id", "y").dropna().groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    chosen = pick(labels, id_col, grade_col).toDF("id", "y").dropna().groupBy("id").agg(F.greatest(F.max("y").cast("int"), F.lit(0)).alias("y"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled))
-    texts = pick(docs, id_col, text_col).toDF("id", "text").join(chosen, "id").dropDuplicates(["id"]).select("y", "text")
-    texts = written(texts, "labelled")
+    texts = pick(docs, id_col, text_col).toDF("id", "text").join(chosen, "id").dropDuplicates(["id"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
-                seen[y > 0].update(words_of(t.as_py()))
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)], names=["w", "other", "pos"])
-
-    totals = {bool(r["t"]): r["n"] for r in texts.groupBy((F.col("y") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) < 2:
+            found = [_features.of(t.as_py()).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["id", "y", "words"])
+
+    coded = written(texts.select("id", "y", "text").mapInArrow(index, "id long, y int, words binary"), "labelled")
+    kinds = {r["y"]: r["n"] for r in coded.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").collect()}  # grades that occur, in order
+    if len(kinds) < 2 or 0 not in kinds:
+        dropped(coded)
         return None
-    counted = texts.mapInArrow(count, "w string, other long, pos long").groupBy("w").agg(F.sum("other").alias("other"), F.sum("pos").alias("pos"))
-    a, b = totals[True], totals[False]
-    odds = F.log((F.col("pos") + 0.5) / (a - F.col("pos") + 0.5)) - F.log((F.col("other") + 0.5) / (b - F.col("other") + 0.5))
-    spread = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("other") + 0.5))
-    best = counted.filter(F.col("pos") + F.col("other") >= min_docs).select("w", "pos", odds.alias("odds"), (odds / spread).alias("z"))
-    best = best.orderBy(F.desc(F.abs("z")), "w").limit(max_words).collect()
-    at = {r["w"]: i for i, r in enumerate(best)}
-    marks = {i for i, r in enumerate(best) if r["odds"] >= MARKS and r["pos"] >= min_docs}
+    names, grades = np.array(list(kinds)), len(kinds) - 1
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((grades + 1, FEATURES), np.int32)
         for b in batches:
-            found = [sorted(at[w] for w in words_of(t.as_py()) if w in at) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "words"])
-
-    got = texts.mapInArrow(index, "y int, words array<int>").collect()  # at most max_labelled rows
-    y = np.array([r["y"] for r in got])
-    if not grade_col:
-        hits = np.array([sum(i in marks for i in r["words"]) for r in got])
-        y = np.where(y > 0, 1 + (hits > 1) + (hits > 3), 0)
-    kinds, y = np.unique(np.maximum(y, 0), return_inverse=True)  # grades that occur, in order
-    rows = np.repeat(np.arange(len(got)), [len(r["words"]) for r in got])
-    cols = np.array([i for r in got for i in r["words"]], dtype=np.int64)
-    if len(kinds) < 2 or kinds[0] != 0:
-        return None
-    weights, thresholds = fit_ordinal(rows, cols, y, len(best), len(kinds) - 1)
-    return OrdinalModel({w: float(weights[i]) for w, i in at.items()}, thresholds)
+            for y, x in zip(np.searchsorted(names, b.column(0).to_numpy()), b.column(1)):
+                counts[y, np.frombuffer(x.as_buffer(), np.int32)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([counts.ravel()[at].tobytes()], pa.binary())], names=["at", "n"])
+
+    counts = np.zeros((grades + 1) * FEATURES)
+    for r in coded.select("y", "words").coalesce(TASKS).mapInArrow(tally, "at binary, n binary").collect():  # a row a task
+        counts[np.frombuffer(r["at"], "<i8")] += np.frombuffer(r["n"], "<i4")
+    used = np.flatnonzero(telling(counts.reshape(grades + 1, FEATURES), np.array([kinds[k] for k in names])) >= significant)
+    place = np.full(FEATURES, -1, np.int32)
+    place[used] = np.arange(len(used))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [place[np.frombuffer(x.as_buffer(), np.int32)] for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], names=["id", "y", "words"])
+
+    ready = written(coded.select("id", "y", "words").mapInArrow(choose, "id long, y int, words binary").repartition(TASKS, "id").sortWithinPartitions("id"), "labelled")
+    dropped(coded)
+
+    def likelihood(p: np.ndarray) -> tuple[float, np.ndarray]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            value, g = 0.0, np.zeros(len(p))
+            for b in batches:
+                found = [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(2)]
+                rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                one, two = loss(rows, np.concatenate([*found, np.zeros(0, np.int32)]), np.searchsorted(names, b.column(1).to_numpy()), p, grades)
+                value, g = value + one, g + two
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([g.tobytes()], pa.binary())], names=["value", "g"])
+
+        parts = sorted(ready.mapInArrow(sums, "value double, g binary").collect())  # a row a task
+        return sum(r["value"] for r in parts), np.sum([np.frombuffer(r["g"]) for r in parts], axis=0)
+
+    share = np.cumsum([kinds[k] for k in names])[:-1] / sum(kinds.values())
+    weights = np.zeros(FEATURES)
+    weights[used], thresholds = fitted(share, likelihood, len(used), l2, steps, tolerance)
+    dropped(ready)
+    return OrdinalModel(weights, thresholds)
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, cutoff: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,11 +230,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, cutoff: float = 0.5, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if model is None:
-                p = np.tile([1.0, 0.0], (b.num_rows, 1))
-            else:
-                get = model.weights.get
-                p = model.probabilities(np.array([sum(get(w, 0.0) for w in sorted(words_of(t.as_py()) & model.weights.keys())) for t in b.column(1)], dtype=float))
+            p = np.tile([1.0, 0.0], (b.num_rows, 1)) if model is None else model.of_texts([t.as_py() for t in b.column(1)])
             bad = 1 - p[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(axis=1), pa.int32()), pa.array(bad), pa.array(bad >= cutoff)],
@@ -145,11 +240,19 @@ def score(docs: DataFrame, model: OrdinalModel | None, cutoff: float = 0.5, id_c
     return pick(docs, id_col, text_col).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not toxic, all columns as they were. Rows that share an id go together."""
-    scored = written(score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col).select("doc_id", "toxic"), "scored")
-    good = scored.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("NOT toxic").select("doc_id")
-    return keep_ids(docs, good, id_col)
+def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not toxic, all columns as they were. Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.of_texts(list(texts))[:, 0] > 1 - cutoff)
+
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    return plain.filter(clean(f"_c{names.index(text_col)}")).toDF(*names)
 
 
 def op1_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
