@@ -1,20 +1,26 @@
-"""Katz backoff scoring: Good-Turing discounted bigram counts with exactly normalised backoff weights.
+"""Katz backoff scoring: Good-Turing discounted n-gram counts with exactly normalised backoff weights, in partitioned tables.
 
-Words are known by a 64-bit hash. Texts are cut into chunks whose words have chunk-local numbers; counts and occurrences travel as packed
-columns (compressed arrays), a row a chunk and partition, and never as a row a token.
+Words are numbered by an exact dictionary. Texts are cut into chunks, and what travels is a chunk's distinct words or n-grams, as packed
+columns: a row a chunk and partition, never a row a token. Each order k from 2 on is one pass:
 
-  chunks    one row a chunk: token numbers, documents, and the chunk's words (hash, count in training documents); a table bucketed by chunk
-  counted   words dealt by hash and summed over all chunks; each chunk gets its words' counts back, and N, V and the counts of counts come out
-  blocks    word pairs dealt by the first word (the context): per pair the word's count and 40 bits of its hash, the training count and the documents
-  scored    per partition of contexts: each document's sum over its seen pairs, and for unseen pairs the context's sums and the documents
+  deal      a chunk's distinct k-grams go to the partition of their context, with their training count in the chunk and the count of
+            the (k-1)-gram that they end in, which the pass before has told the chunk
+  add       a partition sums the counts, keeps them as the model's table of this order, and answers every chunk, n-gram by n-gram,
+            with the count; for one that training lacks, with what the context's backoff weight is made of
+  evaluate  after the last pass a chunk has every count and weight of its tokens and works out the recursion for each
+
+Chunks and partitions have ``CHUNK`` and ``PART`` tokens however large the input, so a task's memory stays the same; the rows that travel
+grow as tokens^2 / (CHUNK * PART) and are several thousand n-grams each as long as both are in proportion to the square root of the input.
 """
 
 from __future__ import annotations
 
+import gc
 import uuid
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +34,36 @@ from .common import new_path, pick, table, written
 
 #: Counts up to this are discounted.
 KATZ = 5
-#: Tokens of a chunk.
-CHUNK = 1 << 20
-START, END = b" start", b" end"  # no word holds a space
+#: Tokens of a chunk, and tokens that a partition of contexts is made for.
+CHUNK = PART = 1 << 21
+END = b""  # no word is empty
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def packed(a: np.ndarray, kind: str) -> bytes:
-    """An array as bytes, its bytes grouped by significance and compressed."""
-    raw = np.ascontiguousarray(a.astype(kind))
-    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes() if len(raw) else b"")
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def unpacked(b: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
+def unsqueezed(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
 
 
-def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+def packed(a: np.ndarray) -> bytes:
+    """Numbers from 0 on as bytes: as many bytes a number as the largest takes, grouped by significance and compressed."""
+    if not len(a):
+        return b""
+    size = max(1, (int(a.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]
+    return bytes([size]) + squeezed(planes.T.tobytes())
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    if not b:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(unsqueezed(b[1:]), np.uint8).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 def arrow(ddl: str) -> pa.Schema:
@@ -56,6 +71,30 @@ def arrow(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(n, kinds[t]) for n, t in (x.split(" ") for x in ddl.split(", "))])
 
 
+def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in b.columns)
+
+
+def by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of equal first column, which come one after another."""
+    at, held = None, []
+    for r in rows_of(batches):
+        if held and r[0] != at:
+            yield at, held
+            held = []
+        at = r[0]
+        held.append(r)
+    if held:
+        yield at, held
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Factors for counts 0 to KATZ + 1 from n[r], the number of things counted r times (r from 1 to KATZ + 1); above KATZ the factor is 1.
 
@@ -87,16 +126,44 @@ class Unigrams:
         return np.where(c > 0, seen, self.left / self.unseen)
 
 
-CHUNKS = "chunk long, docs array<long>, lens binary, held binary, tokens binary, hashes binary, counts binary"
-DICTS = "p int, chunk long, h binary, lid binary, c binary"
-COUNTED = "chunk long, lid binary, c binary, n long, v long, " + ", ".join(f"r{r} long" for r in range(1, KATZ + 2))
-BLOCKS = "p int, chunk long, kind int, docs array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, i binary, o binary"
-SCORED = "kind int, chunk long, docs array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, " + ", ".join(f"r{r} long" for r in range(1, KATZ + 2))
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RANKS = ", ".join(f"r{r} long" for r in range(1, KATZ + 2))
+CHUNKS = "chunk long, docs array<long>, lens binary, held binary, tokens binary, words binary, counts binary, n long, starts long"
+WORDS = "p int, chunk long, words binary, at binary, counts binary"
+ANSWERS = "p int, chunk long, a binary, b binary, c binary"
+GRAMS = "p int, chunk long, context binary, runs binary, words binary, train binary, lower binary, cut binary"
+NONE = (None,) * 8
+
+
+@dataclass
+class Model:
+    """A fitted model: numbers, and the paths of its tables (``words``, and ``grams`` by order from 2 on), all partitioned by ``p``.
+
+    ``words`` has rows WORDS (the words of partition p by falling count; the one at place i has the number i * parts + p + 1, and 0 is a text's
+    beginning), ``grams`` rows GRAMS: contexts, their numbers of followers, the followers, their counts.
+    """
+
+    order: int
+    parts: int
+    starts: int
+    total: int
+    kinds: int
+    ranks: list[list[int]]
+    words: str = ""
+    grams: list[str] = field(default_factory=list)
+
+    @property
+    def unigrams(self) -> Unigrams:
+        return Unigrams(self.total, self.kinds, self.ranks[0])
+
+    @property
+    def most(self) -> int:
+        """Training tokens of a context beyond which it is cut by its followers, so that no partition holds much more than its share."""
+        return max(1024, self.total // (2 * self.parts))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    schema = arrow(CHUNKS)
+    """``docs`` (doc_id, held, text) as chunks with local word numbers, one row each."""
+    schema, size = arrow(CHUNKS), CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh() -> tuple:
@@ -107,9 +174,8 @@ def chunks(docs: DataFrame) -> DataFrame:
         def flush(made: int) -> pa.RecordBatch:
             t, n, out = np.frombuffer(tokens, np.int32), np.array(lens), np.array(held, bool)
             counts = np.bincount(t[~np.repeat(out, n)], minlength=len(ids))
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in ids], np.uint64)
             chunk = (TaskContext.get().partitionId() << 24) + made
-            return batch([(chunk, docs_, packed(n, "<u4"), packed(out, "<u1"), packed(t, "<u4"), packed(hashes, "<u8"), packed(counts, "<u4"))], schema)
+            return batch([(chunk, docs_, packed(n), packed(out), packed(t), squeezed(b" ".join(ids)), packed(counts), int(n[~out].sum()), int((~out).sum()))], schema)
 
         made = 0
         ids, tokens, docs_, lens, held = fresh()
@@ -121,7 +187,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 docs_.append(doc)
                 lens.append(len(words))
                 held.append(out)
-                if len(tokens) >= CHUNK:
+                if len(tokens) >= size:
                     yield flush(made)
                     made += 1
                     ids, tokens, docs_, lens, held = fresh()
@@ -131,273 +197,394 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, CHUNKS)
 
 
-def count_words(rows: DataFrame, parts: int) -> DataFrame:
-    """Word counts over all chunks, given back to each chunk by partition of hashes; with each partition's statistics."""
-    dicts, counted = arrow(DICTS), arrow(COUNTED)
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with a column p to the tasks of their p, where they come one p after another."""
+    return rows.repartition(parts, "p").sortWithinPartitions("p", "chunk")
+
+
+def number_words(rows: DataFrame, parts: int, known: DataFrame | None) -> DataFrame:
+    """Answers to each chunk of ``rows``: its words' numbers (a: places in the chunk, b: numbers, c: counts), and the table of words (chunk -1).
+
+    ``known``, a table of words, adds its own counts; its words keep their numbers and no others are counted.
+    """
+    words, answers = arrow(WORDS), arrow(ANSWERS)
+    fixed = known is not None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, h, c in zip(*(x.to_pylist() for x in b.columns)):
-                h, c = unpacked(h, "<u8"), unpacked(c, "<u4")
-                p = (h % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(p, kind="stable")
-                ends = np.searchsorted(p[order], np.arange(parts + 1))
-                out = [(k, chunk, packed(h[i], "<u8"), packed(i, "<u4"), packed(c[i], "<u4")) for k in range(parts) if len(i := order[ends[k] : ends[k + 1]])]
-                yield batch(out, dicts)
+        for chunk, blob, counts in rows_of(batches):
+            ws, c = np.array(unsqueezed(blob).split(b" "), object), unpacked(counts)
+            p = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in ws])
+            order = np.argsort(p, kind="stable")
+            ends = np.searchsorted(p[order], np.arange(parts + 1))
+            yield batch([(k, chunk, squeezed(b" ".join(ws[i])), packed(i), packed(c[i])) for k in range(parts) if len(i := order[ends[k] : ends[k + 1]])], words)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_ = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(1, 5)))]
-        if not rows_:
-            return
-        h, c = np.concatenate([unpacked(r[1], "<u8") for r in rows_]), np.concatenate([unpacked(r[3], "<u4") for r in rows_])
-        kinds, at = np.unique(h, return_inverse=True)
-        total = np.bincount(at, c, len(kinds)).astype(np.int64)
-        known = total[total > 0]
-        stats = (int(known.sum()), len(known), *np.bincount(np.minimum(known, KATZ + 2), minlength=KATZ + 3)[1 : KATZ + 2].tolist())
-        begin = 0
-        for k, r in enumerate(rows_):
-            lid = unpacked(r[2], "<u4")
-            yield batch([(r[0], r[2], packed(total[at[begin : begin + len(lid)]], "<u8"), *(stats if k == 0 else (0,) * len(stats)))], counted)
-            begin += len(lid)
-
-    return rows.select("chunk", "hashes", "counts").mapInArrow(deal, DICTS).repartition(parts, "p").mapInArrow(add, COUNTED)
-
-
-def pair_blocks(rows: DataFrame, parts: int, uni: Unigrams, starts: int) -> DataFrame:
-    """``rows`` (chunk, docs, lens, held, tokens, hashes, found): pairs by context partition (kind 0) and each chunk's documents (kind 1).
-
-    A context with more than total / (2 parts) training tokens is cut by its second words, so that no partition holds much more than its
-    share; as every training token is somebody's context once, a context's count is its word's count, or ``starts`` at a text's beginning.
+        for p, got in by_first(batches):
+            ids: defaultdict = defaultdict()
+            ids.default_factory = ids.__len__
+            at = [np.fromiter(map(ids.__getitem__, unsqueezed(r[2]).split(b" ")), np.int64) for r in got]
+            own = [not fixed or r[1] < 0 for r in got]
+            total = np.bincount(np.concatenate(at), np.concatenate([unpacked(r[4]) * o for r, o in zip(got, own)]), len(ids)).astype(np.int64)
+            names = np.array(list(ids), object)
+            if fixed:  # the stored words come first (chunk -1), in the order of their places
+                rank = np.arange(len(ids))
+            else:
+                order = np.array(sorted(range(len(ids)), key=lambda i: (-total[i], names[i])), np.int64)
+                rank = np.empty(len(ids), np.int64)
+                rank[order] = np.arange(len(order))
+                yield batch([(p, -1, squeezed(b" ".join(names[order])), packed(total[order]), None)], answers)
+            number = rank * parts + p + 1
+            out = [(p, r[1], r[3], packed(number[i]), packed(total[i])) for r, i in zip(got, at) if r[1] >= 0]
+            for k in range(0, len(out), 64):
+                yield batch(out[k : k + 64], answers)
+
+    sent = rows.select("chunk", "words", "counts").mapInArrow(deal, WORDS)
+    return dealt(sent if known is None else sent.union(known), parts).mapInArrow(add, ANSWERS)
+
+
+class Chunk:
+    """A chunk's n-grams. ``at[k]`` numbers the k-gram that ends at each token; the others are by that number: ``context[k]`` (0: a text's
+    beginning, else the number of the (k-1)-gram before it plus 1), ``word[k]``, ``suffix[k]`` (the (k-1)-gram it ends in), ``count[k]``
+    in training and ``before[k]``, its context's. All follow from the chunk's row and the answers, so every pass finds the same numbers.
     """
-    schema = arrow(BLOCKS)
-    most = max(1024, uni.total // (2 * parts))
-    first = np.uint64(xxhash.xxh3_64_intdigest(START))
-    base = np.log10(uni.total + uni.kinds + 1)
+
+    def __init__(self, lens: bytes, held: bytes, tokens: bytes, numbers: list, model: Model):
+        self.model = model
+        self.lens, self.held, t = unpacked(lens), unpacked(held).astype(bool), unpacked(tokens)
+        n = sum(len(unpacked(x["a"])) for x in numbers)
+        ids, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for x in numbers:
+            at = unpacked(x["a"])
+            ids[at], count[at] = unpacked(x["b"]), unpacked(x["c"])
+        order = np.argsort(ids, kind="stable")
+        label = np.empty(n, np.int64)
+        label[order] = np.arange(n)
+        self.ids, self.begin = ids[order], np.cumsum(self.lens) - self.lens
+        self.at, self.count = [None, label[t]], [None, count[order]]
+        self.context, self.word, self.suffix, self.before = [[None, None] for _ in range(4)]
+        self.zero: list = [None, None]
+
+    def extend(self) -> None:
+        """The n-grams of the next order."""
+        last = self.at[-1]
+        context = np.empty(len(last), np.int64)
+        context[1:] = last[:-1] + 1
+        context[self.begin] = 0
+        own, at = np.unique(context * len(self.ids) + self.at[1], return_inverse=True)
+        suffix = np.empty(len(own), np.int64)
+        suffix[at] = last
+        self.context.append(own // max(len(self.ids), 1))
+        self.word.append(own % max(len(self.ids), 1))
+        self.suffix.append(suffix)
+        self.at.append(at)
+        self.before.append(np.concatenate([[self.model.starts], self.count[len(self.at) - 2]])[self.context[-1]])
+
+    def contexts(self, k: int) -> list[np.ndarray]:
+        """The word numbers of the contexts of order ``k``, a column a word."""
+        return [np.concatenate([[0], x]) for x in ([self.ids] if k == 2 else [*(x[self.context[k - 1]] for x in self.contexts(k - 1)), self.ids[self.word[k - 1]]])]
+
+    def places(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams that are sent, by partition, and where each partition's end. A context that training lacks has no n-grams to ask for."""
+        parts, most = self.model.parts, self.model.most
+        mix = np.zeros(int(self.context[k].max(initial=-1)) + 1, np.uint64)
+        for x in self.contexts(k):
+            mix = (mix ^ x[: len(mix)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mix ^= mix >> np.uint64(31)
+        chosen = np.flatnonzero(self.before[k] > 0)
+        cuts = -(-self.before[k][chosen] // most)
+        p = ((mix[self.context[k][chosen]] % np.uint64(parts)).astype(np.int64) + self.ids[self.word[k][chosen]] % cuts * 7919) % parts
+        by = np.argsort(p, kind="stable")
+        return chosen[by], np.searchsorted(p[by], np.arange(parts + 1))
+
+    def answer(self, k: int, answers: list) -> None:
+        """Takes in the counts of order ``k``, and of n-grams that training lacks the context's numbers (``zero``: n-grams, followers by count, spent)."""
+        sent, ends = self.places(k)
+        count, zero = np.zeros(len(self.word[k]), np.int64), [(np.zeros(0, np.int64), np.zeros((KATZ, 0)), np.zeros(0))]
+        for x in answers or []:
+            j, c = sent[ends[x["p"]] : ends[x["p"] + 1]], unpacked(x["a"])
+            count[j] = c
+            z = j[c == 0]
+            if len(z):
+                zero.append((z, unpacked(x["b"]).reshape(KATZ, -1), np.frombuffer(unsqueezed(x["c"]))))
+        self.count.append(count)
+        self.zero.append(tuple(np.concatenate(c, axis=-1) for c in zip(*zero)))
+
+
+def deal_grams(k: int, model: Model) -> Callable:
+    schema, parts, most = arrow(GRAMS), model.parts, model.most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, docs, lens, held, tokens, hashes, found in zip(*(x.to_pylist() for x in b.columns)):
-                lens, held, t, h = unpacked(lens, "<u4").astype(np.int64), unpacked(held, "<u1").astype(bool), unpacked(tokens, "<u4").astype(np.int32), unpacked(hashes, "<u8")
-                c = np.zeros(len(h) + 1, np.int64)
-                for f in found:
-                    c[unpacked(f["lid"], "<u4")] = unpacked(f["c"], "<u8").astype(np.int64)
-                h, c[-1] = np.append(h, first), starts
-                begin = np.cumsum(lens) - lens
-                sums = np.add.reduceat(np.log10(c + 1.0)[t] - base, begin)
-                known = np.add.reduceat((c > 0).astype(np.int32)[t], begin)
-                yield batch([(chunk % parts, chunk, 1, docs, packed(lens, "<u4"), packed(held, "<u1"), packed(known, "<u4"), packed(sums, "<f8"), None, None, None, None, None)], schema)
-                # Words by count, then by hash: a pair's second word is known by both, which shortens what is sent.
-                word = np.minimum(c, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
-                prev = np.empty_like(t)
-                prev[1:] = t[:-1]
-                prev[begin] = len(h) - 1
-                doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
-                order = np.lexsort((doc, t, prev))
-                prev, t, doc = prev[order], t[order], doc[order]
-                del order
-                pair = np.flatnonzero(np.concatenate([[True], (prev[1:] != prev[:-1]) | (t[1:] != t[:-1])]))
-                posts = np.diff(np.append(pair, len(t)))
-                train = np.add.reduceat((~held)[doc].astype(np.int32), pair)
-                prev, t = prev[pair], t[pair]
-                cuts = np.maximum(1, -(-c // most)).astype(np.uint64)[prev]
-                p = ((h[prev] + h[t] % cuts * np.uint64(0x9E3779B1)) % np.uint64(parts)).astype(np.int32)
-                by = np.argsort(p, kind="stable")
-                ends = np.searchsorted(p[by], np.arange(parts + 1))
-                out = []
-                for k in range(parts):
-                    i = by[ends[k] : ends[k + 1]]
-                    if not len(i):
-                        continue
-                    n, v = posts[i], prev[i]
-                    at = np.repeat(pair[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    change = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-                    kinds, w = np.unique(word[t[i]], return_inverse=True)
-                    counts = np.zeros(len(kinds), np.int64)
-                    counts[w] = c[t[i]]
-                    heads = (packed(h[v][change], "<u8"), packed(np.diff(np.append(change, len(i))), "<u4"), packed(c[v][change], "<u8"))
-                    out.append((k, chunk, 0, None, *heads, packed(np.diff(kinds, prepend=np.uint64(0)), "<u8"), packed(w, "<u4"), packed(train[i], "<u4"), packed(n, "<u4"), packed(doc[at], "<u4"), packed(np.maximum(counts - ((1 << 24) - 1), 0), "<u8")))
-                yield batch(out, schema)
+        for chunk, *row in rows_of(batches):
+            c = Chunk(*row[:4], model)
+            for j in range(2, k + 1):
+                c.extend()
+                if j < k:
+                    c.answer(j, row[2 + j])
+            token_train = np.repeat(~c.held, c.lens)
+            train = np.bincount(c.at[k][token_train], minlength=len(c.word[k]))
+            lower = c.count[1][c.word[k]] if k == 2 else c.count[k - 1][c.suffix[k]]
+            heads = c.contexts(k)
+            sent, ends = c.places(k)
+            out = []
+            for p in range(parts):
+                i = sent[ends[p] : ends[p + 1]]
+                if not len(i):
+                    continue
+                context = c.context[k][i]
+                change = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+                head = [x[context[change]] for x in heads]
+                head[0] = np.diff(head[0], prepend=0)  # contexts ascend
+                cut = c.before[k][i[change]] > most
+                out.append((p, chunk, packed(np.concatenate(head)), packed(np.diff(np.append(change, len(i)))), packed(c.ids[c.word[k][i]]), packed(train[i]), packed(lower[i]), packed(cut)))
+            for at in range(0, len(out), 1024):
+                yield batch(out[at : at + 1024], schema)
+
+    return run
+
+
+def read_grams(k: int, rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Rows GRAMS as columns: heads (k - 1, contexts), cut by head, head of each n-gram, word, train, lower, and n-grams by row."""
+    heads, cuts, runs, cols, sizes = [], [], [], ([], [], []), []
+    for _, _, head, run, words, train, lower, cut in rows:
+        h = unpacked(head).reshape(k - 1, -1).copy()
+        h[0] = np.cumsum(h[0])
+        heads.append(h)
+        cuts.append(unpacked(cut))
+        runs.append(unpacked(run))
+        for c, x in zip(cols, (words, train, lower)):
+            c.append(unpacked(x))
+        sizes.append(len(cols[0][-1]))
+    run = np.concatenate(runs)
+    return np.concatenate(heads, axis=1), np.concatenate(cuts), np.repeat(np.arange(len(run)), run), *map(np.concatenate, cols), np.array(sizes)
+
+
+def add_grams(k: int, model: Model) -> Callable:
+    """Sums of a partition's n-grams. Out come the model's rows (kind 0), answers to chunks (kind 1), and the parts of contexts that are cut (kind 2)."""
+    schema, uni = arrow(SUMMED), model.unigrams
+    d = discounts(model.ranks[k - 2]) if k > 2 else None
+    none = (0,) * (KATZ + 1)
 
-    return rows.mapInArrow(run, BLOCKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, rows in by_first(batches):
+            names = [r[1] for r in rows]
+            heads, cut, head, word, train, lower, sizes = read_grams(k, rows)
+            del rows
+            which = np.unique(heads[0], return_inverse=True)[1]
+            for x in heads[1:]:
+                kinds, x = np.unique(x, return_inverse=True)
+                which = np.unique(which * len(kinds) + x, return_inverse=True)[1]
+            kinds, w = np.unique(word, return_inverse=True)
+            own, at = np.unique(which[head] * len(kinds) + w, return_inverse=True)
+            del w, word, head
+            context, n = own // len(kinds), int(which.max()) + 1
+            count = np.bincount(at, train, len(own)).astype(np.int64)
+            low = np.empty(len(own), np.int64)
+            low[at] = lower
+            del lower, train
+            seen = np.flatnonzero(count)
+            spent = np.bincount(context[seen], uni.p(low[seen]) if k == 2 else d[np.minimum(low[seen], KATZ + 1)] * low[seen], n)
+            followers = np.stack([np.bincount(context[count == r], minlength=n) for r in range(1, KATZ + 1)])
+            place = np.empty(n, np.int64)
+            place[which] = np.arange(len(which))
+            is_cut = cut[place] > 0
+            ranks = [int((count == r).sum()) for r in range(1, KATZ + 2)]
+            ctx = context[seen]
+            change = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+            head = [x[place[ctx[change]]] for x in heads]
+            first = np.lexsort(head[::-1]) if len(change) else change
+            if len(change):  # contexts in ascending order of their numbers
+                runs = np.diff(np.append(change, len(ctx)))
+                order = np.repeat(change[first] - (np.cumsum(runs[first]) - runs[first]), runs[first]) + np.arange(len(ctx))
+                head = [x[first] for x in head]
+                cuts = is_cut[ctx[change[first]]]
+                head[0] = np.diff(head[0], prepend=0)
+                yield batch([(0, p, -1, packed(np.concatenate(head)), packed(runs[first]), packed(kinds[own[seen] % len(kinds)][order]), packed(count[seen][order]), packed(low[seen][order]), packed(cuts), None, 0.0, *ranks)], schema)
+            out, begin = [], 0
+            for name, size in zip(names, sizes):
+                j = at[begin : begin + size]
+                begin += size
+                if name >= 0:
+                    zero = context[j[count[j] == 0]]
+                    out.append((1, p, name, packed(count[j]), packed(followers[:, zero].ravel()) if len(zero) else None, squeezed(spent[zero].tobytes()) if len(zero) else None, None, None, None, None, 0.0, *none))
+                if len(out) == 1024:
+                    yield batch(out, schema)
+                    out = []
+            out += [(2, p, -1, None, None, None, None, None, None, [int(x[place[c]]) for x in heads], float(spent[c]), *(int(f) for f in followers[:, c]), 0) for c in np.flatnonzero(is_cut)]
+            if out:
+                yield batch(out, schema)
 
+    return run
 
-def score_blocks(blocks: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
-    """Per partition of contexts: kind 0 sums of seen pairs by document, 1 the chunks' documents, 2 contexts with unseen pairs, 3 counts of counts."""
-    schema = arrow(SCORED)
-    most = max(1024, uni.total // (2 * parts))
-    none = (0,) * (KATZ + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[int] = []
-        docs: list[int] = []
-        cols: list[list] = [[] for _ in range(7)]
-        for b in batches:
-            for r in zip(*b.columns):
-                r = [x.as_py() for x in r]
-                if r[2] == 1:
-                    yield batch([(1, r[1], r[3], r[4], r[5], r[6], r[7], None, None, None, *none)], schema)
-                    continue
-                words = np.cumsum(unpacked(r[7], "<u8"))
-                counts = (words >> np.uint64(40)).astype(np.int64) + unpacked(r[12], "<u8").astype(np.int64)
-                times, w, ref = unpacked(r[5], "<u4"), unpacked(r[8], "<u4"), unpacked(r[11], "<u4").astype(np.int32)
-                names.append(r[1])
-                docs.append(int(ref.max(initial=0)) + 1)
-                mine = (np.repeat(unpacked(r[4], "<u8"), times), np.repeat(unpacked(r[6], "<u8").astype(np.int64), times), words[w], counts[w], unpacked(r[9], "<u4"), unpacked(r[10], "<u4"), ref + np.int32(sum(docs[:-1])))
-                for c, x in zip(cols, mine):
-                    c.append(x)
-                del r, words, counts, times, w, ref, mine
-        if not names:
-            return
-        offset = np.cumsum([0, *docs])
-
-        def whole(k: int) -> np.ndarray:
-            out, cols[k] = np.concatenate(cols[k]), []
-            return out
-
-        ph, wh = whole(0), whole(2)
-        order = np.lexsort((wh, ph)).astype(np.int32)
-        a = ph[order]
-        context = np.concatenate([[True], a[1:] != a[:-1]])
-        del ph
-        w = wh[order]
-        pair = context | np.concatenate([[True], w[1:] != w[:-1]])
-        del wh, w
-        lead, ctx_lead = np.flatnonzero(pair), np.flatnonzero(context)
-        count = np.add.reduceat(whole(4)[order], lead, dtype=np.int64)
-        which = np.empty(len(order), np.int32)
-        which[order] = np.cumsum(pair, dtype=np.int32) - 1
-        ctx_of_pair = (np.cumsum(context, dtype=np.int32) - 1)[lead]
-        first = order[lead]
-        p1, total = uni.p(whole(3)[first]), whole(1)[first]
-        a, ctx_total = a[ctx_lead], total[np.searchsorted(lead, ctx_lead)]
-        each = np.repeat(which, whole(5))
-        doc = whole(6)
-        del order, which, pair, context, first, lead
-        small = np.minimum(count, KATZ + 1)
-        yield batch([(3, None, None, None, None, None, None, None, None, None, *np.bincount(small, minlength=KATZ + 2)[1 : KATZ + 1].tolist(), int((count == KATZ + 1).sum()))], schema)
-        value = np.where(count > 0, np.log10(np.maximum(count, 1)) - np.log10(total + 1.0), np.log10(p1))
-        sums = np.bincount(doc, value[each], offset[-1])
-        ranks = [np.bincount(doc[small[each] == r], minlength=offset[-1]) for r in range(1, KATZ + 1)]
-        touched = np.bincount(doc, minlength=offset[-1]) > 0
-        for k, name in enumerate(names):
-            s = slice(offset[k], offset[k + 1])
-            at = np.flatnonzero(touched[s])
-            yield batch([(0, name, None, packed(at, "<u4"), packed(sums[s][at], "<f4"), packed(np.stack([x[s][at] for x in ranks]).ravel(), "<u4"), None, None, None, None, *none)], schema)
-        # Contexts that back off here, or that are cut and so have a part of their sums here.
-        seen, n_ctx = count > 0, len(ctx_lead)
-        cut = ctx_total > most
-        lost = (count == 0) & (total > 0)
-        wanted = np.bincount(ctx_of_pair[lost], minlength=n_ctx) > 0
-        wanted |= cut
-        mass = np.stack([np.bincount(ctx_of_pair[small == r], count[small == r], n_ctx) for r in range(1, KATZ + 2)])
-        spent = np.bincount(ctx_of_pair[seen], p1[seen], n_ctx)
-        number = np.cumsum(wanted) - 1
-        k = np.flatnonzero(lost[each])
-        key = number[ctx_of_pair[each[k]]] * offset[-1] + doc[k]
-        events, times = np.unique(key, return_counts=True)
-        ctx, at = np.divmod(events, max(offset[-1], 1))
-        chunk_of = np.searchsorted(offset, at, "right") - 1
-        if wanted.any():
-            yield batch([(2, None, names, packed(a[wanted], "<u8"), packed(ctx_total[wanted], "<u8"), packed(mass[:, wanted].ravel(), "<f8"), packed(spent[wanted], "<f8"), packed(cut[wanted], "<u1"), packed(np.concatenate([ctx, chunk_of, at - offset[chunk_of]]), "<u4"), packed(times, "<u4"), *none)], schema)
-
-    return blocks.repartition(parts, "p").mapInArrow(run, SCORED)
-
-
-def weight(mass: np.ndarray, spent: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Backoff weights: what discounting leaves of a context (one count is added to each, so some is always left), over the share of the unigrams not seen in it."""
-    return (1 - (d[1:, None] * mass).sum(axis=0) / (count + 1.0)) / (1 - spent)
-
-
-def finish(scored: DataFrame, uni: Unigrams, d: np.ndarray) -> DataFrame:
-    schema, result = arrow(SCORED), arrow(RESULT)
-    none = (0,) * (KATZ + 1)
+SUMMED = "kind int, p int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary, context array<long>, spent double, " + RANKS
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def read(r: tuple) -> tuple:
-        ph, count = unpacked(r[0], "<u8"), unpacked(r[1], "<u8").astype(np.int64)
-        return ph, count, unpacked(r[2], "<f8").reshape(KATZ + 1, -1), unpacked(r[3], "<f8"), unpacked(r[4], "<u1").astype(bool)
 
-    def parts_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in zip(*(x.to_pylist() for x in b.columns)):
-                ph, count, mass, spent, cut = read(r)
-                k = np.flatnonzero(cut)
-                if len(k):
-                    yield batch([(int(ph[i].view(np.int64)), int(count[i]), float(spent[i]), *map(float, mass[:, i])) for i in k], arrow(PARTS))
-
-    PARTS = "ph long, n long, s double, " + ", ".join(f"m{r} double" for r in range(1, KATZ + 2))
-    contexts = scored.filter("kind = 2").select("a", "b", "c", "d", "e")
-    # Contexts that are cut have more than total / (2 parts) tokens each, so there are at most 2 parts of them.
-    sums = contexts.mapInArrow(parts_, PARTS).groupBy("ph", "n").agg(*[F.sum(c).alias(c) for c in ["s", *(f"m{r}" for r in range(1, KATZ + 2))]]).collect()
-    whole = {r["ph"]: float(weight(np.array([[r[f"m{k}"]] for k in range(1, KATZ + 2)]), np.array([r["s"]]), np.array([r["n"]]), d)[0]) for r in sums}
-
-    def back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in zip(*(x.to_pylist() for x in b.columns)):
-                ph, count, mass, spent, cut = read(r[1:])
-                alpha = weight(mass, spent, count, d)
-                alpha[cut] = [whole[int(x)] for x in ph[cut].view(np.int64)]
-                ctx, chunk, doc = unpacked(r[6], "<u4").reshape(3, -1).astype(np.int64)
-                value = np.log10(alpha[ctx]) * unpacked(r[7], "<u4")
-                for k, name in enumerate(r[0]):
-                    own = chunk == k
-                    if own.any():
-                        s = np.bincount(doc[own], value[own])
-                        at = np.unique(doc[own])
-                        yield batch([(0, name, None, packed(at, "<u4"), packed(s[at], "<f4"), packed(np.zeros(KATZ * len(at)), "<u4"), None, None, None, None, *none)], schema)
-
-    later = scored.filter("kind = 2").select("docs", "a", "b", "c", "d", "e", "f", "g").mapInArrow(back_off, SCORED)
-    logs = np.log10(d[1 : KATZ + 1])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        heads: dict[int, tuple] = {}
-
-        def room(chunk: int, n: int) -> np.ndarray:
-            s = made.get(chunk, np.zeros(0))
-            if len(s) < n:
-                s = made[chunk] = np.concatenate([s, np.zeros(n - len(s))])
-            return s
+def evaluate(model: Model, whole: list[dict]) -> Callable:
+    """The recursion for every token of a chunk. ``whole[k]``: of contexts that are cut, followers by count, and spent, over all their parts."""
+    uni, d = model.unigrams, [None, *map(discounts, model.ranks)]
+    result, r = arrow(RESULT), np.arange(1, KATZ + 1)[:, None]
 
-        for b in batches:
-            for kind, chunk, docs, a, x, c, e in zip(*(y.to_pylist() for y in b.columns)):
-                if kind == 1:
-                    heads[chunk] = (docs, unpacked(a, "<u4"), unpacked(x, "<u1"), unpacked(c, "<u4"), unpacked(e, "<f8"))
-                else:
-                    at = unpacked(a, "<u4").astype(np.int64)
-                    s = room(chunk, int(at.max(initial=-1)) + 1)
-                    s[at] += unpacked(x, "<f4") + logs @ unpacked(c, "<u4").reshape(KATZ, -1)
-        for chunk, (docs, lens, held, known, base) in heads.items():
-            s = room(chunk, len(docs))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(held.astype(bool)), pa.array(lens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(docs), uni.total)), pa.array(base), pa.array(s[: len(docs)])], schema=result)
-
-    cols = ["kind", "chunk", "docs", "a", "b", "c", "d"]
-    return scored.filter("kind < 2").select(*cols).union(later.select(*cols)).repartition("chunk").mapInArrow(close, RESULT)
-
-
-def katz_scores(docs: DataFrame, held_out: str = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 7) = 2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, *row in rows_of(batches):
+            c = Chunk(*row[:4], model)
+            p = uni.p(c.count[1])[c.at[1]]
+            for k in range(2, model.order + 1):
+                c.extend()
+                c.answer(k, row[2 + k])
+                z, followers, spent = c.zero[k]
+                before = c.before[k][z]
+                big = np.flatnonzero(before > model.most)
+                if len(big):
+                    heads = [x[c.context[k][z[big]]] for x in c.contexts(k)]
+                    totals = [whole[k][key] for key in zip(*(x.tolist() for x in heads))]
+                    followers, spent = followers.copy(), spent.copy()
+                    followers[:, big], spent[big] = np.array([t[0] for t in totals]).T, [t[1] for t in totals]
+                left = 1 - ((d[k][1 : KATZ + 1, None] * r * followers).sum(axis=0) + before - (r * followers).sum(axis=0)) / (before + 1.0)
+                if k > 2:
+                    spent = spent / (c.before[k - 1][c.suffix[k][z]] + 1.0)
+                alpha = np.ones(len(c.word[k]))
+                alpha[z] = left / (1 - spent)
+                count = c.count[k]
+                own = d[k][np.minimum(count, KATZ + 1)] * count / (c.before[k] + 1.0)
+                p = np.where((count > 0)[c.at[k]], own[c.at[k]], alpha[c.at[k]] * p)
+            n = c.count[1][c.at[1]]
+            sums = lambda x: np.add.reduceat(x, c.begin) if len(c.begin) else x
+            base = sums(np.log10(n + 1.0) - np.log10(uni.total + uni.kinds + 1))
+            known, score = sums((n > 0).astype(np.int64)), sums(np.log10(p))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(c.held), pa.array(c.lens), pa.array(known), pa.array(np.full(len(docs), uni.total)), pa.array(base), pa.array(score)], schema=result)
+
+    return run
+
+
+class Tables:
+    """Scratch tables bucketed by chunk, so that what belongs to a chunk is joined without a shuffle; dropped at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+        self.buckets = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        name, path = f"tidelog_katz_{uuid.uuid4().hex}", new_path(self.spark, "katz")
+        rows.write.format("parquet").bucketBy(self.buckets, "chunk").option("path", path).saveAsTable(name)
+        self.made.append((name, path))
+        return self.spark.table(name)
+
+    def answers(self, rows: DataFrame, name: str) -> DataFrame:
+        """Answers (p, chunk, a, b, c) as one row a chunk."""
+        rows = self.add(rows.select("p", "chunk", "a", "b", "c").repartition(self.buckets, "chunk"))
+        return rows.groupBy("chunk").agg(F.collect_list(F.struct("p", "a", "b", "c")).alias(name))
+
+    def forget(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop(self) -> None:
+        for name, path in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.forget(path)
+
+    def free(self) -> None:
+        """Lets go of the shuffle files of passes that are over: they are deleted once their plans are garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 7) = 2"
+
+
+def _passes(docs: DataFrame, model: Model | None, order: int, held_out: str, store: str) -> tuple[DataFrame, Model]:
+    """Scores of ``docs``, by ``model`` or by one fitted on those of them that are not held out, whose tables then are under ``store``."""
+    spark, tables, given = docs.sparkSession, Tables(docs.sparkSession), model
+    rows = tables.add(chunks(docs.select("doc_id", F.expr(held_out).alias("held"), "text")))
+    s = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts")).first()
+    parts = given.parts if given else -(-s["n"] // PART) or 1
+    path = new_path(spark, "numbered") if given else f"{store}/words"
+    known = spark.read.parquet(given.words).select("p", "chunk", F.col("a").alias("words"), F.lit(None).cast("binary").alias("at"), F.col("b").alias("counts")) if given else None
+    number_words(rows, parts, known).withColumn("kind", F.when(F.col("chunk") < 0, 0).otherwise(1)).write.partitionBy("kind").parquet(path)
+    numbered = spark.read.schema(f"{ANSWERS}, kind int").parquet(path)
+    if not given:
+        stats = numbered.filter("kind = 0").select("b").mapInArrow(_ranks, f"n long, v long, {RANKS}")
+        t = stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", *(f"r{r}" for r in range(1, KATZ + 2)))]).first()
+        counts = [0, *(t[f"r{r}"] for r in range(1, KATZ + 2))]
+        model = Model(order, parts, s["starts"], t["n"], t["v"], [counts], f"{path}/kind=0")
+    joined = rows.select("chunk", "docs", "lens", "held", "tokens").hint("merge").join(tables.answers(numbered.filter("kind = 1"), "a1"), "chunk")
+    tables.forget(f"{path}/kind=1")
+    columns, whole, scratch = ["lens", "held", "tokens", "a1"], [{}, {}], [path] if given else []
+    for k in range(2, model.order + 1):
+        tables.free()
+        sent = joined.select("chunk", *columns).mapInArrow(deal_grams(k, model), GRAMS)
+        if given:
+            sent = sent.union(spark.read.parquet(given.grams[k - 2]).select(*[F.col(a).alias(b) for a, b in zip(("p", "chunk", "a", "b", "c", "d", "e", "f"), [x.split()[0] for x in GRAMS.split(", ")])]))
+        path = f"{store}/grams{k}" if not given else new_path(spark, "summed")
+        dealt(sent, parts).mapInArrow(add_grams(k, model), SUMMED).write.partitionBy("kind").parquet(path)
+        summed = spark.read.schema(SUMMED).parquet(path)
+        if given:
+            scratch.append(path)
+        else:
+            t = summed.filter("kind = 0").agg(*[F.coalesce(F.sum(f"r{r}"), F.lit(0)).alias(f"r{r}") for r in range(1, KATZ + 2)]).first()
+            model.ranks.append([0, *(t[f"r{r}"] for r in range(1, KATZ + 2))])
+            model.grams.append(f"{path}/kind=0")
+        # A context that is cut has more than total / (2 parts) tokens, so these are at most 4 rows a partition.
+        cut = summed.filter("kind = 2").groupBy("context").agg(F.sum("spent").alias("s"), *[F.sum(f"r{r}").alias(f"r{r}") for r in range(1, KATZ + 1)]).collect()
+        whole.append({tuple(r["context"]): ([r[f"r{i}"] for i in range(1, KATZ + 1)], r["s"]) for r in cut})
+        joined = joined.join(tables.answers(summed.filter("kind = 1"), f"a{k}"), "chunk", "left")
+        columns.append(f"a{k}")
+        if not given:
+            tables.forget(f"{path}/kind=1")
+    scores = written(joined.select("docs", *columns).mapInArrow(evaluate(model, whole), RESULT), "scores")
+    tables.drop()
+    for path in scratch:
+        tables.forget(path)
+    return scores, model
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (b,) in rows_of(batches):
+        c = unpacked(b)
+        c = c[c > 0]
+        yield batch([(int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, KATZ + 2)))], arrow(f"n long, v long, {RANKS}"))
+
+
+def katz_scores(docs: DataFrame, held_out: str = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", order: int = 2, store: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
     Tokens are words between ASCII white space with A-Z lower-cased, then one end. The model learns from the documents that ``held_out`` (SQL over
-    doc_id) is not true of. P(w | v) is d(c) c(v, w) / (c(v) + 1) for a pair that training has, else a(v) P(w), with a(v) such that the sum over
-    all words is exactly 1; P(w) is P(w | v) where training lacks v. Null and empty texts are the end alone; a null id counts as an empty
-    one for ``held_out``. Repeated rows are documents of their own. With no training text every token is an unseen word. Empty input: no rows.
+    doc_id) is not true of. P(w | h) is d(c) c(h, w) / (c(h) + 1) where training has w after the ``order`` - 1 words h, else a(h) P(w | h'), h' being h
+    without its first word and a(h) such that the sum over all words is exactly 1; P(w | h) is P(w | h') where training lacks h. A text's
+    beginning counts as a word before it. Words are told apart by themselves, not by a hash, and sums are double precision throughout.
+    Null and empty texts are the end alone; a null id counts as an empty one for ``held_out``. Repeated rows are documents of their
+    own. With no training text every token is an unseen word. Empty input: no rows. The model's tables stay under ``store``, if that is given.
     """
-    spark = docs.sparkSession
-    parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    plain = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.expr(held_out).alias("held"), "text")
-    name = f"tidelog_chunks_{uuid.uuid4().hex}"
-    chunks(plain).write.format("parquet").bucketBy(parts, "chunk").option("path", new_path(spark, "chunks")).saveAsTable(name)
-    rows = spark.table(name)
-    counted = written(count_words(rows, parts), "counted")
-    s = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", *(f"r{r}" for r in range(1, KATZ + 2)))]).first()
-    uni = Unigrams(s["n"], s["v"], [0, *(s[f"r{r}"] for r in range(1, KATZ + 2))])
-    starts = plain.filter("NOT held").count()
-    found = counted.groupBy("chunk").agg(F.collect_list(F.struct("lid", "c")).alias("found"))
-    blocks = pair_blocks(rows.select("chunk", "docs", "lens", "held", "tokens", "hashes").hint("merge").join(found, "chunk").select("chunk", "docs", "lens", "held", "tokens", "hashes", "found"), parts, uni, starts)
-    scored = written(score_blocks(blocks, parts, uni), "scored")
-    n = scored.filter("kind = 3").agg(*[F.coalesce(F.sum(f"r{r}"), F.lit(0)).alias(f"r{r}") for r in range(1, KATZ + 2)]).first()
-    return finish(scored, uni, discounts([0, *(n[f"r{r}"] for r in range(1, KATZ + 2))]))
+    return fit(docs, order, held_out, id_col, text_col, store)[0]
+
+
+def fit(docs: DataFrame, order: int = 3, held_out: str = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", store: str | None = None) -> tuple[DataFrame, Model]:
+    """``katz_scores`` and the model, whose tables are under ``store`` (a new folder beside the other scratch tables if none is named)."""
+    if order < 2:
+        raise ValueError("an order of 2 at least")
+    plain = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    at = store or new_path(docs.sparkSession, "katz-model")
+    scores, model = _passes(plain, None, order, held_out, at)
+    return scores, model
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` scored by a stored model, columns as in ``katz_scores``; all are held out."""
+    plain = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return _passes(plain, model, model.order, "true", "")[0]
+
+
+def ngrams(spark: SparkSession, model: Model, k: int) -> DataFrame:
+    """The model's table of order ``k`` as plain rows: context (word numbers, 0 for a text's beginning), word, count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            heads, _, head, word, count, _, _ = read_grams(k, [r])
+            yield pa.RecordBatch.from_arrays([pa.array(list(heads[:, head].T), pa.list_(pa.int64())), pa.array(word), pa.array(count)], names=["context", "word", "count"])
+
+    return spark.read.parquet(model.grams[k - 2]).select("p", "chunk", "a", "b", "c", "d", "e", "f").mapInArrow(run, "context array<long>, word long, count long")
 
 
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(table(spark, sf_dir, "documents"))
+    return fit(table(spark, sf_dir, "documents"), order=3)[0]
