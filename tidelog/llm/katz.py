@@ -35,13 +35,13 @@ from .common import new_path, pick, table, written
 #: Counts up to this are discounted.
 KATZ = 5
 #: Tokens of a chunk, and tokens that a partition of contexts is made for.
-CHUNK = PART = 1 << 21
+CHUNK, PART = 1 << 21, 1 << 20
 END = b""  # no word is empty
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def squeezed(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unsqueezed(b: bytes) -> bytes:
@@ -66,6 +66,22 @@ def unpacked(b: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of integers from 0 on, ascending, and each one's place among them. Value and place are sorted as one integer where they fit."""
+    bits = max(len(a) - 1, 1).bit_length()
+    if not len(a) or int(a.max()).bit_length() + bits > 63:
+        own, at = np.unique(a, return_inverse=True)
+        return own, at.astype(np.int32)
+    both = np.sort(a.astype(np.int64) << bits | np.arange(len(a)))
+    place, both = (both & ((1 << bits) - 1)).astype(np.int32), both >> bits
+    new = np.empty(len(both), bool)
+    new[0] = True
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    at = np.empty(len(both), np.int32)
+    at[place] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], at
+
+
 def arrow(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.schema([pa.field(n, kinds[t]) for n, t in (x.split(" ") for x in ddl.split(", "))])
@@ -257,8 +273,8 @@ class Chunk:
             at = unpacked(x["a"])
             ids[at], count[at] = unpacked(x["b"]), unpacked(x["c"])
         order = np.argsort(ids, kind="stable")
-        label = np.empty(n, np.int64)
-        label[order] = np.arange(n)
+        label = np.empty(n, np.int32)
+        label[order] = np.arange(n, dtype=np.int32)
         self.ids, self.begin = ids[order], np.cumsum(self.lens) - self.lens
         self.at, self.count = [None, label[t]], [None, count[order]]
         self.context, self.word, self.suffix, self.before = [[None, None] for _ in range(4)]
@@ -270,11 +286,13 @@ class Chunk:
         context = np.empty(len(last), np.int64)
         context[1:] = last[:-1] + 1
         context[self.begin] = 0
-        own, at = np.unique(context * len(self.ids) + self.at[1], return_inverse=True)
-        suffix = np.empty(len(own), np.int64)
+        context *= len(self.ids)
+        context += self.at[1]
+        own, at = numbered(context)
+        suffix = np.empty(len(own), np.int32)
         suffix[at] = last
-        self.context.append(own // max(len(self.ids), 1))
-        self.word.append(own % max(len(self.ids), 1))
+        self.context.append((own // max(len(self.ids), 1)).astype(np.int32))
+        self.word.append((own % max(len(self.ids), 1)).astype(np.int32))
         self.suffix.append(suffix)
         self.at.append(at)
         self.before.append(np.concatenate([[self.model.starts], self.count[len(self.at) - 2]])[self.context[-1]])
@@ -346,7 +364,7 @@ def read_grams(k: int, rows: list[tuple]) -> tuple[np.ndarray, ...]:
     """Rows GRAMS as columns: heads (k - 1, contexts), cut by head, head of each n-gram, word, train, lower, and n-grams by row."""
     heads, cuts, runs, cols, sizes = [], [], [], ([], [], []), []
     for _, _, head, run, words, train, lower, cut in rows:
-        h = unpacked(head).reshape(k - 1, -1).copy()
+        h = unpacked(head).reshape(k - 1, -1)
         h[0] = np.cumsum(h[0])
         heads.append(h)
         cuts.append(unpacked(cut))
@@ -369,13 +387,15 @@ def add_grams(k: int, model: Model) -> Callable:
             names = [r[1] for r in rows]
             heads, cut, head, word, train, lower, sizes = read_grams(k, rows)
             del rows
-            which = np.unique(heads[0], return_inverse=True)[1]
+            which = numbered(heads[0])[1]
             for x in heads[1:]:
-                kinds, x = np.unique(x, return_inverse=True)
-                which = np.unique(which * len(kinds) + x, return_inverse=True)[1]
-            kinds, w = np.unique(word, return_inverse=True)
-            own, at = np.unique(which[head] * len(kinds) + w, return_inverse=True)
-            del w, word, head
+                kinds, x = numbered(x)
+                which = numbered(which.astype(np.int64) * len(kinds) + x)[1]
+            kinds, word = numbered(word)
+            word = which[head].astype(np.int64) * len(kinds) + word
+            del head
+            own, at = numbered(word)
+            del word
             context, n = own // len(kinds), int(which.max()) + 1
             count = np.bincount(at, train, len(own)).astype(np.int64)
             low = np.empty(len(own), np.int64)
