@@ -35,7 +35,7 @@ from .common import new_path, pick, table, written
 #: Counts up to this are discounted.
 KATZ = 5
 #: Tokens of a chunk, and tokens that a partition of contexts is made for.
-CHUNK, PART = 1 << 21, 1 << 20
+CHUNK, PART = 3 << 19, 1 << 20
 END = b""  # no word is empty
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -72,8 +72,12 @@ def numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(a) or int(a.max()).bit_length() + bits > 63:
         own, at = np.unique(a, return_inverse=True)
         return own, at.astype(np.int32)
-    both = np.sort(a.astype(np.int64) << bits | np.arange(len(a)))
-    place, both = (both & ((1 << bits) - 1)).astype(np.int32), both >> bits
+    both = a.astype(np.int64)  # worked on in place, for its size
+    both <<= bits
+    both |= np.arange(len(a))
+    both.sort()
+    place = (both & ((1 << bits) - 1)).astype(np.int32)
+    both >>= bits
     new = np.empty(len(both), bool)
     new[0] = True
     np.not_equal(both[1:], both[:-1], out=new[1:])
@@ -314,14 +318,14 @@ class Chunk:
         by = np.argsort(p, kind="stable")
         return chosen[by], np.searchsorted(p[by], np.arange(parts + 1))
 
-    def answer(self, k: int, answers: list) -> None:
-        """Takes in the counts of order ``k``, and of n-grams that training lacks the context's numbers (``zero``: n-grams, followers by count, spent)."""
+    def answer(self, k: int, answers: list, weights: bool = True) -> None:
+        """Takes in the counts of order ``k``, and, with ``weights``, of n-grams that training lacks the context's numbers (``zero``: n-grams, followers by count, spent)."""
         sent, ends = self.places(k)
         count, zero = np.zeros(len(self.word[k]), np.int64), [(np.zeros(0, np.int64), np.zeros((KATZ, 0)), np.zeros(0))]
         for x in answers or []:
             j, c = sent[ends[x["p"]] : ends[x["p"] + 1]], unpacked(x["a"])
             count[j] = c
-            z = j[c == 0]
+            z = j[c == 0] if weights else []
             if len(z):
                 zero.append((z, unpacked(x["b"]).reshape(KATZ, -1), np.frombuffer(unsqueezed(x["c"]))))
         self.count.append(count)
@@ -337,7 +341,7 @@ def deal_grams(k: int, model: Model) -> Callable:
             for j in range(2, k + 1):
                 c.extend()
                 if j < k:
-                    c.answer(j, row[2 + j])
+                    c.answer(j, row[2 + j], weights=False)
             token_train = np.repeat(~c.held, c.lens)
             train = np.bincount(c.at[k][token_train], minlength=len(c.word[k]))
             lower = c.count[1][c.word[k]] if k == 2 else c.count[k - 1][c.suffix[k]]
