@@ -102,3 +102,16 @@ def test_findings_of_a_lost_batch_do_not_count(spark):
     ledger = S.BlobLedger(spark, new_path(spark, "ledger"))
     spark.createDataFrame([("b", "assign", "1", 0, 5, "lost")], S.FINDINGS).write.mode("append").parquet(f"{ledger.path}/findings")
     assert ledger.findings.count() == 0
+
+
+def test_history_is_looked_up_by_bucket(spark):
+    """The ledger has a row a blob and batch, and neither the look-up nor the join of findings shuffles it."""
+    ledger = S.BlobLedger(spark, new_path(spark, "ledger"), buckets=4)
+    S.scan(frame(spark, SECRETS), ledger).collect()
+    assert ledger.rows.count() == ledger.rows.select("blob").distinct().count() and ledger.scanned.count() == ledger.rows.count() * len(S.RULES)
+    plan = ledger.known._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+    again = S.BlobLedger(spark, ledger.path)
+    ledger.close()
+    again = S.BlobLedger(spark, ledger.path)
+    assert again.buckets == 4 and again.scanned.count() > 0 and S.scan(frame(spark, SECRETS), again).count() == len(SECRETS)

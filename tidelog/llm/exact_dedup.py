@@ -31,6 +31,10 @@ class DigestIndex:
             at = f"{path}/rows".replace("'", "''")
             spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, n BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{at}'")
 
+    def close(self) -> None:
+        """Takes the table out of the session's catalogue, not its files: a later index of the same path opens them again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     @property
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -91,7 +95,10 @@ def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, new_path(spark, "digest-index")))
+    index = DigestIndex(spark, new_path(spark, "digest-index"))
+    found = exact_dedup(table(spark, sf_dir, "documents"), index)
+    index.close()
+    return found
 
 
 ORACLE = """

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, pick, table, written
+from .common import dropped, new_path, pick, table, written
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,10 @@ class Rule:
     least: int = 1
     version: str = "1"
 
+    @property
+    def name(self) -> str:
+        return f"{self.kind}:{self.version}"
+
 
 #: In the order in which kinds are listed; the first three are the base.
 RULES = [
@@ -36,57 +41,89 @@ RULES = [
 ]
 BASE = ("assign", "access", "hex")
 
-SCANNED = "blob string, kind string, version string, batch string"
+SCANNED = "blob string, rules array<string>, batch string"
 FINDINGS = "blob string, kind string, version string, start long, stop long, batch string"
 
 
 class BlobLedger:
-    """Which (blob, rule, rule version) have been scanned, and what was found; two append-only Parquet tables under ``path``.
+    """Which (blob, rule, rule version) have been scanned, and what was found; two append-only tables under ``path``.
 
-    A batch's findings are written before its scanned pairs, and only findings of batches that the scanned table names count: a run
-    lost in between leaves no trace but unread files and is scanned again. ``path`` must be in storage that all executors share.
+    The first has a row a blob and batch with the rules (kind:version) scanned for, bucketed and sorted by blob, so that looking a new batch up does not
+    shuffle the history. A batch's findings are written before its scanned rows, and only findings of batches that the scanned table
+    names count: a run lost in between leaves no trace but unread files and is scanned again. ``path`` must be in storage that
+    all executors share; ``buckets`` is fixed when the ledger is made and is kept beside it. ``close`` takes the table out of the session's catalogue, not its files.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        for name, schema in (("scanned", SCANNED), ("findings", FINDINGS)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+        self.name = "tidelog_ledger_" + hashlib.md5(path.encode()).hexdigest()[:16]
+        meta = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+        if meta.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta):
+            self.buckets = spark.read.parquet(f"{path}/meta").first()["buckets"]
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.createDataFrame([], FINDINGS).write.mode("append").parquet(f"{path}/findings")
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/meta")
+        if not spark.catalog.tableExists(self.name):
+            at = f"{path}/scanned".replace("'", "''")
+            spark.sql(f"CREATE TABLE {self.name} (blob STRING, rules ARRAY<STRING>, batch STRING) USING parquet CLUSTERED BY (blob) SORTED BY (blob) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
 
     @property
     def scanned(self) -> DataFrame:
-        return self.spark.read.schema(SCANNED).parquet(f"{self.path}/scanned")
+        """(blob, kind, version, batch): a row a scanned pair."""
+        rule = F.split("rule", ":")
+        return self.rows.select("blob", F.explode("rules").alias("rule"), "batch").select("blob", rule[0].alias("kind"), rule[1].alias("version"), "batch")
+
+    @property
+    def known(self) -> DataFrame:
+        """(blob, known): all rules that a blob has been scanned for."""
+        return self.rows.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("known"))
 
     @property
     def findings(self) -> DataFrame:
-        return self.spark.read.schema(FINDINGS).parquet(f"{self.path}/findings").join(self.scanned, ["blob", "kind", "version", "batch"], "left_semi")
+        """What the batches that are complete have found."""
+        found = self.spark.read.schema(FINDINGS).parquet(f"{self.path}/findings")
+        return found.join(self.rows.select("blob", "batch"), ["blob", "batch"], "left_semi").select(*found.columns)
 
-    def record(self, found: DataFrame, pairs: DataFrame) -> None:
+    def record(self, found: DataFrame, todo: DataFrame) -> None:
         batch = F.lit(uuid.uuid4().hex)
         found.select("blob", "kind", "version", "start", "stop", batch.alias("batch")).write.mode("append").parquet(f"{self.path}/findings")
-        pairs.select("blob", "kind", "version", batch.alias("batch")).write.mode("append").parquet(f"{self.path}/scanned")
+        rows = todo.select("blob", "rules", batch.alias("batch")).repartition(self.buckets, "blob")
+        rows.write.format("parquet").mode("append").bucketBy(self.buckets, "blob").sortBy("blob").saveAsTable(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def spans(texts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(blob, kind, version, start, stop) of ``texts`` (blob, kinds to scan for, text): per kind leftmost non-overlapping matches.
+    """(blob, kind, version, start, stop) of ``texts`` (blob, names of the rules to scan for, text): per kind leftmost non-overlapping matches.
 
-    A match's place comes from the lengths, in code points, of the pieces between matches and of the matches before it.
+    A text is searched for the matches and cut at them; a rule's group is looked up in the short matches, not in the text again. A match's place comes from the lengths, in code points, of the pieces between matches and of the matches before it.
     """
     each = []
     for r in rules:
-        p, wanted = F.lit(r.pattern), F.array_contains("kinds", r.kind) & F.col("text").rlike(r.hint)
+        p, wanted = F.lit(r.pattern), F.array_contains("rules", r.name) & F.col("text").rlike(r.hint)
+        found = F.when(wanted, F.regexp_extract_all("text", p, F.lit(0)))
         each.append(
             F.struct(
                 F.lit(r.kind).alias("kind"),
                 F.lit(r.version).alias("version"),
                 F.lit(r.least).alias("least"),
-                F.when(wanted, F.regexp_extract_all("text", p, F.lit(0))).alias("m"),
-                F.when(wanted, F.regexp_extract_all("text", p, F.lit(r.group))).alias("g"),
+                found.alias("m"),
                 F.when(wanted, F.split("text", r.pattern, -1)).alias("s"),
             )
         )
     hit = texts.select("blob", F.inline(F.array(*each))).filter(F.size("m") > 0)
-    hit = hit.select("blob", "kind", "version", "least", F.posexplode(F.arrays_zip("m", "g", F.slice("s", F.lit(1), F.size("m")).alias("s"))).alias("i", "x"))
-    hit = hit.select("blob", "kind", "version", "least", "i", F.length("x.m").alias("lm"), F.length("x.g").alias("lg"), F.length("x.s").alias("ls"))
+    hit = hit.select("blob", "kind", "version", "least", F.posexplode(F.arrays_zip("m", F.slice("s", F.lit(1), F.size("m")).alias("s"))).alias("i", "x"))
+    group = F.length("x.m")
+    for r in rules:
+        if r.group:
+            group = F.when(F.col("kind") == r.kind, F.length(F.regexp_extract("x.m", r.pattern, r.group))).otherwise(group)
+    hit = hit.select("blob", "kind", "version", "least", "i", F.length("x.m").alias("lm"), group.alias("lg"), F.length("x.s").alias("ls"))
     run = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("stop", F.sum(F.col("ls") + F.col("lm")).over(run).cast("long"))
     return hit.filter("lg >= least").select("blob", "kind", "version", (F.col("stop") - F.col("lm")).alias("start"), "stop")
@@ -101,20 +138,19 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: list[Rule] = RULES, id_col:
     paths like any other. Empty input: no rows. A blob with very many paths meets its one row of findings in an exchanged equi-join,
     which adaptive execution splits.
     """
-    spark = docs.sparkSession
     plain = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = plain.withColumn("blob", F.sha2("text", 256))
     paths = written(named.select("doc_id", "blob"), "paths")
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("rep"))
-    every = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]))
-    pairs = blobs.select("blob", "rep", every.alias("r")).select("blob", "rep", "r.kind", "r.version")
-    todo = written(pairs.join(ledger.scanned, ["blob", "kind", "version"], "left_anti"), "todo")
-    work = todo.groupBy("blob").agg(F.first("rep").alias("rep"), F.collect_set("kind").alias("kinds"))
-    texts = named.join(work.select(F.col("blob").alias("b"), "rep", "kinds"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("b")))
-    ledger.record(spans(texts.select("blob", "kinds", "text"), rules).distinct(), todo)
+    names = F.array(*[F.lit(r.name) for r in rules])
+    work = blobs.join(ledger.known, "blob", "left").select("blob", "rep", F.array_except(names, F.coalesce("known", F.array().cast("array<string>"))).alias("rules"))
+    todo = written(work.filter(F.size("rules") > 0), "todo")
+    texts = named.join(todo.select(F.col("blob").alias("b"), "rep", "rules"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("b")))
+    ledger.record(spans(texts.select("blob", "rules", "text"), rules).distinct(), todo)
+    dropped(todo)
     order = F.coalesce(*[F.when(F.col("kind") == r.kind, i) for i, r in enumerate(rules)])
-    now = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version string")
-    found = ledger.findings.join(F.broadcast(now), ["kind", "version"]).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", order.alias("o"), "stop", "kind"))).alias("f"))
+    mine = F.concat_ws(":", "kind", "version").isin([r.name for r in rules])
+    found = ledger.findings.filter(mine).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", order.alias("o"), "stop", "kind"))).alias("f"))
     found = written(found, "found")
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     base = F.filter("f", lambda x: x["kind"].isin(*BASE))
@@ -130,7 +166,10 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: list[Rule] = RULES, id_col:
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), BlobLedger(spark, new_path(spark, "secret-ledger"))).drop("findings")
+    ledger = BlobLedger(spark, new_path(spark, "secret-ledger"))
+    found = scan(table(spark, sf_dir, "documents"), ledger).drop("findings")
+    ledger.close()
+    return found
 
 
 def _sql(r: Rule, i: int) -> str:
