@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +68,44 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return plain.join(ids.toDF("_id"), F.col(f"_c{at}").eqNullSafe(F.col("_id")), "left_semi").toDF(*names)
 
 
+#: Rows of a table that is broadcast at most.
+BROADCAST = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST`` rows, else joined as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches sorted by an integer column, regrouped: each list holds whole groups of equal values, and stops at the first end of a group beyond ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v = b.column(column).to_numpy()
+        begin = 0
+        for end in np.append(np.flatnonzero(v[1:] != v[:-1]) + 1, b.num_rows).tolist():
+            if v[begin] != last and n >= rows:
+                yield held
+                held, n = [], 0
+            last = v[begin]
+            held.append(b.slice(begin, end - begin))
+            n += end - begin
+            begin = end
+    if held:
+        yield held
+
+
 def split_hot(df: DataFrame, keys: list[str], id_col: str, target: int) -> DataFrame:
     """Adds ``part_a``, ``part_b``: a key with more than ``target`` rows is cut into blocks by hash of ``id_col`` and each row goes
     to every pair of blocks that holds its own, so that each pair of rows of a key meets in exactly one (key, part_a, part_b):
-    that with part_a, part_b the smaller and larger of their blocks. Column ``part`` is the row's own block.
+    that with part_a, part_b the smaller and larger of their blocks. Column ``part`` is the row's own block. The table of hot keys is
+    broadcast where it is small, so ``df`` is not shuffled for it.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target)
-    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_n") / target).cast("int").alias("_blocks"))
+    counts = small(written(counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_n") / target).cast("int").alias("_blocks")), "hot"))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     joined = df.join(counts, on, "left").drop(*[f"_k_{k}" for k in keys])
     joined = joined.withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int"))

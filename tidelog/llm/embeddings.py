@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, split_hot, table, written
+from .common import pick, split_hot, table, whole_groups, written
 from .components import connected_components
 from .simhash import local_roots
 
@@ -126,7 +126,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
 
     The rotations are learned on at most ``sample`` vectors; every vector is indexed. A table's key is cut in two halves and a vector goes to
     both, so keys that differ in at most one bit meet in a half that is equal. A pair counts in the first table, and there in the first half, in which it
-    can be found. A task returns for each vector its number of links and the smallest vector it reaches there. Extra columns are not looked at.
+    can be found. A task takes its keys one after another, some ``BLOCK`` rows at a time, and returns for each vector its number of links and the smallest vector it reaches there. Extra columns are not looked at.
     """
     spark = rows.sparkSession
     all_rows, dt = vectors(rows, id_col, vec_col, label_col)
@@ -160,9 +160,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
+        for got in whole_groups(batches, 6, BLOCK):
+            yield link_groups(got)
+
+    def link_groups(got: list[pa.RecordBatch]) -> pa.RecordBatch:
         rep, n, j, h, g, ld, part, same = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in (0, 1, 4, 5, 6, 7, 8, 9))
         raw = [v for b in got for v in b.column(2)]
         keys = np.concatenate([b.column(3).flatten().to_numpy().reshape(b.num_rows, -1) for b in got])
@@ -197,9 +198,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
 
         root = local_roots(len(rep), linked())
         own = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(links[own]), pa.array(rep[root[own]])], names=["rep", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(links[own]), pa.array(rep[root[own]])], names=["rep", "links", "root"])
 
-    found = written(dealt.repartition(parts, "g").mapInArrow(link, "rep long, links long, root long"), "links")
+    found = written(dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(link, "rep long, links long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     components = connected_components(edges).select(F.col("node").alias("rep"), "component")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_ids, pick, split_hot, table, written
+from .common import keep_ids, pick, split_hot, table, whole_groups, written
 from .components import connected_components
 
 BITS = 64
@@ -124,7 +124,8 @@ def links(fps: DataFrame, tau: int = 4, block: int = BLOCK) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp, no repeats) with the same components as all pairs within ``tau`` bits.
 
     Every fingerprint goes to the values of its ``tau`` + 1 segments. Of each value's pairs the chains are checked in a task; a value
-    with more than ``block`` fingerprints is cut into blocks whose pairs are dealt to several tasks. A task returns, per fingerprint,
+    with more than ``block`` fingerprints is cut into blocks whose pairs are dealt to several tasks. A task takes its groups one after another,
+    some ``block`` rows at a time, so its memory does not grow with its share of the input. It returns, per fingerprint,
     a link to the smallest one it reaches within the task, so a dense ball of n near copies gives n - 1 edges, not all its pairs.
     """
     seg = segments(BITS, tau)
@@ -134,17 +135,15 @@ def links(fps: DataFrame, tau: int = 4, block: int = BLOCK) -> DataFrame:
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        fp, start, g = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
-        fp = fp.view(np.uint64)
-        group = np.unique(g, return_inverse=True)[1]
-        root = local_roots(len(fp), chained_pairs(fp, start.astype(np.int64), group, tau))
-        own = np.flatnonzero(root != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[root[own]].view(np.int64))], names=["a", "b"])
-
-    return rows.repartition(n, "g").mapInArrow(run, "a long, b long")
+        for got in whole_groups(batches, 2, block):
+            fp, start, g = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
+            fp = fp.view(np.uint64)
+            group = np.unique(g, return_inverse=True)[1]
+            root = local_roots(len(fp), chained_pairs(fp, start.astype(np.int64), group, tau))
+            own = np.flatnonzero(root != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[root[own]].view(np.int64))], names=["a", "b"])
+
+    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = 4) -> DataFrame:
