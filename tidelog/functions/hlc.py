@@ -6,6 +6,8 @@ order as a string is the order of time, and of the 16 bytes.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,12 @@ def millis(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`) div 1000")
 
 
+def instant(hlc: str, more: int = 0) -> Column:
+    """The time of a text timestamp's millis plus ``more``, as a timestamp without time zone that a scan can compare with."""
+    ms = min(int(hlc[:12], 16) + more, 253_402_300_799_999)  # the end of the year 9999
+    return F.expr(f"timestamp_ntz'{(datetime(1970, 1, 1) + timedelta(milliseconds=ms)).isoformat(sep=' ', timespec='milliseconds')}'")
+
+
 def node(number: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(number), 16, "0"))
 

@@ -14,19 +14,30 @@ def accepts(current: Column, incoming: Column) -> Column:
     return current.isNull() | (current < incoming)
 
 
-def cells(log: DataFrame, keys: list[str], value: str = "value", hlc: str = "hlc") -> DataFrame:
-    """The winner of each cell; a null value can win. One partial and one final aggregate, so a much-changed cell is no hot key."""
-    return log.groupBy(*keys).agg(F.max_by(value, hlc).alias(value), F.max(hlc).alias(hlc))
+def cells(log: DataFrame, keys: list[str], value: str = "value", hlc: str = "hlc", arrival: str | None = None) -> DataFrame:
+    """The winner of each cell; a null value can win. One partial and one final aggregate, so a much-changed cell is no hot key.
+
+    Of changes with equal timestamps the first stays: by the number ``arrival``, or, without, in the log's own order (that in which it is read).
+    """
+    at = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
+    rows = log.select(*keys, value, hlc, (-at).alias("_late"))
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(hlc, "_late")).alias(value), F.max(hlc).alias(hlc))
 
 
 def cells_as_of(log: DataFrame, keys: list[str], at: str, value: str = "value", hlc: str = "hlc") -> DataFrame:
     return cells(log.filter(F.col(hlc) <= at), keys, value, hlc)
 
 
-def merge_cells(current: DataFrame, log: DataFrame, keys: list[str], value: str = "value", hlc: str = "hlc") -> DataFrame:
-    """Winners after more changes: the same aggregate over the old winners and the new changes, in any order and with repeats."""
+def merge_cells(current: DataFrame, log: DataFrame, keys: list[str], value: str = "value", hlc: str = "hlc", arrival: str | None = None) -> DataFrame:
+    """Winners after more changes: the same aggregate over the old winners and the new changes, in any order and with repeats.
+
+    On equal timestamps an old winner stays, and of new changes the first (by ``arrival``, or in the log's own order).
+    """
     cols = [*keys, value, hlc]
-    return cells(current.select(*cols).unionByName(log.select(*cols)), keys, value, hlc)
+    at = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
+    old, new = current.select(*cols, F.struct(F.lit(0).alias("new"), F.lit(0).cast("long").alias("at")).alias("_at")), log.select(*cols, F.struct(F.lit(-1).alias("new"), (-at).cast("long").alias("at")).alias("_at"))
+    both = old.unionByName(new).groupBy(*keys)
+    return both.agg(F.max_by(value, F.struct(hlc, "_at")).alias(value), F.max(hlc).alias(hlc))
 
 
 def rejected(log: DataFrame, keys: list[str], arrival: str, hlc: str = "hlc") -> DataFrame:

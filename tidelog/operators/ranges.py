@@ -6,25 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as FP
-from ..sources.log import materialised
+from ..sources.log import materialised, small
 
 #: Buckets of a reconciliation round, the fewest keys a bucket may have, and the keys below which a range is listed. Fixed values.
 BUCKETS, LEAST, LISTED = 16, 2, 32
+#: Consecutive positions that one window spans at most.
+BLOCK = 65536
 
 
 def with_position(log: DataFrame, key: str = "hlc", groups: list[str] | None = None) -> DataFrame:
     """Adds ``pos``, the place of each row from 0 in the order of ``key`` within its group. Keys are distinct within a group.
 
-    Rows are dealt to partitions by range; each partition ranks its own and adds the number of rows in those before it. No
-    window spans more than a partition, unlike a row_number over everything, which would bring all rows to one task.
+    The one shuffle deals rows to partitions by range, where they are sorted and written with the number of their place in the
+    partition. To that the number of rows in the partitions before is added, from a table of a row a partition and group (broadcast where
+    small). No window spans more than those rows, unlike a row_number over everything, which would bring all rows to one task.
     """
     by = groups or []
-    dealt = materialised(log.repartitionByRange(*by, key).withColumn("_pid", F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_pid", *by).orderBy(key))
-    return dealt.withColumn("_rank", rank).join(offsets, ["_pid", *by]).withColumn("pos", F.col("_before") + F.col("_rank") - 1).drop("_pid", "_rank", "_before")
+    dealt = log.repartitionByRange(*by, key).sortWithinPartitions(*by, key).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialised(dealt, "ranked")
+    pid = F.shiftright("_at", 33)
+    counts = dealt.groupBy(pid.alias("_pid"), *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *by, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    offsets = small(materialised(offsets, "offsets"))
+    return dealt.withColumn("_pid", pid).join(offsets, ["_pid", *by]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_pid", "_at", "_shift")
 
 
 def bucket_of(pos: Column, n: Column | int, k: int) -> Column:
@@ -72,31 +77,43 @@ def range_rows(log: DataFrame, key: str = "hlc") -> DataFrame:
 def run_lengths(rows: DataFrame, value: str, order: str = "pos") -> DataFrame:
     """Runs of equal values in the order of ``pos``: run, value, begin, length.
 
-    A row starts a run when its value is not that of the row before, found by an equi-join on the position, so no window spans all rows;
-    the runs themselves are then numbered with ``with_position``.
+    A row starts a run when its value is not that of the row before (``with_previous``, so no window spans all rows); the runs are then
+    numbered with ``with_position``, and a run ends where the next begins.
     """
-    before = rows.select((F.col(order) + 1).alias("_p"), F.col(value).alias("_v"))
-    starts = rows.join(before, rows[order] == before["_p"], "left").filter(F.col("_p").isNull() | ~F.col(value).eqNullSafe(F.col("_v")))
+    starts = with_previous(rows.select(order, value), value, "_v", order).filter((F.col(order) == 0) | ~F.col(value).eqNullSafe(F.col("_v")))
     starts = with_position(starts.select(F.col(order).alias("begin"), F.col(value).alias("value")), "begin").withColumnRenamed("pos", "run")
-    after = starts.select((F.col("run") - 1).alias("_r"), F.col("begin").alias("_e"))
     end = (rows.agg(F.max(order)).first()[0] or 0) + 1
-    return starts.join(after, starts["run"] == after["_r"], "left").select("run", "value", "begin", (F.coalesce("_e", F.lit(end)) - F.col("begin")).cast("long").alias("length"))
+    starts = with_previous(starts.withColumn("_back", -F.col("run")), "begin", "_e", "_back")
+    return starts.select("run", "value", "begin", (F.coalesce("_e", F.lit(end)) - F.col("begin")).cast("long").alias("length"))
 
 
 def with_previous(rows: DataFrame, column: str, name: str, order: str = "pos") -> DataFrame:
-    """Adds the value of the row one position before, null for the first, by an equi-join on the position."""
-    before = rows.select((F.col(order) + 1).alias("_p"), F.col(column).alias(name))
-    return rows.join(before, rows[order] == before["_p"], "left").drop("_p")
+    """Adds the value of the row one position before, null for the first. Positions are consecutive integers.
+
+    A window in each block of ``BLOCK`` positions; the first row of a block takes the last one of the block before from a table of a row
+    a block (broadcast where small).
+    """
+    rows = rows.withColumn("_k", F.floor(F.col(order) / BLOCK))
+    inner = F.lag(column).over(Window.partitionBy("_k").orderBy(order))
+    edge = small(materialised(rows.filter(F.pmod(F.col(order), F.lit(BLOCK)) == BLOCK - 1).select((F.col("_k") + 1).alias("_k"), F.col(column).alias("_edge")), "edges"))
+    out = rows.withColumn(name, inner).join(edge, "_k", "left")
+    return out.withColumn(name, F.when(F.pmod(F.col(order), F.lit(BLOCK)) == 0, F.col("_edge")).otherwise(F.col(name))).drop("_k", "_edge")
 
 
 def deltas(rows: DataFrame, column: str = "millis", order: str = "pos") -> DataFrame:
     return with_previous(rows, column, "_b", order).withColumn("delta", F.col(column) - F.coalesce("_b", F.lit(0))).drop("_b")
 
 
-def running_sum(rows: DataFrame, column: str, name: str, order: str = "pos", block: int = 65536) -> DataFrame:
-    """Adds the sum of ``column`` up to each row: within blocks of positions, plus the blocks before. The one window over everything has a row a block."""
-    rows = rows.withColumn("_k", F.floor(F.col(order) / block))
-    sums = rows.groupBy("_k").agg(F.sum(column).alias("_s"))
-    before = sums.select("_k", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+def running_sum(rows: DataFrame, column: str, name: str, order: str = "pos", block: int | None = None) -> DataFrame:
+    """Adds the sum of ``column`` up to each row: within blocks of positions, plus the blocks before, whose sums are summed up in
+    the same way, level by level, until one block holds them all. So no window has more than ``block`` rows.
+    """
+    block = block or BLOCK
+    level = F.floor(F.col(order) / block).cast("long")
     inner = F.sum(column).over(Window.partitionBy("_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_in", inner).join(before, "_k").withColumn(name, F.col("_in") + F.col("_before")).drop("_k", "_in", "_before")
+    placed = rows.withColumn("_k", level)
+    sums = materialised(placed.groupBy("_k").agg(F.sum(column).alias("_s")), "sums")
+    if sums.limit(2).count() < 2:
+        return placed.withColumn(name, inner).drop("_k")
+    upto = running_sum(sums.toDF("_p", "_s"), "_s", "_upto", "_p", block).select(F.col("_p").alias("_k"), (F.col("_upto") - F.col("_s")).alias("_before"))
+    return placed.withColumn("_in", inner).join(small(materialised(upto, "sums")), "_k").withColumn(name, F.col("_in") + F.col("_before")).drop("_k", "_in", "_before")

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as FP
-from ..sources.log import materialised
+from ..sources.log import materialised, small
 from . import ranges as R
-from . import sets as S
 
 
 @dataclass
@@ -46,29 +45,30 @@ def equal(a: DataFrame, b: DataFrame, key: str = "hlc") -> bool:
 
 
 def reconcile(a: DataFrame, b: DataFrame, k: int = R.BUCKETS, listed: int = R.LISTED, max_rounds: int = 10, key: str = "hlc") -> Difference:
-    """Finds what either replica lacks by splitting only the ranges that differ, round by round, and listing the small ones.
+    """Finds what either replica lacks by descending only into ranges that differ, down to those of ``listed`` keys, which are listed.
 
-    Each round is one aggregate over the keys still in question, and a written table. When no range is left to split, the keys in question are
-    compared by two anti-joins. Rounds end early when nothing differs.
+    The keys of both sides are placed once, in order, and cut into leaves of ``listed`` places; a leaf has a fingerprint a side, and a range of
+    the rounds before is ``k`` ranges of the next, so its fingerprints are those of its leaves combined, by division of the leaf's number.
+    Rounds work on the small table of leaves, however the differences are spread; of the keys, only those of differing leaves are looked
+    at again. With more levels than ``max_rounds``, the upper ones are left out.
     """
-    both = materialised(FP.with_lanes(a.select(key), key).withColumn("_s", F.lit(0)).unionByName(FP.with_lanes(b.select(key), key).withColumn("_s", F.lit(1))).withColumn("_r", F.lit(0).cast("long")), "question")
-    sizes, settled = [], both.limit(0)
-    for _ in range(max_rounds):
-        n = both.count()
-        if not n:
+    side = lambda x, i: x.select(key).distinct().withColumn("_s", F.lit(1 << i))
+    keys = side(a, 0).unionByName(side(b, 1)).groupBy(key).agg(F.sum("_s").alias("_s"))
+    placed = R.with_position(keys, key).withColumn("_leaf", F.floor(F.col("pos") / listed).cast("long"))
+    placed = materialised(placed.select(key, "_s", "_leaf"), "placed")
+    lanes = FP.with_lanes(placed, key)
+    of_side = lambda i: [F.bit_xor(F.when(F.col("_s").bitwiseAND(1 << i) != 0, F.col(n)).otherwise(F.lit(0).cast("long"))).alias(f"{n}_{i}") for n in FP.LANES]
+    count = lambda i: F.count(F.when(F.col("_s").bitwiseAND(1 << i) != 0, 1)).alias(f"n_{i}")
+    leaves = materialised(lanes.groupBy("_leaf").agg(*of_side(0), *of_side(1), count(0), count(1)), "leaves")
+    differs = (F.col("n_0") != F.col("n_1")) | F.concat_ws(":", *[f"{n}_0" for n in FP.LANES]).eqNullSafe(F.concat_ws(":", *[f"{n}_1" for n in FP.LANES])).__invert__()
+    top = leaves.agg(F.max("_leaf").alias("m"), F.sum(F.col("n_0") + F.col("n_1")).alias("n")).first()
+    sizes = [top["n"]] if top["n"] else []
+    levels = [j for j in range(1, max_rounds) if top["n"] and k**j <= top["m"]]
+    for j in reversed(levels):
+        up = leaves.groupBy(F.floor(F.col("_leaf") / k**j)).agg(*[F.bit_xor(f"{n}_{i}").alias(f"{n}_{i}") for n in FP.LANES for i in (0, 1)], *[F.sum(f"n_{i}").alias(f"n_{i}") for i in (0, 1)])
+        open_ = up.filter(differs).agg(F.sum(F.col("n_0") + F.col("n_1"))).first()[0] or 0
+        if not open_:
             break
-        sizes.append(n)
-        s = both.groupBy("_r", "_s").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), *FP.xor())
-        s = s.groupBy("_r").agg(*[F.max(F.when(F.col("_s") == i, F.concat_ws(":", F.col("n").cast("string"), FP.text()))).alias(f"f{i}") for i in (0, 1)], F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        differ = s.filter(~F.col("f0").eqNullSafe(F.col("f1"))).select("_r", F.col("n").alias("_n"), "lo", "hi")
-        kept = both.join(differ, "_r")
-        settled = materialised(settled.unionByName(kept.filter(F.col("_n") < listed).select(*settled.columns)), "listed")
-        # Children cut the span of keys evenly by rank among the union of both sides' keys, so both sides use the same bounds.
-        open_ = kept.filter(F.col("_n") >= listed).drop("_n", "lo", "hi")
-        keys_ = R.with_position(open_.select("_r", key).distinct(), key, ["_r"])
-        count = keys_.groupBy("_r").agg(F.count(F.lit(1)).alias("_m"))
-        child = keys_.join(count, "_r").withColumn("_c", R.bucket_of(F.col("pos"), F.col("_m"), k)).select("_r", key, "_c")
-        both = materialised(open_.join(child, ["_r", key]).withColumn("_r", F.xxhash64("_r", "_c")).drop("_c"), "question")
-    rest = settled.unionByName(both)
-    ours, theirs = (rest.filter(F.col("_s") == i).select(key) for i in (0, 1))
-    return Difference(S.missing(theirs, ours, [key]), S.missing(ours, theirs, [key]), sizes)
+        sizes.append(open_)
+    rest = placed.join(small(materialised(leaves.filter(differs).select("_leaf"), "differing")), "_leaf", "left_semi")
+    return Difference(rest.filter("_s = 2").select(key), rest.filter("_s = 1").select(key), sizes)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def first_of_batch(batch: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
-    """One row per key: the first by ``arrival``, or any one."""
-    if arrival is None:
-        return batch.dropDuplicates(keys)
-    return batch.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(arrival))).filter("_n = 1").drop("_n")
+    """One row per key: the first by ``arrival``, or, without, in the batch's own order (that in which its files and rows are read).
+
+    A partial and a final aggregate, so a key that is repeated very often is thinned out before the shuffle.
+    """
+    at = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
+    rows = batch.select(*keys, F.struct(*[c for c in batch.columns if c not in keys], F.lit(None).cast("int").alias("_")).alias("_row"), at.alias("_at"))
+    first = rows.groupBy(*keys).agg(F.min_by("_row", "_at").alias("_row"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in batch.columns])
 
 
 def missing(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,13 +32,38 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is broadcast at most.
+BROADCAST = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST`` rows, else joined as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a change log: each event sets column event_type of row user_id in table ``events`` to its value."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", H.millis("ts").alias("millis"))
+def event_log(spark: SparkSession, sf_dir: str, lower: str | None = None, upper: str | None = None) -> DataFrame:
+    """``events`` as a change log: each event sets column event_type of row user_id in table ``events`` to its value.
+
+    With ``lower`` or ``upper`` just the changes at or after the one timestamp and before the other. The millis of the bounds go to the scan as
+    a predicate on ``ts``, so files and row groups outside them are not read.
+    """
+    e = table(spark, sf_dir, "events")
+    if lower is not None:
+        e = e.filter(F.col("ts") >= H.instant(lower))
+    if upper is not None:
+        e = e.filter(F.col("ts") < H.instant(upper, 1))
+    log = _log(e)
+    if lower is not None:
+        log = log.filter(F.col("hlc") >= lower)
+    return log if upper is None else log.filter(F.col("hlc") < upper)
+
+
+def _log(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", "user_id", "event_type", "value", H.millis("ts").alias("millis"))
     e = e.withColumn("counter", F.col("event_id") % 65536).withColumn("node", H.node("user_id"))
     return e.withColumn("hlc", H.encode(F.col("millis"), F.col("counter"), F.col("node")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Callable
 from enum import Enum
@@ -13,27 +14,33 @@ from ..functions import fingerprint as FP
 from ..functions import wire as W
 from ..operators import ranges as R
 from ..operators import sets as S
-from ..sources.store import LogStore
+from ..sources.store import CorruptError, LogStore, ReplayError
 
 #: Changes of one message. What is more goes ahead in messages of changes alone.
 PER_MESSAGE = 10_000
 
 
 class State(Enum):
-    IDLE, WAITING, SYNCED, ERROR = "idle", "waiting", "synced", "error"
+    """``UNFINISHED``: the rounds allowed, or the time, ran out with ranges still open."""
+
+    IDLE, WAITING, SYNCED, ERROR, UNFINISHED = "idle", "waiting", "synced", "error", "unfinished"
 
 
 class QueueTransport:
-    """One end of a pair of in-memory queues, first in first out; for tests, and the shape of what a socket transport has."""
+    """One end of a pair of in-memory queues, first in first out; for tests, and the shape of what a socket transport has.
+
+    With ``hold`` what is sent stays on its way until it is delivered, one message or all, or taken back with ``drain_sent``.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, hold: bool = False) -> None:
+        self.hold, self.on_the_way = hold, deque()
         self.inbox: deque[bytes] = deque()
         self.peer: QueueTransport | None = None
         self.sent: list[bytes] = []
 
     @classmethod
-    def pair(cls) -> tuple[QueueTransport, QueueTransport]:
-        a, b = cls(), cls()
+    def pair(cls, hold: bool = False) -> tuple[QueueTransport, QueueTransport]:
+        a, b = cls(hold), cls(hold)
         a.peer, b.peer = b, a
         return a, b
 
@@ -45,7 +52,25 @@ class QueueTransport:
         if not self.peer:
             raise ConnectionError("not connected")
         self.sent.append(data)
-        self.peer.inbox.append(data)
+        (self.on_the_way if self.hold else self.peer.inbox).append(data)
+
+    def deliver_one(self) -> bool:
+        if not self.on_the_way or not self.peer:
+            return False
+        self.peer.inbox.append(self.on_the_way.popleft())
+        return True
+
+    def deliver_pending(self) -> int:
+        n = 0
+        while self.deliver_one():
+            n += 1
+        return n
+
+    def drain_sent(self) -> list[bytes]:
+        """What is on its way, which then never arrives."""
+        out = list(self.on_the_way)
+        self.on_the_way.clear()
+        return out
 
     def inject(self, data: bytes) -> None:
         self.inbox.append(data)
@@ -79,8 +104,9 @@ def respond(log: DataFrame, ranges: list[W.Range], key: str = "hlc") -> tuple[li
     """Our ranges in answer to a peer's, and the keys that the peer lacks of the ranges it listed.
 
     A range is half open, from the bound before it to its own. Equal fingerprints are skipped; of an unequal range we list our keys when
-    they are few, else we split it. A listing is answered with ours if it has keys that we lack, else skipped. The log is read once for
-    all fingerprints; listings and splits only read the ranges in question. What is collected is bounded by the message: a row a range,
+    they are few, else we split it. A listing is skipped if it has no key that we lack; else it is answered with our keys, when they
+    are few, or with fingerprints of the range split (a short listing may be of a range in which we have very many). The log is read once
+    for all fingerprints, once for all listings and once for all splits. What is collected is bounded by the message: a row a range,
     ``R.BUCKETS`` rows a split one, fewer than ``R.LISTED`` keys a listed one, and the peer's own listings.
     """
     spark = log.sparkSession
@@ -92,13 +118,12 @@ def respond(log: DataFrame, ranges: list[W.Range], key: str = "hlc") -> tuple[li
     listed = [i for i, r in enumerate(ranges) if r.kind == W.TIMESTAMPS]
     differ = [i for i, r in enumerate(ranges) if r.kind == W.FINGERPRINT and own.get(i, (0, "0" * 24))[1] != r.fp.hex()]
     unknown = {r["i"] for r in S.missing(theirs, placed, ["i", key]).select("i").distinct().collect()} if listed else set()
-    small = [i for i in differ if own.get(i, (0, ""))[0] < R.LISTED]
-    split = [i for i in differ if i not in small]
+    open_ = sorted({*differ, *unknown})
+    small = [i for i in open_ if own.get(i, (0, ""))[0] < R.LISTED]
+    split = [i for i in open_ if own.get(i, (0, ""))[0] >= R.LISTED]
     keys: dict[int, list[str]] = {}
     for r in placed.filter(F.col("i").isin(small)).select("i", key).collect() if small else []:
         keys.setdefault(r["i"], []).append(r[key])
-    for i in unknown:  # a listing is answered with a listing; the peer has as few keys there or asked us to list ours
-        keys[i] = [r[key] for r in placed.filter(F.col("i") == i).select(key).collect()]
     cut: dict[int, list] = {}
     if split:
         ranked = R.with_position(placed.filter(F.col("i").isin(split)), key, ["i"])
@@ -111,7 +136,7 @@ def respond(log: DataFrame, ranges: list[W.Range], key: str = "hlc") -> tuple[li
             parts = cut[i]
             out += [W.Range(W.FINGERPRINT, bytes.fromhex(b["lower"]), bytes.fromhex(a["fp"])) for a, b in zip(parts, parts[1:])]
             out.append(W.Range(W.FINGERPRINT, r.upper, bytes.fromhex(parts[-1]["fp"])))
-        elif i in differ or i in unknown:
+        elif i in open_:
             out.append(W.Range(W.TIMESTAMPS, r.upper, None, [bytes.fromhex(k) for k in sorted(keys.get(i, []))]))
         else:
             out.append(W.Range(W.SKIP, r.upper))
@@ -120,9 +145,18 @@ def respond(log: DataFrame, ranges: list[W.Range], key: str = "hlc") -> tuple[li
 
 
 class Session:
-    """One side of a sync. ``store`` has columns ``hlc`` and ``payload``; payloads travel as they are, sealed or not."""
+    """One side of a sync. ``store`` has columns ``hlc`` and ``payload``; payloads travel as they are, sealed or not.
+
+    A session that others write to has ``accepts``, which says of a request's message what is wrong with it (a ``W.ERRORS`` number, 0 for nothing):
+    a request that it refuses is answered with that error, and none of its changes is taken. A peer's error, or one that the store
+    raises on a peer's changes (answered as error 2), ends in ``State.ERROR`` with ``code`` and ``error``.
+    """
 
-    def __init__(self, store: LogStore, owner: bytes, transport: QueueTransport, write_key: bytes | None = None, on_change: Callable[[int], None] | None = None):
+    code = 0
+    subscribed = False
+
+    def __init__(self, store: LogStore, owner: bytes, transport: QueueTransport, write_key: bytes | None = None, on_change: Callable[[int], None] | None = None, accepts: Callable[[W.Message], int] | None = None):
+        self.accepts = accepts
         self.store, self.owner, self.transport, self.write_key = store, owner, transport, write_key
         self.state, self.rounds, self.parts, self.received, self.error, self.on_change = State.IDLE, 0, 0, 0, "", on_change
 
@@ -137,10 +171,26 @@ class Session:
         self._send(summarise(self.log()))
         self.state = State.WAITING
 
+    def subscribe(self, on: bool = True) -> None:
+        """Asks the peer to send changes as they come (or no longer to)."""
+        self.transport.send(W.message(W.Message(self.owner, W.REQUEST, self.write_key, W.SUBSCRIBE if on else W.UNSUBSCRIBE)))
+
+    def publish(self, changes: list[tuple[bytes, bytes]]) -> bool:
+        """Sends changes to a peer that has subscribed; False, and nothing sent, to one that has not."""
+        if self.subscribed:
+            self.transport.send(W.message(W.Message(self.owner, W.BROADCAST, changes=changes)))
+        return self.subscribed
+
     def disconnected(self) -> None:
         if self.state is State.WAITING:
             self.state = State.ERROR
 
+    def _fail(self, code: int, text: str, tell: bool) -> bool:
+        self.state, self.code, self.error = State.ERROR, code, text
+        if tell:
+            self.transport.send(W.message(W.Message(self.owner, W.RESPONSE, error=code)))
+        return True
+
     def poll(self) -> bool:
         """Handles one waiting message; False if there is none."""
         data = self.transport.receive()
@@ -150,11 +200,21 @@ class Session:
         try:
             m = W.read_message(data)
         except W.WireError as e:
-            self.state, self.error = State.ERROR, str(e)
-            return True
+            return self._fail(getattr(e, "code", 0), str(e), tell=False)
+        if m.kind == W.REQUEST:
+            code = self.accepts(m) if self.accepts else 0
+            if code:
+                return self._fail(code, f"refused: {W.ERRORS.get(code, 'unknown')} error", tell=True)
+            if m.subscription in (W.SUBSCRIBE, W.UNSUBSCRIBE):
+                self.subscribed = m.subscription == W.SUBSCRIBE
+            if not m.ranges and not m.changes:  # about the subscription alone
+                return True
         if m.changes:
             batch = self.store.spark.createDataFrame([(t.hex(), bytearray(c)) for t, c in m.changes], "hlc string, payload binary")
-            self.received += self.store.append(batch)
+            try:
+                self.received += self.store.append(batch)
+            except (ReplayError, CorruptError) as e:
+                return self._fail(2, str(e), tell=True)
             if self.on_change:
                 self.on_change(len(m.changes))
         if m.kind == W.BROADCAST:
@@ -178,10 +238,17 @@ class Session:
         return True
 
 
-def run(a: Session, b: Session, max_rounds: int = 30) -> int:
-    """Lets two sessions talk until neither has a message waiting. Returns the number of messages handled; those of changes alone do not count towards ``max_rounds``."""
+def run(a: Session, b: Session, max_rounds: int = 30, seconds: float = float("inf"), clock: Callable[[], float] = time.monotonic) -> int:
+    """Lets two sessions talk until neither has a message waiting. Returns the number of messages handled; those of changes alone do not count towards ``max_rounds``.
+
+    A side that then still waits, because the rounds or the ``seconds`` ran out or because its peer fell silent, is ``UNFINISHED``: it is never
+    taken for synced, and may be started again.
+    """
     a.start()
-    n, parts = 0, a.parts + b.parts
-    while n - (a.parts + b.parts - parts) < max_rounds and (b.poll() or a.poll()):
+    n, parts, until = 0, a.parts + b.parts, clock() + seconds
+    while n - (a.parts + b.parts - parts) < max_rounds and clock() < until and (b.poll() or a.poll()):
         n += 1
+    for s in (a, b):
+        if s.state is State.WAITING or (s.state is State.IDLE and s.transport.pending()):
+            s.state = State.UNFINISHED
     return n
