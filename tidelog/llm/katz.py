@@ -484,9 +484,8 @@ def evaluate(model: Model, whole: list[dict]) -> Callable:
 class Tables:
     """Scratch tables bucketed by chunk, so that what belongs to a chunk is joined without a shuffle; dropped at the end."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.made = spark, []
-        self.buckets = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.made, self.buckets = spark, [], buckets
 
     def add(self, rows: DataFrame) -> DataFrame:
         name, path = f"tidelog_katz_{uuid.uuid4().hex}", new_path(self.spark, "katz")
@@ -519,7 +518,10 @@ HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 7)
 
 def _passes(docs: DataFrame, model: Model | None, order: int, held_out: str, store: str) -> tuple[DataFrame, Model]:
     """Scores of ``docs``, by ``model`` or by one fitted on those of them that are not held out, whose tables then are under ``store``."""
-    spark, tables, given = docs.sparkSession, Tables(docs.sparkSession), model
+    spark, given = docs.sparkSession, model
+    # Some six bytes a token: about a chunk a bucket, so a task's share does not grow with the input.
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    tables = Tables(spark, max(size // (6 * CHUNK), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = tables.add(chunks(docs.select("doc_id", F.expr(held_out).alias("held"), "text")))
     s = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts")).first()
     parts = given.parts if given else -(-s["n"] // PART) or 1
