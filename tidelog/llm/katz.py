@@ -35,13 +35,13 @@ from .common import new_path, pick, table, written
 #: Counts up to this are discounted.
 KATZ = 5
 #: Tokens of a chunk, and tokens that a partition of contexts is made for.
-CHUNK, PART = 3 << 19, 1 << 20
+CHUNK, PART = 5 << 18, 1 << 20
 END = b""  # no word is empty
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def squeezed(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def unsqueezed(b: bytes) -> bytes:
@@ -337,30 +337,34 @@ def deal_grams(k: int, model: Model) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, *row in rows_of(batches):
-            c = Chunk(*row[:4], model)
-            for j in range(2, k + 1):
-                c.extend()
-                if j < k:
-                    c.answer(j, row[2 + j], weights=False)
-            token_train = np.repeat(~c.held, c.lens)
-            train = np.bincount(c.at[k][token_train], minlength=len(c.word[k]))
-            lower = c.count[1][c.word[k]] if k == 2 else c.count[k - 1][c.suffix[k]]
-            heads = c.contexts(k)
-            sent, ends = c.places(k)
-            out = []
-            for p in range(parts):
-                i = sent[ends[p] : ends[p + 1]]
-                if not len(i):
-                    continue
-                context = c.context[k][i]
-                change = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                head = [x[context[change]] for x in heads]
-                head[0] = np.diff(head[0], prepend=0)  # contexts ascend
-                cut = c.before[k][i[change]] > most
-                out.append((p, chunk, packed(np.concatenate(head)), packed(np.diff(np.append(change, len(i)))), packed(c.ids[c.word[k][i]]), packed(train[i]), packed(lower[i]), packed(cut)))
+            out = blocks(chunk, row)  # the arrays of a chunk are gone before those of the next are made
             for at in range(0, len(out), 1024):
                 yield batch(out[at : at + 1024], schema)
 
+    def blocks(chunk: int, row: list) -> list[tuple]:
+        c = Chunk(*row[:4], model)
+        for j in range(2, k + 1):
+            c.extend()
+            if j < k:
+                c.answer(j, row[2 + j], weights=False)
+        token_train = np.repeat(~c.held, c.lens)
+        train = np.bincount(c.at[k][token_train], minlength=len(c.word[k]))
+        lower = c.count[1][c.word[k]] if k == 2 else c.count[k - 1][c.suffix[k]]
+        heads = c.contexts(k)
+        sent, ends = c.places(k)
+        out = []
+        for p in range(parts):
+            i = sent[ends[p] : ends[p + 1]]
+            if not len(i):
+                continue
+            context = c.context[k][i]
+            change = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            head = [x[context[change]] for x in heads]
+            head[0] = np.diff(head[0], prepend=0)  # contexts ascend
+            cut = c.before[k][i[change]] > most
+            out.append((p, chunk, packed(np.concatenate(head)), packed(np.diff(np.append(change, len(i)))), packed(c.ids[c.word[k][i]]), packed(train[i]), packed(lower[i]), packed(cut)))
+        return out
+
     return run
 
 
@@ -388,54 +392,57 @@ def add_grams(k: int, model: Model) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, rows in by_first(batches):
-            names = [r[1] for r in rows]
-            heads, cut, head, word, train, lower, sizes = read_grams(k, rows)
-            del rows
-            which = numbered(heads[0])[1]
-            for x in heads[1:]:
-                kinds, x = numbered(x)
-                which = numbered(which.astype(np.int64) * len(kinds) + x)[1]
-            kinds, word = numbered(word)
-            word = which[head].astype(np.int64) * len(kinds) + word
-            del head
-            own, at = numbered(word)
-            del word
-            context, n = own // len(kinds), int(which.max()) + 1
-            count = np.bincount(at, train, len(own)).astype(np.int64)
-            low = np.empty(len(own), np.int64)
-            low[at] = lower
-            del lower, train
-            seen = np.flatnonzero(count)
-            spent = np.bincount(context[seen], uni.p(low[seen]) if k == 2 else d[np.minimum(low[seen], KATZ + 1)] * low[seen], n)
-            followers = np.stack([np.bincount(context[count == r], minlength=n) for r in range(1, KATZ + 1)])
-            place = np.empty(n, np.int64)
-            place[which] = np.arange(len(which))
-            is_cut = cut[place] > 0
-            ranks = [int((count == r).sum()) for r in range(1, KATZ + 2)]
-            ctx = context[seen]
-            change = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
-            head = [x[place[ctx[change]]] for x in heads]
-            first = np.lexsort(head[::-1]) if len(change) else change
-            if len(change):  # contexts in ascending order of their numbers
-                runs = np.diff(np.append(change, len(ctx)))
-                order = np.repeat(change[first] - (np.cumsum(runs[first]) - runs[first]), runs[first]) + np.arange(len(ctx))
-                head = [x[first] for x in head]
-                cuts = is_cut[ctx[change[first]]]
-                head[0] = np.diff(head[0], prepend=0)
-                yield batch([(0, p, -1, packed(np.concatenate(head)), packed(runs[first]), packed(kinds[own[seen] % len(kinds)][order]), packed(count[seen][order]), packed(low[seen][order]), packed(cuts), None, 0.0, *ranks)], schema)
-            out, begin = [], 0
-            for name, size in zip(names, sizes):
-                j = at[begin : begin + size]
-                begin += size
-                if name >= 0:
-                    zero = context[j[count[j] == 0]]
-                    out.append((1, p, name, packed(count[j]), packed(followers[:, zero].ravel()) if len(zero) else None, squeezed(spent[zero].tobytes()) if len(zero) else None, None, None, None, None, 0.0, *none))
-                if len(out) == 1024:
-                    yield batch(out, schema)
-                    out = []
-            out += [(2, p, -1, None, None, None, None, None, None, [int(x[place[c]]) for x in heads], float(spent[c]), *(int(f) for f in followers[:, c]), 0) for c in np.flatnonzero(is_cut)]
-            if out:
+            yield from one(p, rows)
+
+    def one(p: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        names = [r[1] for r in rows]
+        heads, cut, head, word, train, lower, sizes = read_grams(k, rows)
+        del rows
+        which = numbered(heads[0])[1]
+        for x in heads[1:]:
+            kinds, x = numbered(x)
+            which = numbered(which.astype(np.int64) * len(kinds) + x)[1]
+        kinds, word = numbered(word)
+        word = which[head].astype(np.int64) * len(kinds) + word
+        del head
+        own, at = numbered(word)
+        del word
+        context, n = own // len(kinds), int(which.max()) + 1
+        count = np.bincount(at, train, len(own)).astype(np.int64)
+        low = np.empty(len(own), np.int64)
+        low[at] = lower
+        del lower, train
+        seen = np.flatnonzero(count)
+        spent = np.bincount(context[seen], uni.p(low[seen]) if k == 2 else d[np.minimum(low[seen], KATZ + 1)] * low[seen], n)
+        followers = np.stack([np.bincount(context[count == r], minlength=n) for r in range(1, KATZ + 1)])
+        place = np.empty(n, np.int64)
+        place[which] = np.arange(len(which))
+        is_cut = cut[place] > 0
+        ranks = [int((count == r).sum()) for r in range(1, KATZ + 2)]
+        ctx = context[seen]
+        change = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+        head = [x[place[ctx[change]]] for x in heads]
+        first = np.lexsort(head[::-1]) if len(change) else change
+        if len(change):  # contexts in ascending order of their numbers
+            runs = np.diff(np.append(change, len(ctx)))
+            order = np.repeat(change[first] - (np.cumsum(runs[first]) - runs[first]), runs[first]) + np.arange(len(ctx))
+            head = [x[first] for x in head]
+            cuts = is_cut[ctx[change[first]]]
+            head[0] = np.diff(head[0], prepend=0)
+            yield batch([(0, p, -1, packed(np.concatenate(head)), packed(runs[first]), packed(kinds[own[seen] % len(kinds)][order]), packed(count[seen][order]), packed(low[seen][order]), packed(cuts), None, 0.0, *ranks)], schema)
+        out, begin = [], 0
+        for name, size in zip(names, sizes):
+            j = at[begin : begin + size]
+            begin += size
+            if name >= 0:
+                zero = context[j[count[j] == 0]]
+                out.append((1, p, name, packed(count[j]), packed(followers[:, zero].ravel()) if len(zero) else None, squeezed(spent[zero].tobytes()) if len(zero) else None, None, None, None, None, 0.0, *none))
+            if len(out) == 1024:
                 yield batch(out, schema)
+                out = []
+        out += [(2, p, -1, None, None, None, None, None, None, [int(x[place[c]]) for x in heads], float(spent[c]), *(int(f) for f in followers[:, c]), 0) for c in np.flatnonzero(is_cut)]
+        if out:
+            yield batch(out, schema)
 
     return run
 
