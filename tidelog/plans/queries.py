@@ -201,9 +201,9 @@ def bucket_bounds(spark: SparkSession, d: str) -> DataFrame:
     return R.balanced_summary(event_log(spark, d)).select("bucket", "lower", "upper")
 
 
-@query("SELECT 0::BIGINT AS range_idx, 'timestamps' AS kind, (SELECT string_agg(hlc, ',' ORDER BY hlc) FROM k WHERE pos < 20) AS listed FROM (SELECT 1)")
+@query(f"SELECT bucket::BIGINT AS range_idx, min(hlc) AS lower, lead(min(hlc)) OVER (ORDER BY bucket) AS upper, 'fingerprint' AS kind, {XOR} AS fp FROM x GROUP BY bucket")
 def range_listing(spark: SparkSession, d: str) -> DataFrame:
-    return R.range_rows(R.slice_of(event_log(spark, d), 0, 20)).select("range_idx", "kind", F.array_join("timestamps", ",").alias("listed"))
+    return R.range_rows(event_log(spark, d)).select("range_idx", "lower", "upper", "kind", "fp")
 
 
 @query("SELECT event_id, hlc || fp AS entry FROM k")

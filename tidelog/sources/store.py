@@ -27,6 +27,11 @@ class Manifest:
     n_rows: int = 0
     fp: str = "0" * 24
     segments: list[str] = field(default_factory=list)
+    #: The smallest and largest timestamp of each segment; None where it has none or it was not recorded.
+    bounds: list[list[str] | None] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.bounds += [None] * (len(self.segments) - len(self.bounds))
 
 
 class LogStore:
@@ -97,19 +102,34 @@ class LogStore:
         if (got["n"], got["fp"]) != (m.n_rows, m.fp):
             raise CorruptError(f"version {m.version} states {m.n_rows} rows and {m.fp}, the files have {got['n']} and {got['fp']}")
 
+    def near(self, m: Manifest, batch: DataFrame) -> DataFrame | None:
+        """The stored rows that can have a key of ``batch``: of the segments whose bounds meet the batch's, and there within the batch's bounds
+        (files are sorted by timestamp, so most of a large segment is not read). All rows where the timestamp is no part of the key.
+        """
+        if self.hlc not in self.keys:
+            return self.read(m.version)
+        lo, hi = batch.agg(F.min(self.hlc), F.max(self.hlc)).first()
+        if lo is None:
+            return None
+        meet = [f"{self.path}/{s}" for s, b in zip(m.segments, m.bounds) if b is None or (b[0] <= hi and lo <= b[1])]
+        return self.spark.read.parquet(*meet).filter(F.col(self.hlc).between(lo, hi)) if meet else None
+
     def append(self, batch: DataFrame, trusted: int | None = None) -> int:
         """Adds what is new and returns how many rows were. A batch of known keys writes nothing and keeps the version."""
         m = self.manifest(trusted=trusted)
-        old = self.read(m.version) if m.segments else None
-        fresh = S.first_of_batch(batch, self.keys)
-        fresh = materialised(fresh if old is None else S.missing(fresh, old, self.keys), "fresh")
-        got = FP.with_lanes(fresh.select(self.hlc), self.hlc).agg(F.count(F.lit(1)).alias("n"), *FP.xor()).first()
+        fresh = materialised(S.first_of_batch(batch, self.keys), "batch")
+        old = self.near(m, fresh) if m.segments else None
+        if old is not None:
+            fresh = materialised(S.missing(fresh, old, self.keys), "fresh")
+        at = [F.min(self.hlc).alias("lo"), F.max(self.hlc).alias("hi")]
+        got = FP.with_lanes(fresh.select(self.hlc), self.hlc).agg(F.count(F.lit(1)).alias("n"), *at, *FP.xor()).first()
         if not got["n"]:
             return 0
         segment = f"segment-{m.version + 1}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
         fresh.repartitionByRange(self.hlc).sortWithinPartitions(self.hlc).write.parquet(f"{self.path}/{segment}")
         fp = "".join(f"{int(m.fp[8 * i : 8 * i + 8], 16) ^ got[n]:08x}" for i, n in enumerate(FP.LANES))
-        self.commit(Manifest(m.version + 1, m.n_rows + got["n"], fp, [*m.segments, segment]))
+        span = None if got["lo"] is None else [got["lo"], got["hi"]]
+        self.commit(Manifest(m.version + 1, m.n_rows + got["n"], fp, [*m.segments, segment], [*m.bounds, span]))
         return got["n"]
 
     def commit(self, m: Manifest) -> None:
@@ -129,4 +149,5 @@ class LogStore:
             return
         segment = f"segment-{m.version + 1}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
         self.read(m.version).repartitionByRange(self.hlc).sortWithinPartitions(self.hlc).write.parquet(f"{self.path}/{segment}")
-        self.commit(Manifest(m.version + 1, m.n_rows, m.fp, [segment]))
+        span = None if None in m.bounds else [min(b[0] for b in m.bounds), max(b[1] for b in m.bounds)]
+        self.commit(Manifest(m.version + 1, m.n_rows, m.fp, [segment], [span]))
