@@ -39,3 +39,20 @@ def test_long_templates_count_all_their_places(spark):
     got = {r["doc_id"]: r for r in L.scan(frame(spark, rows), long=long).collect()}
     assert got[0]["labels"] == got[1]["labels"] == "whole" and got[2]["labels"] == ""
     assert got[0]["score"] == 1.0 and got[1]["score"] == 105 / 149
+
+
+def test_whole_licenses_are_one_span(spark):
+    whole = [(label, t) for label, t in L.TEMPLATES if len(t.split()) > L.MASK]
+    assert {label for label, _ in whole} == {"mit", "isc", "bsd", "zlib", "unlicense"}
+    prose = "a text before the license and "
+    rows = [(i, prose + t.upper().replace(" ", ",\n", 40)) for i, (_, t) in enumerate(whole)]
+    # With a word too many here and there the diagonals are neighbours; a half of a license is no whole one.
+    torn = [(100 + i, " ".join([*t.split()[:60], "indeed", *t.split()[60:90], "so", *t.split()[90:]])) for i, (_, t) in enumerate(whole)]
+    half = [(200 + i, " ".join(t.split()[: len(t.split()) // 2])) for i, (_, t) in enumerate(whole)]
+    got = {r["doc_id"]: r for r in L.scan(frame(spark, rows + torn + half), long=whole).collect()}
+    for i, (label, t) in enumerate(whole):
+        n = len(t.split())
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+        assert any((s["label"], s["first"], s["last"]) == (label, len(prose.split()), len(prose.split()) + n) for s in got[i]["spans"])
+        assert label in got[100 + i]["labels"].split(",") and got[100 + i]["score"] == (n - 3) / (n - 1)
+        assert got[200 + i]["labels"] == ""
