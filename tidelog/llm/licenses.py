@@ -27,6 +27,14 @@ TEMPLATES = [
     ("mpl-2.0", "mozilla public license 2 0"),
     ("isc", "the isc license"),
     ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    # Whole licenses.
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    # Grants and notices.
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -42,13 +50,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form"),
-    # Whole licenses.
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
 ]
 #: Diagonals this near to one another are one span; a span counts from this share of its template's grams.
 NEAR, LEAST = 3, 0.7
@@ -88,25 +89,28 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, long: list[t
     pairs. score is the largest share of a span, 1 where a phrase stands, else 0. spans holds (label, base, first word, word after the last, share).
 
     A null text counts as empty: no words, null first_word and last_word, empty labels. Rows that repeat id and text get the same result each. A
-    null id is an id like any other. Empty input: no rows. The templates are constants, so their table is broadcast; the votes of a row
-    are summed in the task that reads it before they are shuffled.
+    null id is an id like any other. Empty input: no rows. The templates are constants, so their table is broadcast. Votes are the one thing
+    shuffled, once, by row: sums, neighbours and spans of a row are then worked out where its votes are.
     """
     places = max((len(t.split()) - 1 for t in [*(t for t, _ in phrases), *(t for _, t in long)]), default=1)
     masks = [f"mask{i}" for i in range(-(-places // MASK))]
-    at = F.broadcast(positions(docs.sparkSession, phrases, long))
+    at = positions(docs.sparkSession, phrases, long)
+    size = F.broadcast(at.filter("tpos = 0").select(F.col("tid").alias("of"), "label", "base", "size"))
+    at = F.broadcast(at.select("h", "t0", "t1", "tid", "tpos"))
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), word_array(F.col("text")).alias("ws"))
     rows = rows.select("doc_id", "th", F.posexplode_outer(grams("ws")).alias("pos", "w")).select("doc_id", "th", "pos", F.col("w.w0").alias("w0"), F.col("w.w1").alias("w1"))
     rows = rows.withColumn("h", F.when(F.col("w1").isNotNull(), F.xxhash64("w0", "w1")))
     hits = rows.join(at, (rows["h"] == at["h"]) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")), "left")
     # A row's last pair, or its lack of pairs, has no template and stays: it says that the row is there and how long it is.
-    hits = hits.filter("tid IS NOT NULL OR w1 IS NULL").select("doc_id", "th", "tid", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos", "tpos", "label", "base", "size")
-    votes = hits.groupBy("doc_id", "th", "tid", "diagonal", "label", "base", "size").agg(
+    hits = hits.filter("tid IS NOT NULL OR w1 IS NULL").select("doc_id", "th", "tid", "pos", "tpos").repartition("doc_id", "th")
+    votes = hits.groupBy("doc_id", "th", "tid", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         *[F.bit_or(F.expr(f"if(coalesce(tpos, 0) div {MASK} = {i}, shiftleft(1L, coalesce(tpos, 0) % {MASK}), 0L)")).alias(m) for i, m in enumerate(masks)], F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n")
     )
     by = Window.partitionBy("doc_id", "th", "tid").orderBy("diagonal")
-    apart = F.col("base") | F.lag("diagonal").over(by).isNull() | (F.col("diagonal") - F.lag("diagonal").over(by) > near)
+    apart = (F.col("tid") < len(phrases)) | F.lag("diagonal").over(by).isNull() | (F.col("diagonal") - F.lag("diagonal").over(by) > near)
     runs = votes.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(by))
-    spans = runs.groupBy("doc_id", "th", "tid", "run", "label", "base", "size").agg(*[F.bit_or(m).alias(m) for m in masks], F.min("first").alias("first"), (F.max("last") + 1).alias("last"), F.max("n").alias("n"))
+    spans = runs.groupBy("doc_id", "th", "tid", "run").agg(*[F.bit_or(m).alias(m) for m in masks], F.min("first").alias("first"), (F.max("last") + 1).alias("last"), F.max("n").alias("n"))
+    spans = spans.join(size, F.col("tid") == F.col("of"), "left")
     share = sum((F.bit_count(m) for m in masks), F.lit(0)).cast("double") / F.col("size")
     spans = spans.withColumn("share", share).withColumn("ok", F.col("tid").isNotNull() & (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(least)))
     is_base = F.col("ok") & F.col("base")
