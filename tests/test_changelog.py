@@ -148,17 +148,33 @@ def test_a_run_lost_between_segment_and_manifest_leaves_no_trace(spark):
 def test_clock_fold_is_the_stepwise_clock(spark):
     rnd = random.Random(3)
     rows, want = [], {}
-    for node in ("a", "b", "c"):
+    for node in ("a", "b", "c", None):
         ms, c, now = 0, 0, 1000
-        for seq in range(60):
-            now += rnd.choice([0, 0, 1, 5, -3])
-            remote = rnd.choice([None, (now + rnd.choice([-5, 0, 0, 2, 400000]), rnd.randint(0, 9))])
+        for seq in range(150):
+            now += rnd.choice([0, 0, 1, 5, -3, -40, 0 if seq % 50 else 500000])
+            remote = rnd.choice([None, (now + rnd.choice([-5, 0, 0, 2, 400000]), rnd.choice([rnd.randint(0, 9), 65535, 65533]))])
             rows.append((node, seq, now, *(remote or (None, None))))
             ms, c, error = I.step(ms, c, now, remote)
             want[node, seq] = (None, None, error) if error else (ms, c, None)
+    assert {x[2] for x in want.values()} == {None, "drift", "counter"}
     df = spark.createDataFrame(rows, "node string, seq long, now long, remote_millis long, remote_counter long")
-    got = {(r["node"], r["seq"]): (r["millis"], r["counter"], r["error"]) for r in I.fold(df).collect()}
-    assert got == want
+    for block in (None, 16):
+        got = {(r["node"], r["seq"]): (r["millis"], r["counter"], r["error"]) for r in I.fold(df, block=block).collect()}
+        assert got == want
+
+
+def test_rejected_changes_of_a_hot_cell_in_blocks(spark):
+    rnd = random.Random(5)
+    rows = [(a, rnd.choice([None, 1, 1, 1, 2]), f"{rnd.randint(0, 400):04d}") for a in range(-50, 300)]
+    want, top = set(), {}
+    for a, cell, at in rows:
+        if cell in top and top[cell] >= at:
+            want.add(a)
+        top[cell] = max(top.get(cell, ""), at)
+    df = spark.createDataFrame(rows, "arrival long, cell long, hlc string")
+    for block in (None, 1, 16):
+        assert sorted(r["arrival"] for r in L.rejected(df, ["cell"], "arrival", block=block).collect()) == sorted(want)
+    assert L.rejected(df.limit(0), ["cell"], "arrival").count() == 0
 
 
 def test_stream_is_batch(spark):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import running_max
+
 #: Columns that every table has beside its own. Fixed names.
 SYSTEM_COLUMNS = ["createdAt", "updatedAt", "isDeleted", "ownerId", "id"]
 
@@ -40,10 +42,11 @@ def merge_cells(current: DataFrame, log: DataFrame, keys: list[str], value: str
     return both.agg(F.max_by(value, F.struct(hlc, "_at")).alias(value), F.max(hlc).alias(hlc))
 
 
-def rejected(log: DataFrame, keys: list[str], arrival: str, hlc: str = "hlc") -> DataFrame:
-    """The changes that come, in order of ``arrival``, after a change of their cell with an equal or larger timestamp."""
-    before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("_cur", F.max(hlc).over(before)).filter(~accepts(F.col("_cur"), F.col(hlc))).drop("_cur")
+def rejected(log: DataFrame, keys: list[str], arrival: str, hlc: str = "hlc", block: int | None = None) -> DataFrame:
+    """The changes that come, in order of ``arrival`` (whole numbers, distinct within a cell), after a change of their cell with an equal or larger
+    timestamp. A much-changed cell is looked through in blocks of arrivals, see ``running_max``.
+    """
+    return running_max(log, keys, arrival, hlc, "_cur", before=True, block=block).filter(~accepts(F.col("_cur"), F.col(hlc))).drop("_cur")
 
 
 def is_system(column: str | Column) -> Column:

@@ -117,3 +117,19 @@ def running_sum(rows: DataFrame, column: str, name: str, order: str = "pos", blo
         return placed.withColumn(name, inner).drop("_k")
     upto = running_sum(sums.toDF("_p", "_s"), "_s", "_upto", "_p", block).select(F.col("_p").alias("_k"), (F.col("_upto") - F.col("_s")).alias("_before"))
     return placed.withColumn("_in", inner).join(small(materialised(upto, "sums")), "_k").withColumn(name, F.col("_in") + F.col("_before")).drop("_k", "_in", "_before")
+
+
+def running_max(rows: DataFrame, by: list[str], order: str, column: str, name: str, before: bool = False, block: int | None = None) -> DataFrame:
+    """Adds the largest ``column`` of the rows with equal ``by`` (nulls are equal) up to each in the order of ``order``, a whole number that no two
+    of them share; with ``before`` the row itself is left out. Null where there is none.
+
+    A window spans ``block`` numbers of one group and begins with the largest value of the group's blocks before, so a group that holds much of all
+    rows is many tasks. The rows are shuffled once; beside them goes a partial aggregate of a row a group and block.
+    """
+    block = block or 1 << 20
+    placed = rows.withColumn("_k", F.col(order) - F.pmod(F.col(order), F.lit(block)))
+    earlier = Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy(*by, "_k").agg(F.max(column).alias("_top")).select(*by, "_k", F.max("_top").over(earlier).alias(column))
+    both = placed.withColumn("_own", F.lit(True)).unionByName(tops.filter(F.col(column).isNotNull()).withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    upto = Window.partitionBy(*by, "_k").orderBy("_own", order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return both.withColumn(name, F.max(column).over(upto)).filter("_own").drop("_own", "_k")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import hlc as H
+from ..operators.ranges import running_max
 from ..sources.store import LogStore
 
 
@@ -36,25 +37,31 @@ def merge_stream(stream: DataFrame, store: LogStore, checkpoint: str, now: str |
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fold(events: DataFrame, order: str = "seq", node: str = "node") -> DataFrame:
+def fold(events: DataFrame, order: str = "seq", node: str = "node", block: int | None = None) -> DataFrame:
     """The clock of each node after each of its events, from (0, 0): adds millis, counter and error.
 
-    ``now`` is the wall clock; ``remote_millis`` and ``remote_counter`` are null for a local change. Within a run of equal millis a counter is the largest,
-    over the run's events so far, of that event's own start plus the number of events since; so running maxima give what is defined step by
-    step, and a node's events are sorted and streamed, never held. An event that errs (its remote or the clock is too far ahead) leaves the clock as it was.
+    ``now`` is the wall clock, which may go back; ``remote_millis`` and ``remote_counter`` are null for a local change. ``order`` has whole numbers,
+    distinct within a node. An event that errs leaves the clock as it was: its remote or the clock is too far ahead (drift), or the counter would
+    pass its largest value (counter). A remote with the largest counter errs unless the clock or ``now`` is past it, so what it adds to the clock is
+    known beforehand. Within a run of equal millis a counter is the largest, over the run's events so far, of that event's own start plus the number
+    of events since; so running maxima give what is defined step by step. A busy node's events are looked through in blocks, see ``running_max``;
+    those of one millisecond are sorted and streamed, never held.
     """
-    by = Window.partitionBy(node).orderBy(order)
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    far = F.coalesce(H.drifted(F.col("remote_millis"), F.col("now")), F.lit(False))
-    e = events.withColumn("_r", F.when(~far, F.col("remote_millis"))).withColumn("_m", F.max(F.greatest("now", F.when(far, 0).otherwise(F.coalesce("_r", F.lit(0))))).over(so_far))
-    e = e.withColumn("error", F.when(far | H.drifted(F.col("_m"), F.col("now")), "drift"))
+    remote, now = F.col("remote_millis"), F.col("now")
+    far = F.coalesce(H.drifted(remote, now), F.lit(False))
+    full = F.coalesce(F.col("remote_counter") >= H.MAX_COUNTER, F.lit(False))
+    e = events.withColumn("_r", F.when(~far & ~full, remote))
+    e = e.withColumn("_c", F.when(~far & (~full | (now > remote)), F.greatest(now, F.coalesce("_r", F.lit(0)))))
+    e = running_max(e, [node], order, "_c", "_m", block=block).drop("_c").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    e = e.withColumn("error", F.when(far | H.drifted(F.col("_m"), now), "drift").when(full & (remote >= F.col("_m")), "counter"))
     good = e.filter("error IS NULL")
     run = Window.partitionBy(node, "_m").orderBy(order)
     remote = F.when(F.col("_r") == F.col("_m"), F.col("remote_counter") + 1)
     i = F.row_number().over(run)
     start = F.when(i == 1, F.greatest(F.when(F.col("_m") == 0, 1).otherwise(0), F.coalesce(remote, F.lit(0)))).otherwise(remote)
     good = good.withColumn("_i", i).withColumn("_v", start - F.col("_i")).withColumn("counter", (F.max("_v").over(run.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")).cast("long"))
-    good = good.withColumn("error", F.when(F.col("counter") > H.MAX_COUNTER, "counter")).withColumn("millis", F.col("_m"))
+    good = good.withColumn("error", F.when(F.col("counter") > H.MAX_COUNTER, "counter"))
+    good = good.withColumn("millis", F.when(F.col("error").isNull(), F.col("_m"))).withColumn("counter", F.when(F.col("error").isNull(), F.col("counter")))
     bad = e.filter("error IS NOT NULL").withColumn("counter", F.lit(None).cast("long")).withColumn("millis", F.lit(None).cast("long"))
     return good.drop("_i", "_v", "_r", "_m").unionByName(bad.drop("_r", "_m"))
 
