@@ -82,7 +82,8 @@ def step(ms: int, counter: int, now: int, remote: tuple[int, int] | None) -> tup
 def clock_stream(events: DataFrame) -> DataFrame:
     """``fold`` over a stream of (node, seq, now, remote_millis, remote_counter): the clocks are kept as keyed state between micro-batches.
 
-    Within a micro-batch a node's events are taken by ``seq``.
+    Within a micro-batch a node's events are taken by ``seq``, for which they are held together: the source's rate limit (files, rows or bytes a
+    trigger) bounds them.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
