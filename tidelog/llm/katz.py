@@ -9,8 +9,9 @@ columns: a row a chunk and partition, never a row a token. Each order k from 2 o
             with the count; for one that training lacks, with what the context's backoff weight is made of
   evaluate  after the last pass a chunk has every count and weight of its tokens and works out the recursion for each
 
-Chunks and partitions have ``CHUNK`` and ``PART`` tokens however large the input, so a task's memory stays the same; the rows that travel
-grow as tokens^2 / (CHUNK * PART) and are several thousand n-grams each as long as both are in proportion to the square root of the input.
+Chunks and partitions have ``CHUNK`` and ``PART`` tokens however large the input, so a task's memory stays the same. A chunk sends a row only to
+partitions that it has n-grams for: the rows that travel are tokens^2 / (CHUNK * PART) at most, and never more than the chunks' distinct
+n-grams; they hold several thousand each as long as both sizes are in proportion to the square root of the input.
 """
 
 from __future__ import annotations
