@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, embeddings, exact_dedup, katz, licenses, mixing, packing, secrets, simhash, toxicity
+from . import chat, clustering, embeddings, exact_dedup, katz, lexical, licenses, mixing, packing, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_toxicity_ordinal": toxicity.op1_toxicity_ordinal,
@@ -17,9 +17,12 @@ QUERIES = {
     "op8_secret_ledger": secrets.op8_secret_ledger,
     "op9_katz_backoff": katz.op9_katz_backoff,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
+    "op11_sorted_accumulation": lexical.op11_sorted_accumulation,
+    "op12_segment_statistics": topk.op12_segment_statistics,
+    "op13_block_norms": clustering.op13_block_norms,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_license_diagonals": licenses.ORACLE, "op6_embedding_itq": embeddings.ORACLE, "op7_chat_template": chat.ORACLE, "op8_secret_ledger": secrets.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_license_diagonals": licenses.ORACLE, "op6_embedding_itq": embeddings.ORACLE, "op7_chat_template": chat.ORACLE, "op8_secret_ledger": secrets.ORACLE, "op11_sorted_accumulation": lexical.ORACLE, "op12_segment_statistics": topk.ORACLE, "op13_block_norms": clustering.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
