@@ -115,3 +115,13 @@ def test_history_is_looked_up_by_bucket(spark):
     ledger.close()
     again = S.BlobLedger(spark, ledger.path)
     assert again.buckets == 4 and again.scanned.count() > 0 and S.scan(frame(spark, SECRETS), again).count() == len(SECRETS)
+
+
+def test_repeated_rows_have_the_spans_of_one(spark):
+    rows = [(1, "x password=abcdefgh1 token: abcdefgh2"), (2, "nothing"), (None, "secret=abcdefgh3")]
+    want = {r["doc_id"]: r for r in S.scan(frame(spark, rows), S.BlobLedger(spark, new_path(spark, "t"))).collect()}
+    assert want[1]["spans"] == "assign:2:20,assign:21:37" and want[1]["n_assign"] == 2 and want[None]["n_assign"] == 1
+    ledger = S.BlobLedger(spark, new_path(spark, "t"))
+    got = S.scan(frame(spark, rows * 3 + [(9, rows[0][1])]), ledger).collect()
+    assert len(got) == 10 and all(tuple(r)[1:] == tuple(want[1 if r["doc_id"] == 9 else r["doc_id"]])[1:] for r in got)
+    assert ledger.findings.count() == 3  # two of the one blob, one of the other

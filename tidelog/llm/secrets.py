@@ -102,7 +102,9 @@ class BlobLedger:
 def spans(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     """(blob, kind, version, start, stop) of ``texts`` (blob, names of the rules to scan for, text): per kind leftmost non-overlapping matches.
 
-    A text is searched for the matches and cut at them; a rule's group is looked up in the short matches, not in the text again. A match's place comes from the lengths, in code points, of the pieces between matches and of the matches before it.
+    A text is searched for the matches and cut at them; a rule's group is looked up in the short matches, not in the text again. A match's place comes from
+    the lengths, in code points, of the pieces between matches and of the matches before it. A blob that comes more than once (rows that repeat both id and
+    text) has equal matches each time, of which one set is kept before places are summed up.
     """
     each = []
     for r in rules:
@@ -124,6 +126,7 @@ def spans(texts: DataFrame, rules: list[Rule]) -> DataFrame:
         if r.group:
             group = F.when(F.col("kind") == r.kind, F.length(F.regexp_extract("x.m", r.pattern, r.group))).otherwise(group)
     hit = hit.select("blob", "kind", "version", "least", "i", F.length("x.m").alias("lm"), group.alias("lg"), F.length("x.s").alias("ls"))
+    hit = hit.dropDuplicates(["blob", "kind", "i"])
     run = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("stop", F.sum(F.col("ls") + F.col("lm")).over(run).cast("long"))
     return hit.filter("lg >= least").select("blob", "kind", "version", (F.col("stop") - F.col("lm")).alias("start"), "stop")
@@ -146,7 +149,7 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: list[Rule] = RULES, id_col:
     work = blobs.join(ledger.known, "blob", "left").select("blob", "rep", F.array_except(names, F.coalesce("known", F.array().cast("array<string>"))).alias("rules"))
     todo = written(work.filter(F.size("rules") > 0), "todo")
     texts = named.join(todo.select(F.col("blob").alias("b"), "rep", "rules"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("b")))
-    ledger.record(spans(texts.select("blob", "rules", "text"), rules).distinct(), todo)
+    ledger.record(spans(texts.select("blob", "rules", "text"), rules), todo)
     dropped(todo)
     order = F.coalesce(*[F.when(F.col("kind") == r.kind, i) for i, r in enumerate(rules)])
     mine = F.concat_ws(":", "kind", "version").isin([r.name for r in rules])
