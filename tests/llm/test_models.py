@@ -128,3 +128,14 @@ def test_katz_of_little(spark):
         got = K.katz_scores(frame(spark, rows)).collect()
         for g, w in zip(sorted(map(tuple, got)), sorted(want)):
             assert g[:5] == w[:5] and math.isfinite(g[6]) and g[6] == pytest.approx(w[6], rel=1e-5)
+
+
+def test_bytes_of_vector_and_label_do_not_run_together(spark):
+    import struct
+
+    from tidelog.llm.embeddings import near_vectors
+
+    x = struct.unpack("<f", b"abcd")[0]
+    rows = spark.createDataFrame([(1, [1.0, 2.0], "abcdefgh"), (2, [1.0, 2.0, x], "efgh"), (3, [1.0, 2.0], "abcdefgh")], "vec_id long, embedding array<float>, label string")
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(rows).collect()}
+    assert got == {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False)}

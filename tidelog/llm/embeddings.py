@@ -110,7 +110,7 @@ def vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple
                 good = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
                 dims.append(len(x))
                 raw.append(x.tobytes() if good else None)
-                digests.append(hashlib.blake2b(x.tobytes() + label.encode(), digest_size=16).digest() if good else None)
+                digests.append(hashlib.blake2b(b"%d:" % len(x) + x.tobytes() + label.encode(), digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "dim", "digest", "vec"])
 
     plain = pick(rows, id_col, label_col, vec_col).select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vec_col).cast("array<float>" if dt == "<f4" else "array<double>"))
