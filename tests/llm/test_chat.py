@@ -75,3 +75,16 @@ def test_odd_conversations(spark, tmp_path):
     full = {r["conv_id"]: r for r in C.format_conversations(df).collect()}
     assert len(full[0]["formatted"]) == got[0]["formatted_chars"] and full[0]["n_turns"] == got[0]["n_turns"]
     assert C.format_conversations(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bad", ["{{ 'ab' * 50000000 }}", "{{ 3 * 'x' }}", "{{ 4000000000 * 4000000000 }}", "{{ 99999999999999999999999999 }}"])
+def test_what_is_too_large_is_refused_when_compiled(bad):
+    with pytest.raises(TemplateError):
+        compile_template(bad)
+
+
+def test_what_is_too_large_is_refused_when_rendered():
+    for source in ("{{ x * 50000000 }}", "{% for a in xs %}{% for b in xs %}{% for c in xs %}{{ b ~ c }}{% endfor %}{% endfor %}{% endfor %}", "{{ n * n }}"):
+        with pytest.raises(TemplateError):
+            compile_template(source)(x="ab", xs=["y" * 100] * 300, n=1 << 40)
+    assert compile_template("{{ x }}{{ 2 * 3 }}")(x="y" * 5_000_000).at == 5_000_001  # long data is no fault

@@ -6,6 +6,9 @@
 Expressions: strings, integers, true, false, none, names, a.key and a['key'] of mappings, list[0], ~ + - * == != < <= > >= in, not, and,
 or, a if c else b, and filters (a | name). Names are those the caller passes, those set, and loop (index, index0, first, last). Mappings and
 lists are the only things that can be looked into and no method can be called, so a template reaches nothing but its data.
+
+Only whole numbers of up to 64 bits can be multiplied, so no text can be repeated and folding makes nothing longer than the source. What is rendered, and
+what a name is set to, may have ``ROOM`` code points and ``TIMES`` as many as the data that was passed; more is a ``TemplateError``.
 """
 
 from __future__ import annotations
@@ -23,10 +26,29 @@ WORDS = {"true": True, "false": False, "none": None}
 FILTERS: dict[str, Callable[[Any], Any]] = {"trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len, "string": lambda x: shown(x)}
 
 
+#: Code points that a rendering may have beside ``TIMES`` those of its data.
+ROOM, TIMES = 1 << 20, 64
+
+
 class TemplateError(ValueError):
     pass
 
 
+def times(x: Any, y: Any) -> int:
+    if not (isinstance(x, int) and isinstance(y, int)):
+        raise TemplateError("only numbers can be multiplied")
+    if abs(x * y) >= 1 << 63:
+        raise TemplateError("a product of more than 64 bits")
+    return x * y
+
+
+def size_of(x: Any) -> int:
+    """Code points and members of data."""
+    if isinstance(x, dict):
+        return 1 + sum(size_of(k) + size_of(v) for k, v in x.items())
+    return 1 + (len(x) if isinstance(x, str) else sum(map(size_of, x)) if isinstance(x, (list, tuple)) else 0)
+
+
 def shown(x: Any) -> str:
     return "" if x is None else x if isinstance(x, str) else str(x)
 
@@ -112,7 +134,7 @@ class _Expression:
     def multiplied(self) -> tuple:
         a = self.filtered()
         while self.take("*"):
-            a = ("op", operator.mul, [a, self.filtered()])
+            a = ("op", times, [a, self.filtered()])
         return a
 
     def filtered(self) -> tuple:
@@ -154,6 +176,8 @@ class _Expression:
         if kind == "str":
             return ("const", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), v[1:-1], flags=re.S))
         if kind == "int":
+            if len(v) > 18:
+                raise TemplateError(f"too large: {v}")
             return ("const", int(v))
         if kind == "word":
             return ("const", WORDS[v]) if v in WORDS else ("name", v)
@@ -260,6 +284,8 @@ def fold(e: tuple, filters: dict[str, Callable]) -> tuple:
     if all(x[0] == "const" for x in free):
         try:
             return ("const", value())
+        except TemplateError:
+            raise
         except Exception:  # noqa: BLE001
             return e
     return e
@@ -306,15 +332,23 @@ def _add(out: list[tuple], s: tuple) -> None:
 
 @dataclass
 class Rendered:
-    """Text so far, and the generation spans in code points."""
+    """Text so far, and the generation spans in code points. More text than ``room`` is refused."""
 
+    room: int = ROOM
     parts: list[str] = field(default_factory=list)
     at: int = 0
     spans: list[tuple[int, int]] = field(default_factory=list)
 
     def write(self, s: str) -> None:
-        self.parts.append(s)
         self.at += len(s)
+        if self.at > self.room:
+            raise TemplateError(f"more than {self.room} characters")
+        self.parts.append(s)
+
+    def set(self, env: dict, name: str, v: Any) -> None:
+        if isinstance(v, (str, list)) and len(v) > self.room:
+            raise TemplateError(f"{name} has more than {self.room} members")
+        env[name] = v
 
     @property
     def text(self) -> str:
@@ -368,7 +402,7 @@ def statement(s: tuple, filters: dict[str, Callable]) -> Callable[[dict, Rendere
         return lambda env, out: out.write(shown(e(env)))
     if kind == "set":
         e = expression(s[2], filters)
-        return lambda env, out: env.__setitem__(s[1], e(env))
+        return lambda env, out: out.set(env, s[1], e(env))
     if kind == "gen":
         inner = statements(s[1], filters)
 
@@ -412,7 +446,7 @@ def compile_template(source: str, filters: dict[str, Callable[[Any], Any]] | Non
     run = statements(fold_body(parse(source), known), known)
 
     def render(**names: Any) -> Rendered:
-        out = Rendered()
+        out = Rendered(ROOM + TIMES * size_of(names))
         run(dict(names), out)
         return out
 
