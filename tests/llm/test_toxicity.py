@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidelog.llm import toxicity as T
 
@@ -109,3 +110,19 @@ def test_rows_without_an_id_are_judged_by_their_own_texts(spark):
     more = [(None, "scum idiot trash moron scum"), (None, "w1 w2 w3"), (None, None), (1, "scum idiot trash moron")]
     kept = [(r["doc_id"], r["text"]) for r in T.drop_toxic(frame(spark, rows + more), lab).collect()]
     assert (None, "w1 w2 w3") in kept and (None, None) in kept and more[0] not in kept and more[3] not in kept and rows[1] in kept
+
+
+def test_a_fit_that_is_cut_short_is_an_error(spark):
+    rows, labels = corpus(200, 3)
+    with pytest.raises(T.NotConverged):
+        T.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), steps=2)
+
+
+def test_of_texts_that_share_an_id_the_smallest_is_learned(spark):
+    rows, labels = corpus(200, 4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = [(i, "zzz " + t) for i, t in rows]
+    once = T.fit(frame(spark, rows), lab)
+    for shuffled in (rows + more, more + rows):
+        twice = T.fit(frame(spark, shuffled), lab)
+        assert (once.weights == twice.weights).all() and (once.thresholds == twice.thresholds).all()

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import dropped, pick, table, written
 
+class NotConverged(RuntimeError):
+    """The optimiser's evaluations were spent before the gradient was within the tolerance."""
+
+
 #: Labelled rows that a fit reads at most: those whose ids have the smallest hashes. A larger table is sampled down to this.
 MAX_LABELLED = 20_000
 #: Words are hashed to so many features, which bounds the model.
@@ -88,7 +92,9 @@ def loss(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, p: np.ndarray, grade
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], p: np.ndarray, steps: int, tolerance: float, memory: int = 10) -> np.ndarray:
-    """Limited-memory quasi-Newton steps with halving, until the largest gradient is within ``tolerance`` or ``steps`` evaluations are spent."""
+    """Limited-memory quasi-Newton steps with halving, until the largest gradient is within ``tolerance`` or nothing lower can be found in double
+    precision. More than ``steps`` evaluations are a ``NotConverged``.
+    """
     value, g = f(p)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     step = min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
@@ -117,6 +123,9 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], p: np.ndarray,
         if s @ d > 1e-12 * (d @ d):
             past = [*past[1 - memory :], (s, d)]
         p, value, g, step = p + s, new, new_g, 1.0
+    else:
+        if np.abs(g).max() > tolerance:
+            raise NotConverged(f"gradient {np.abs(g).max():.3g} after {steps} evaluations, asked for {tolerance:.3g}")
     return p
 
 
@@ -151,12 +160,13 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_words: int,
     return fitted(share, lambda p: loss(rows, cols, y, p, grades), n_words, l2, steps, tolerance)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", max_labelled: int = MAX_LABELLED, l2: float = 0.1, significant: float = SIGNIFICANT, steps: int = 60, tolerance: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
+def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", max_labelled: int = MAX_LABELLED, l2: float = 0.1, significant: float = SIGNIFICANT, steps: int = 500, tolerance: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
     """A model from ``labels`` (id, grade) over the texts of ``docs``; None when there are not at least two grades to tell apart, or none is 0.
 
     Grades are those that the labels hold, from 0 on: with labels that only say toxic or not there are two, and severity is the probability of
     the upper. Rows with a null id, grade or document are not used; negative grades count as 0; of labels that disagree on an id the
-    highest counts. At most ``max_labelled`` labels are used, and all their texts. A grade that no label has is skipped in the order.
+    highest counts, and of rows of ``docs`` that share an id the smallest text (null: empty). At most ``max_labelled`` labels are used, with whole texts. A
+    grade that no label has is skipped in the order. A fit that is cut short raises ``NotConverged``.
 
     The labelled texts are written once as features in ``TASKS`` parts. Of all features those count that tell grades apart beyond chance (a
     test of each feature by itself, so how many there are depends on the data alone); the others would only fit noise. A step of the
@@ -164,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", max_labell
     """
     chosen = pick(labels, id_col, grade_col).toDF("id", "y").dropna().groupBy("id").agg(F.greatest(F.max("y").cast("int"), F.lit(0)).alias("y"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled))
-    texts = pick(docs, id_col, text_col).toDF("id", "text").join(chosen, "id").dropDuplicates(["id"])
+    texts = pick(docs, id_col, text_col).toDF("id", "text").join(chosen, "id").groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
