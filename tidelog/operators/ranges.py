@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import fingerprint as FP
 from ..sources.log import materialised, small
@@ -74,6 +81,39 @@ def range_rows(log: DataFrame, key: str = "hlc") -> DataFrame:
     return listed.select(F.lit(0).cast("long").alias("range_idx"), F.lit(None).cast("string").alias("lower"), F.lit(None).cast("string").alias("upper"), F.lit("timestamps").alias("kind"), F.lit(None).cast("string").alias("fp"), "timestamps")
 
 
+def place(rows: DataFrame, bounds: DataFrame, key: str = "hlc", name: str = "bound") -> DataFrame:
+    """Adds the largest of any number of bounds that is not above the row's key, null where there is none. ``bounds`` has the one column; nulls and repeats are passed
+    over. A row with a null key has no bound.
+
+    Keys and bounds are put together, dealt by ranges and sorted, in one shuffle; within a partition each row takes the last bound before it, and the
+    rows before a partition's first bound take the last one of the partitions before, from a table of a row a partition.
+    """
+    marks = bounds.toDF(key).filter(F.col(key).isNotNull()).distinct().withColumn("_mark", F.lit(True))
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    dealt = both.repartitionByRange(key).sortWithinPartitions(F.asc_nulls_first(key), F.desc("_mark"))
+    schema = StructType([*both.schema.fields, StructField(name, both.schema[key].dataType), StructField("_pid", IntegerType())])
+    at = both.columns.index(key), both.columns.index("_mark")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pid = None, TaskContext.get().partitionId()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            mark = b.column(at[1]).to_numpy(zero_copy_only=False).astype(bool)
+            upto = np.maximum.accumulate(np.where(mark, np.arange(b.num_rows), -1))
+            bound = b.column(at[0]).take(pa.array(upto, mask=upto < 0))
+            bound = bound if last is None else pc.fill_null(bound, pa.scalar(last, bound.type))
+            last = bound[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*b.columns, bound, pa.array(np.full(b.num_rows, pid, np.int32))], names=[*b.schema.names, name, "_pid"])
+
+    filled = materialised(dealt.mapInArrow(fill, schema), "placed")
+    ends = filled.groupBy("_pid").agg(F.max(name).alias("_top"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    carried = small(materialised(ends.select("_pid", F.max("_top").over(before).alias("_carried")), "carried"))
+    out = filled.filter(~F.col("_mark")).join(carried, "_pid")
+    return out.withColumn(name, F.when(F.col(key).isNotNull(), F.coalesce(name, "_carried"))).select(*rows.columns, name)
+
+
 def run_lengths(rows: DataFrame, value: str, order: str = "pos") -> DataFrame:
     """Runs of equal values in the order of ``pos``: run, value, begin, length.
 

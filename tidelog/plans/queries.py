@@ -12,6 +12,7 @@ from ..functions import encodings as E
 from ..functions import fingerprint as FP
 from ..functions import hlc as H
 from ..functions import wire as W
+from ..operators import descent as DE
 from ..operators import lww as L
 from ..operators import ranges as R
 from ..operators import reconcile as RC
@@ -420,6 +421,44 @@ def replicas_equal(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(before).alias("before"), F.lit(after).alias("after"))
 
 
+# ---- order statistics and fingerprints kept with a store
+
+
+def _store(spark: SparkSession, log: DataFrame, segments: int) -> LogStore:
+    """A store that got a log in as many batches, whose keys are spread over all of it."""
+    store = LogStore(spark, scratch_path(spark, "store"))
+    for i in range(segments):
+        store.append(log.filter(F.col("event_id") % segments == i))
+    return store
+
+
+@query("SELECT event_id, pos::BIGINT AS pos FROM k WHERE pos >= 300 AND pos < 450")
+def store_positional_slice(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, event_log(spark, d).select("event_id", "hlc"), 3).slice(300, 450).select("event_id", "pos")
+
+
+@query(f"""SELECT o.event_id, count(x.hlc)::BIGINT AS n, {XOR} AS fp FROM (SELECT event_id, hlc AS lo, printf('%012x', millis + 3600000) || substr(hlc, 13) AS up FROM log WHERE event_id % 20 = 0) o
+LEFT JOIN x ON x.hlc >= o.lo AND x.hlc < o.up GROUP BY o.event_id""")
+def store_range_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprint of the hour from every twentieth event on."""
+    log = event_log(spark, d)
+    upper = H.encode(F.col("millis") + 3_600_000, F.col("counter"), F.col("node"))
+    asked = log.filter("event_id % 20 = 0").select("event_id", F.col("hlc").alias("lower"), upper.alias("upper"))
+    return _store(spark, log.select("event_id", "hlc"), 2).fingerprints(asked).select("event_id", "n", "fp")
+
+
+@query("SELECT a.event_id, o.hlc AS bound FROM a ASOF LEFT JOIN (SELECT hlc FROM b WHERE event_id % 5 = 0) o ON a.hlc >= o.hlc")
+def many_bound_join(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _replicas(spark, d)
+    return R.place(a.select("event_id", "hlc"), b.filter("event_id % 5 = 0").select("hlc")).select("event_id", "bound")
+
+
+@query("SELECT 'a' AS lacking, hlc FROM b WHERE hlc NOT IN (SELECT hlc FROM a) UNION ALL SELECT 'b', hlc FROM a WHERE hlc NOT IN (SELECT hlc FROM b)")
+def reconcile_descent(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (_store(spark, x.select("event_id", "hlc"), 1) for x in _replicas(spark, d))
+    return DE.descend(a, b).found
+
+
 # ---- encodings
 
 

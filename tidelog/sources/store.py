@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as FP
 from ..operators import sets as S
-from .log import materialised
+from .directory import Directory, build
+from .log import dropped, materialised
 
 
 class ReplayError(RuntimeError):
@@ -37,9 +43,9 @@ class Manifest:
 class LogStore:
     """Rows keyed by ``keys`` under a path that all executors share.
 
-    An append writes a segment of the rows whose keys are new, then a manifest of the next version, which is written aside and renamed: readers see
-    the old version until then, and a run lost on the way leaves files that no manifest names. The newest manifest counts. Appending the same rows
-    again changes nothing. On a key that is there already the old row stays.
+    An append writes a segment of the rows whose keys are new and its directory (see ``directory``), then a manifest of the next version, which is put in
+    place as a whole: readers see the old version until then, and a run lost on the way leaves files that no manifest names, which ``vacuum`` takes away. The
+    newest manifest counts. Appending the same rows again changes nothing. On a key that is there already the old row stays. A key must not be null.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("hlc",), hlc: str = "hlc"):
@@ -106,48 +112,121 @@ class LogStore:
         """The stored rows that can have a key of ``batch``: of the segments whose bounds meet the batch's, and there within the batch's bounds
         (files are sorted by timestamp, so most of a large segment is not read). All rows where the timestamp is no part of the key.
         """
+        return self._between(m, *batch.agg(F.min(self.hlc), F.max(self.hlc)).first())
+
+    def _between(self, m: Manifest, lo: str | None, hi: str | None) -> DataFrame | None:
         if self.hlc not in self.keys:
             return self.read(m.version)
-        lo, hi = batch.agg(F.min(self.hlc), F.max(self.hlc)).first()
         if lo is None:
             return None
         meet = [f"{self.path}/{s}" for s, b in zip(m.segments, m.bounds) if b is None or (b[0] <= hi and lo <= b[1])]
         return self.spark.read.parquet(*meet).filter(F.col(self.hlc).between(lo, hi)) if meet else None
 
+    def directory(self, version: int | None = None) -> Directory:
+        """Order statistics and fingerprints of the keys at a version."""
+        m = self.manifest(version)
+        bare = [s for s in m.segments if not self._fs.exists(self._path(f"{self.path}/directory/{s}/files"))]
+        if bare:
+            raise CorruptError(f"no directory beside {bare[0]}")
+        return Directory(self.spark, self.path, m.segments, self.hlc)
+
+    def slice(self, begin: int, end: int, version: int | None = None) -> DataFrame | None:
+        """Rows at positions ``begin`` to ``end`` - 1 in key order, with ``pos``; only files that can hold them are read. None where there are none."""
+        return self.directory(version).slice(begin, end)
+
+    def fingerprints(self, ranges: DataFrame, version: int | None = None) -> DataFrame:
+        """Adds n and fp to the ranges (lower, upper); of the rows only those at the edges of ranges are read."""
+        return self.directory(version).fingerprints(ranges)
+
     def append(self, batch: DataFrame, trusted: int | None = None) -> int:
-        """Adds what is new and returns how many rows were. A batch of known keys writes nothing and keeps the version."""
+        """Adds what is new and returns how many rows were. A batch of known keys writes nothing and keeps the version. A null key is an error, since no
+        key equals it.
+        """
         m = self.manifest(trusted=trusted)
         fresh = materialised(S.first_of_batch(batch, self.keys), "batch")
-        old = self.near(m, fresh) if m.segments else None
+        bare = F.count(F.when(reduce(or_, [F.col(k).isNull() for k in self.keys]), 1)).alias("bare")
+        got = fresh.agg(F.count(F.lit(1)).alias("n"), bare, F.min(self.hlc).alias("lo"), F.max(self.hlc).alias("hi")).first()
+        if got["bare"]:
+            dropped(fresh)
+            raise ValueError(f"{got['bare']} keys of the batch are null")
+        old = self._between(m, got["lo"], got["hi"]) if m.segments else None
+        n = got["n"]
         if old is not None:
-            fresh = materialised(S.missing(fresh, old, self.keys), "fresh")
-        at = [F.min(self.hlc).alias("lo"), F.max(self.hlc).alias("hi")]
-        got = FP.with_lanes(fresh.select(self.hlc), self.hlc).agg(F.count(F.lit(1)).alias("n"), *at, *FP.xor()).first()
-        if not got["n"]:
-            return 0
-        segment = f"segment-{m.version + 1}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-        fresh.repartitionByRange(self.hlc).sortWithinPartitions(self.hlc).write.parquet(f"{self.path}/{segment}")
+            batch, fresh = fresh, materialised(S.missing(fresh, old, self.keys), "fresh")
+            dropped(batch)
+            n = fresh.count()
+        if n:
+            self.commit(self.next(m, fresh))
+        dropped(fresh)
+        return n
+
+    def next(self, m: Manifest, fresh: DataFrame) -> Manifest:
+        """Writes a segment of rows that are new, and its directory; the manifest that would add it to ``m``."""
+        segment = self._segment(m.version + 1, fresh)
+        got = FP.with_lanes(self.spark.read.parquet(f"{self.path}/{segment}").select(self.hlc), self.hlc).agg(F.count(F.lit(1)).alias("n"), F.min(self.hlc).alias("lo"), F.max(self.hlc).alias("hi"), *FP.xor()).first()
         fp = "".join(f"{int(m.fp[8 * i : 8 * i + 8], 16) ^ got[n]:08x}" for i, n in enumerate(FP.LANES))
         span = None if got["lo"] is None else [got["lo"], got["hi"]]
-        self.commit(Manifest(m.version + 1, m.n_rows + got["n"], fp, [*m.segments, segment], [*m.bounds, span]))
-        return got["n"]
+        return Manifest(m.version + 1, m.n_rows + got["n"], fp, [*m.segments, segment], [*m.bounds, span])
+
+    def _segment(self, version: int, rows: DataFrame) -> str:
+        segment = f"segment-{version}-{uuid.uuid4()}"
+        rows.repartitionByRange(self.hlc).sortWithinPartitions(self.hlc).write.parquet(f"{self.path}/{segment}")
+        build(self.spark, self.path, segment, self.hlc)
+        return segment
 
     def commit(self, m: Manifest) -> None:
-        aside = self._path(f"{self.path}/_{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}")
-        out = self._fs.create(aside, False)
-        out.write(bytearray(json.dumps(m.__dict__).encode()))
-        out.close()
-        target = self._path(f"{self.path}/manifest-{m.version}.json")
-        if self._fs.exists(target) or not self._fs.rename(aside, target):
-            self._fs.delete(aside, False)
+        """Puts a manifest in its place unless there is one: of two writers one gets a ``ReplayError``. Readers never see half of it."""
+        if not self._put(f"{self.path}/manifest-{m.version}.json", json.dumps(m.__dict__).encode()):
             raise ReplayError(f"version {m.version} was committed by another writer")
 
+    def _put(self, name: str, data: bytes) -> bool:
+        """Writes a file unless its name is taken. On a local disk, where a rename overwrites, by a link, which does not; on HDFS by a rename, which fails
+        there; elsewhere (object stores) by a create that does not overwrite, which appears as a whole when it is closed.
+        """
+        scheme, target = self._fs.getUri().getScheme(), self._path(name)
+        aside = self._path(f"{self.path}/_{uuid.uuid4()}") if scheme in ("file", "hdfs") else target
+        try:
+            out = self._fs.create(aside, False)
+            out.write(bytearray(data))
+            out.close()
+            if scheme == "file":
+                local = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+                self.spark._jvm.java.nio.file.Files.createLink(local(target), local(aside))
+            return scheme != "hdfs" or self._fs.rename(aside, target)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            if aside is not target:
+                self._fs.delete(aside, False)
+
+    def vacuum(self, retain: int = 10, hours: float = 24.0) -> list[str]:
+        """Deletes manifests but the newest ``retain``, and segments, directories and unfinished files that none of those names; returns the names.
+
+        What is younger than ``hours`` stays, since a writer that has not committed yet may have written it: give more than the longest append takes.
+        """
+        if retain < 1:
+            raise ValueError("at least one version is retained")
+        found = self.versions()
+        keep = {s for v in found[-retain:] for s in self.manifest(v).segments} | {f"manifest-{v}.json" for v in found[-retain:]}
+        until = time.time() * 1000 - hours * 3_600_000
+        listed = list(self._fs.listStatus(self._path(self.path)))
+        inner = self._path(f"{self.path}/directory")
+        listed += list(self._fs.listStatus(inner)) if self._fs.exists(inner) else []
+        gone = []
+        for s in listed:
+            name = s.getPath().getName()
+            if name not in keep and name.startswith(("segment-", "manifest-", "_")) and s.getModificationTime() <= until:
+                self._fs.delete(s.getPath(), True)
+                gone.append(name)
+        return sorted(set(gone))
+
     def compact(self) -> None:
         """Rewrites all segments as one, in key order, as the next version."""
         m = self.manifest()
         if len(m.segments) < 2:
             return
-        segment = f"segment-{m.version + 1}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-        self.read(m.version).repartitionByRange(self.hlc).sortWithinPartitions(self.hlc).write.parquet(f"{self.path}/{segment}")
+        segment = self._segment(m.version + 1, self.read(m.version))
         span = None if None in m.bounds else [min(b[0] for b in m.bounds), max(b[1] for b in m.bounds)]
         self.commit(Manifest(m.version + 1, m.n_rows, m.fp, [segment], [span]))
