@@ -105,3 +105,21 @@ def test_the_clock_is_passed_in(spark):
     assert p.now() == 1234 and p.random(8) == p.random(8) and len(p.random(24)) == 24
     assert spark.range(2).select(p.now_column().alias("n")).distinct().collect() == [(1234,)]
     assert Platform().now() > 1_700_000_000_000 and Platform().random(16) != Platform().random(16)
+
+
+def test_no_message_has_more_than_its_ranges(spark, monkeypatch):
+    keys = range(600)
+    a, b = SE.QueueTransport.pair()
+    x, y = SE.Session(store(spark, [k for k in keys if k % 10]), OWNER, a), SE.Session(store(spark, [k for k in keys if k % 7]), OWNER, b)
+    SE.run(x, y, max_rounds=80)
+    assert x.state is y.state is SE.State.SYNCED
+    assert {r["hlc"] for r in x.log().collect()} == {r["hlc"] for r in y.log().collect()} == {hlc(k) for k in keys if k % 10 or k % 7}
+    messages = [W.read_message(m) for m in a.sent + b.sent]
+    assert max(len(m.ranges) for m in messages) <= SE.RANGES and len(messages) > 8
+    assert max(sum(len(r.stamps or []) for r in m.ranges) for m in messages) <= SE.RANGES * (R.LISTED - 1)
+    for kinds in ([2] * 16, [2] * 32, [1] * 20 + [2] * 12, [0] * 31 + [2], [2], [1] * 31 + [2], [0, 2] * 16):
+        split, later, end, together = SE._plan(kinds)
+        kept = [i for i in range(end) if not (together and i and kinds[i] == kinds[i - 1] == 0)]
+        assert len(kept) + 15 * len(split) + (end < len(kinds)) <= SE.RANGES and (split or 1 in kinds[:end])
+    with pytest.raises(W.WireError):
+        SE.respond(x.log(), [W.Range(W.SKIP, bytes.fromhex(hlc(k))) for k in range(40)] + [W.Range(W.SKIP)])

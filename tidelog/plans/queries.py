@@ -19,7 +19,9 @@ from ..operators import reconcile as RC
 from ..operators import sets as S
 from ..sources.log import event_log, replica, scratch_path, table
 from ..sources.store import LogStore, ReplayError
+from ..streaming import feed as FE
 from ..streaming import ingest as I
+from ..streaming import windows as WI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -646,15 +648,94 @@ def stream_merge(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select("event_id", "hlc")
 
 
+def _fed(spark: SparkSession, d: str, each: Callable[[DataFrame, str], object]) -> None:
+    """A store gets a log in three batches; after each, ``each`` runs a stream of its changes from the same checkpoint, so it is started anew every time."""
+    log = event_log(spark, d).select("event_id", "hlc")
+    source, checkpoint = LogStore(spark, scratch_path(spark, "store")), scratch_path(spark, "checkpoint")
+    for i in range(3):
+        source.append(log.filter(F.col("event_id") % 3 == i))
+        each(FE.feed(source, log.schema), checkpoint).awaitTermination()
+
+
+@query("SELECT event_id, hlc FROM log")
+def stream_feed_merge(spark: SparkSession, d: str) -> DataFrame:
+    store = LogStore(spark, scratch_path(spark, "store"))
+    _fed(spark, d, lambda stream, checkpoint: I.merge_stream(stream, store, checkpoint))
+    return store.read().select("event_id", "hlc")
+
+
+@query(f"SELECT event_id, hlc, (SELECT count(*) FROM log)::BIGINT AS n, (SELECT {XOR} FROM x) AS fp FROM log")
+def stream_sink(spark: SparkSession, d: str) -> DataFrame:
+    store = LogStore(spark, scratch_path(spark, "store"))
+    _fed(spark, d, lambda stream, checkpoint: FE.into(stream, store, "copy", checkpoint))
+    m = store.manifest()
+    return store.read().select("event_id", "hlc", F.lit(m.n_rows).cast("long").alias("n"), F.lit(m.fp).alias("fp"))
+
+
+def _landings(spark: SparkSession, rows: DataFrame, batch: Column, batches: int) -> DataFrame:
+    """A stream of ``rows`` in as many micro-batches, by the number ``batch``."""
+    path = scratch_path(spark, "landing")
+    for i in range(batches):
+        rows.filter(batch == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query()
 def stream_hlc_state(spark: SparkSession, d: str) -> DataFrame:
-    stream = _landing(spark, _clock_events(spark, d), 1)
-    out = scratch_path(spark, "clocks")
-    q = I.clock_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    events = _clock_events(spark, d)
+    top = events.agg(F.max("seq")).first()[0] or 0
+    stream = _landings(spark, events, F.expr(f"least(seq * 4 div {top + 1}, 3)"), 4)
+    out, before = scratch_path(spark, "clocks"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", I.ROCKSDB)
+    try:
+        q = I.clock_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     q.awaitTermination()
     return spark.read.schema(I.CLOCK).parquet(out)
 
 
+def _thirds(spark: SparkSession, d: str, late: bool) -> tuple[DataFrame, DataFrame]:
+    """The log, and a stream of it in thirds of its time; with ``late`` every 50th event comes with the last."""
+    log = event_log(spark, d).select("event_id", "node", "millis", "hlc")
+    lo, hi = log.agg(F.min("millis"), F.max("millis")).first()
+    batch = F.expr(f"CASE WHEN {late} AND event_id % 50 = 0 THEN 2 ELSE least((millis - {lo}) * 3 div ({hi} - {lo} + 1), 2) END")
+    return log, _landings(spark, log, batch, 3)
+
+
+def _windows(spark: SparkSession, d: str, width: str, slide: str | None, per_row: int) -> DataFrame:
+    log, stream = _thirds(spark, d, True)
+    checkpoint = scratch_path(spark, "checkpoint")
+    closed = WI.run(WI.windowed(stream, F.window("at", width, slide), "1 hour"), scratch_path(spark, "windows"), checkpoint)
+    return closed.withColumn("late", F.lit(WI.late(log.count() * per_row, closed, WI.still_open(spark, checkpoint))).cast("long"))
+
+
+#: A watermark is an hour behind the latest event of the batches before; a batch leaves out what the one before has closed.
+WINDOWS = """, t AS (SELECT x.*, CASE WHEN event_id % 50 = 0 THEN 2 ELSE least((millis - lo) * 3 // (hi - lo + 1), 2) END AS batch, hi FROM x, (SELECT min(millis) AS lo, max(millis) AS hi FROM log)),
+w AS (SELECT t.*, millis - millis % {slide} - i * {slide} AS begin, millis - millis % {slide} - i * {slide} + {width} AS finish FROM t, range({width} // {slide}) r(i)),
+l AS (SELECT *, batch = 2 AND finish <= (SELECT max(millis) - 3600000 FROM t WHERE batch = 0) AS late FROM w)
+SELECT begin, finish, count(*)::BIGINT AS n, {xor} AS fp, (SELECT count(*) FROM l WHERE late)::BIGINT AS late FROM l WHERE NOT late AND finish <= hi - 3600000 GROUP BY begin, finish"""
+
+
+@query(WINDOWS.format(slide=6 * 3_600_000, width=6 * 3_600_000, xor=XOR))
+def stream_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d, "6 hours", None, 1)
+
+
+@query(WINDOWS.format(slide=3 * 3_600_000, width=12 * 3_600_000, xor=XOR))
+def stream_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d, "12 hours", "3 hours", 4)
+
+
+@query(f"""SELECT node, min(millis) AS begin, max(millis) + 7200000 AS finish, count(*)::BIGINT AS n, {XOR} AS fp FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY node ORDER BY millis, event_id) AS run FROM (
+    SELECT *, CASE WHEN millis - lag(millis) OVER (PARTITION BY node ORDER BY millis, event_id) < 7200000 THEN 0 ELSE 1 END AS fresh FROM x))
+GROUP BY node, run HAVING max(millis) + 7200000 <= (SELECT max(millis) FROM log) - 3600000""")
+def stream_session_windows(spark: SparkSession, d: str) -> DataFrame:
+    _, stream = _thirds(spark, d, False)
+    return WI.run(WI.windowed(stream, F.session_window("at", "2 hours"), "1 hour", ["node"]), scratch_path(spark, "windows"), scratch_path(spark, "checkpoint"))
+
+
 @query("SELECT count(*)::BIGINT AS messages, count(DISTINCT node)::BIGINT AS nodes FROM log")
 def message_counters(spark: SparkSession, d: str) -> DataFrame:
     return event_log(spark, d).agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("node").alias("nodes"))

@@ -25,17 +25,17 @@ NODES = "depth int, prefix string, n long, fp0 long, fp1 long, fp2 long, leaf bo
 FILES = "file string, n long, lo string, hi string"
 
 
-def build(spark: SparkSession, store: str, segment: str, hlc: str) -> None:
+def build(spark: SparkSession, segment: str, path: str, hlc: str) -> None:
     """Writes the nodes and files of a segment. A node's number of keys is the sum over its children, so one window over siblings says which are kept."""
-    rows = spark.read.parquet(f"{store}/{segment}")
+    rows = spark.read.parquet(segment)
     base = FP.with_lanes(rows.select(F.col(hlc).alias("hlc"))).groupBy(F.substring("hlc", 1, DEEPEST).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), *FP.xor())
     depths = F.explode(F.array(*[F.lit(d) for d in range(STEP, DEEPEST + 1, STEP)]))
     every = base.withColumn("depth", depths).withColumn("prefix", F.expr("left(prefix, depth)")).groupBy("depth", "prefix").agg(F.sum("n").alias("n"), *FP.xor())
     above = F.sum("n").over(Window.partitionBy("depth", F.expr(f"left(prefix, depth - {STEP})")))
     kept = every.withColumn("above", above).filter((F.col("above") > LEAF) | (F.col("depth") == STEP))
-    kept.select("depth", "prefix", "n", *FP.LANES, ((F.col("n") <= LEAF) | (F.col("depth") == DEEPEST)).alias("leaf")).write.parquet(f"{store}/directory/{segment}/nodes")
+    kept.select("depth", "prefix", "n", *FP.LANES, ((F.col("n") <= LEAF) | (F.col("depth") == DEEPEST)).alias("leaf")).write.parquet(f"{path}/nodes")
     files = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min(hlc).alias("lo"), F.max(hlc).alias("hi"))
-    files.coalesce(1).write.parquet(f"{store}/directory/{segment}/files")  # a row a file
+    files.coalesce(1).write.parquet(f"{path}/files")  # a row a file
 
 
 @dataclass

@@ -35,6 +35,10 @@ class Manifest:
     segments: list[str] = field(default_factory=list)
     #: The smallest and largest timestamp of each segment; None where it has none or it was not recorded.
     bounds: list[list[str] | None] = field(default_factory=list)
+    #: The last batch of each stream that appends by itself.
+    batches: dict[str, int] = field(default_factory=dict)
+    #: append, or compact: the version has the rows of the one before.
+    kind: str = "append"
 
     def __post_init__(self) -> None:
         self.bounds += [None] * (len(self.segments) - len(self.bounds))
@@ -125,9 +129,9 @@ class LogStore:
     def directory(self, version: int | None = None) -> Directory:
         """Order statistics and fingerprints of the keys at a version."""
         m = self.manifest(version)
-        bare = [s for s in m.segments if not self._fs.exists(self._path(f"{self.path}/directory/{s}/files"))]
-        if bare:
-            raise CorruptError(f"no directory beside {bare[0]}")
+        for s in m.segments:
+            if not self._fs.exists(self._path(f"{self.path}/directory/{s}")):
+                self._describe(s)  # a stream's sink leaves that to the first who asks
         return Directory(self.spark, self.path, m.segments, self.hlc)
 
     def slice(self, begin: int, end: int, version: int | None = None) -> DataFrame | None:
@@ -166,14 +170,21 @@ class LogStore:
         got = FP.with_lanes(self.spark.read.parquet(f"{self.path}/{segment}").select(self.hlc), self.hlc).agg(F.count(F.lit(1)).alias("n"), F.min(self.hlc).alias("lo"), F.max(self.hlc).alias("hi"), *FP.xor()).first()
         fp = "".join(f"{int(m.fp[8 * i : 8 * i + 8], 16) ^ got[n]:08x}" for i, n in enumerate(FP.LANES))
         span = None if got["lo"] is None else [got["lo"], got["hi"]]
-        return Manifest(m.version + 1, m.n_rows + got["n"], fp, [*m.segments, segment], [*m.bounds, span])
+        return Manifest(m.version + 1, m.n_rows + got["n"], fp, [*m.segments, segment], [*m.bounds, span], m.batches)
 
     def _segment(self, version: int, rows: DataFrame) -> str:
         segment = f"segment-{version}-{uuid.uuid4()}"
         rows.repartitionByRange(self.hlc).sortWithinPartitions(self.hlc).write.parquet(f"{self.path}/{segment}")
-        build(self.spark, self.path, segment, self.hlc)
+        self._describe(segment)
         return segment
 
+    def _describe(self, segment: str) -> None:
+        """Writes a segment's directory aside and puts it in place as a whole; of two who do so at once one's is dropped."""
+        aside, place = self._path(f"{self.path}/directory/_{uuid.uuid4()}"), self._path(f"{self.path}/directory/{segment}")
+        build(self.spark, f"{self.path}/{segment}", aside.toString(), self.hlc)
+        if self._fs.exists(place) or not self._fs.rename(aside, place):
+            self._fs.delete(aside, True)
+
     def commit(self, m: Manifest) -> None:
         """Puts a manifest in its place unless there is one: of two writers one gets a ``ReplayError``. Readers never see half of it."""
         if not self._put(f"{self.path}/manifest-{m.version}.json", json.dumps(m.__dict__).encode()):
@@ -229,4 +240,4 @@ class LogStore:
             return
         segment = self._segment(m.version + 1, self.read(m.version))
         span = None if None in m.bounds else [min(b[0] for b in m.bounds), max(b[1] for b in m.bounds)]
-        self.commit(Manifest(m.version + 1, m.n_rows, m.fp, [segment], [span]))
+        self.commit(Manifest(m.version + 1, m.n_rows, m.fp, [segment], [span], m.batches, "compact"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..functions import hlc as H
 from ..operators.ranges import running_max
@@ -79,21 +81,62 @@ def step(ms: int, counter: int, now: int, remote: tuple[int, int] | None) -> tup
     return (ms, counter, "counter") if new > H.MAX_COUNTER else (top, new, None)
 
 
-def clock_stream(events: DataFrame) -> DataFrame:
-    """``fold`` over a stream of (node, seq, now, remote_millis, remote_counter): the clocks are kept as keyed state between micro-batches.
+#: Consecutive numbers of events that are held and sorted together.
+LOT = 4096
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-    Within a micro-batch a node's events are taken by ``seq``, for which they are held together: the source's rate limit (files, rows or bytes a
-    trigger) bounds them.
+class ClockProcessor(StatefulProcessor):
+    """A node's clock as value state. Events of one micro-batch are taken in lots of ``lot`` consecutive numbers, lowest first: when they come in more than one
+    batch of rows they wait in map state, a lot a key, so no more than a lot and a batch of rows are in memory however many a node has.
     """
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ms, counter = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, now, rm, rc in zip(rows["seq"], rows["now"], rows["remote_millis"], rows["remote_counter"]):
-            ms, counter, error = step(ms, counter, int(now), None if pd.isna(rm) else (int(rm), int(rc)))
-            out.append((key[0], int(seq), None if error else ms, None if error else counter, error))
-        state.update((ms, counter))
-        yield pd.DataFrame(out, columns=["node", "seq", "millis", "counter", "error"]).astype({"millis": "Int64", "counter": "Int64"})
-
-    return events.groupBy("node").applyInPandasWithState(advance, CLOCK, "millis long, counter long", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, lot: int = LOT, ttl_ms: int | None = None) -> None:
+        self.lot, self.ttl_ms = lot, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clock = handle.getValueState("clock", "millis long, counter long", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "lot long", "events binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        ms, counter = self.clock.get() if self.clock.exists() else (0, 0)
+        first = next(rows)
+        more = next(rows, None)
+        for events in [self._events(first)] if more is None and len(first) <= self.lot else self._lots(chain([first], [] if more is None else [more], rows)):
+            out = []
+            for seq, now, rm, rc in events[np.argsort(events[:, 0])].tolist():
+                ms, counter, error = step(ms, counter, now, None if rm < 0 else (rm, rc))
+                out.append((key[0], seq, None if error else ms, None if error else counter, error))
+            yield pd.DataFrame(out, columns=["node", "seq", "millis", "counter", "error"]).astype({"millis": "Int64", "counter": "Int64"})
+        self.clock.update((ms, counter))
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _events(rows: pd.DataFrame) -> np.ndarray:
+        """(seq, now, remote millis or -1, remote counter)"""
+        return np.stack([pd.to_numeric(rows[c]).fillna(-1).astype("int64").to_numpy() for c in ("seq", "now", "remote_millis", "remote_counter")], axis=1)
+
+    def _lots(self, batches: Iterable[pd.DataFrame]) -> Iterator[np.ndarray]:
+        lots = set()
+        for rows in batches:
+            events = self._events(rows)
+            of = events[:, 0] // self.lot
+            for lot in np.unique(of).tolist():
+                held = self.waiting.getValue((lot,))[0] if lot in lots else b""
+                self.waiting.updateValue((lot,), (bytes(held) + events[of == lot].tobytes(),))
+                lots.add(lot)
+        for lot in sorted(lots):
+            yield np.frombuffer(bytes(self.waiting.getValue((lot,))[0]), np.int64).reshape(-1, 4)
+            self.waiting.removeKey((lot,))
+
+
+def clock_stream(events: DataFrame, lot: int = LOT, ttl_ms: int | None = None) -> DataFrame:
+    """``fold`` over a stream of (node, seq, now, remote_millis, remote_counter): the clocks are kept as keyed state between micro-batches.
+
+    Within a micro-batch a node's events are taken by ``seq`` (distinct whole numbers), in lots, see ``ClockProcessor``; micro-batches must come in its order.
+    With ``ttl_ms`` a node's clock is forgotten when it was idle for so long (processing time), and then begins anew. The session needs the state store
+    ``ROCKSDB`` (spark.sql.streaming.stateStore.providerClass) when the query is started.
+    """
+    return events.groupBy("node").transformWithStateInPandas(ClockProcessor(lot, ttl_ms), CLOCK, "Append", "ProcessingTime" if ttl_ms else "None")

@@ -18,6 +18,8 @@ from ..sources.store import CorruptError, LogStore, ReplayError
 
 #: Changes of one message. What is more goes ahead in messages of changes alone.
 PER_MESSAGE = 10_000
+#: Ranges of one message at most. What is beyond is one fingerprint, looked into in later rounds. A fixed value.
+RANGES = 32
 
 
 class State(Enum):
@@ -106,9 +108,15 @@ def respond(log: DataFrame, ranges: list[W.Range], key: str = "hlc") -> tuple[li
     A range is half open, from the bound before it to its own. Equal fingerprints are skipped; of an unequal range we list our keys when
     they are few, else we split it. A listing is skipped if it has no key that we lack; else it is answered with our keys, when they
     are few, or with fingerprints of the range split (a short listing may be of a range in which we have very many). The log is read once
-    for all fingerprints, once for all listings and once for all splits. What is collected is bounded by the message: a row a range,
-    ``R.BUCKETS`` rows a split one, fewer than ``R.LISTED`` keys a listed one, and the peer's own listings.
+    for all fingerprints, once for all listings and once for all splits.
+
+    An answer has at most ``RANGES`` ranges (neighbours that are skipped are one, where that is needed). Unequal ranges are split as far as there is room;
+    the others are left as our fingerprint, for the rounds to come. Where there is no room for even one split, the last ranges become one. A peer's message
+    may not have more either. So what is collected is bounded: a row a range, ``R.BUCKETS`` rows a split one, fewer than ``R.LISTED`` keys a listed
+    one, and the peer's own listings.
     """
+    if len(ranges) > RANGES:
+        raise W.WireError(f"{len(ranges)} ranges, at most {RANGES} are allowed")
     spark = log.sparkSession
     bounds = [r.upper.hex() for r in ranges[:-1]]
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
@@ -118,9 +126,10 @@ def respond(log: DataFrame, ranges: list[W.Range], key: str = "hlc") -> tuple[li
     listed = [i for i, r in enumerate(ranges) if r.kind == W.TIMESTAMPS]
     differ = [i for i, r in enumerate(ranges) if r.kind == W.FINGERPRINT and own.get(i, (0, "0" * 24))[1] != r.fp.hex()]
     unknown = {r["i"] for r in S.missing(theirs, placed, ["i", key]).select("i").distinct().collect()} if listed else set()
-    open_ = sorted({*differ, *unknown})
-    small = [i for i in open_ if own.get(i, (0, ""))[0] < R.LISTED]
-    split = [i for i in open_ if own.get(i, (0, ""))[0] >= R.LISTED]
+    size = lambda i: own.get(i, (0, ""))[0]
+    open_ = {*differ, *unknown}
+    small = sorted(i for i in open_ if size(i) < R.LISTED)
+    split, later, end, together = _plan([2 if i in open_ and size(i) >= R.LISTED else int(i in open_) for i in range(len(ranges))])
     keys: dict[int, list[str]] = {}
     for r in placed.filter(F.col("i").isin(small)).select("i", key).collect() if small else []:
         keys.setdefault(r["i"], []).append(r[key])
@@ -131,19 +140,48 @@ def respond(log: DataFrame, ranges: list[W.Range], key: str = "hlc") -> tuple[li
         for r in sized.groupBy("i", "bucket").agg(F.min(key).alias("lower"), *FP.xor()).select("i", "bucket", "lower", FP.text().alias("fp")).orderBy("i", "bucket").collect():
             cut.setdefault(r["i"], []).append(r)
     out: list[W.Range] = []
-    for i, r in enumerate(ranges):
+    for i, r in enumerate(ranges[:end]):
         if i in cut:
             parts = cut[i]
             out += [W.Range(W.FINGERPRINT, bytes.fromhex(b["lower"]), bytes.fromhex(a["fp"])) for a, b in zip(parts, parts[1:])]
             out.append(W.Range(W.FINGERPRINT, r.upper, bytes.fromhex(parts[-1]["fp"])))
+        elif i in later:
+            out.append(W.Range(W.FINGERPRINT, r.upper, bytes.fromhex(own[i][1])))
         elif i in open_:
             out.append(W.Range(W.TIMESTAMPS, r.upper, None, [bytes.fromhex(k) for k in sorted(keys.get(i, []))]))
+        elif together and out and out[-1].kind == W.SKIP:
+            out[-1] = W.Range(W.SKIP, r.upper)
         else:
             out.append(W.Range(W.SKIP, r.upper))
+    if end < len(ranges):
+        rest = 0
+        for i in range(end, len(ranges)):
+            rest ^= int(own.get(i, (0, "0"))[1], 16)
+        out.append(W.Range(W.FINGERPRINT, None, rest.to_bytes(12, "big")))
     lacking = S.missing(placed.filter(F.col("i").isin(listed)), theirs, ["i", key]).select(key)
     return out, lacking
 
 
+def _plan(ranges: list[int]) -> tuple[list[int], list[int], int, bool]:
+    """Which of the ranges (0: skipped, 1: listed, 2: too large to list) are split and which wait; the first of those that become one; whether neighbours that are skipped do."""
+    together = sum(R.BUCKETS if k == 2 else 1 for k in ranges) > RANGES
+    unit = [0 if together and i and k == 0 == ranges[i - 1] else 1 for i, k in enumerate(ranges)]
+    split: list[int] = []
+    later: list[int] = []
+    used, moved = 0, False
+    for i, k in enumerate(ranges):
+        rest = sum(unit[i + 1 :])
+        cost = unit[i]
+        if k == 2 and used + R.BUCKETS + (rest if moved else min(rest, 1)) <= RANGES:
+            cost = R.BUCKETS
+        if used + cost + min(rest, 1) > RANGES:
+            return split, later, i, together
+        if k == 2:
+            (split if cost > 1 else later).append(i)
+        used, moved = used + cost, moved or k == 1 or cost > 1
+    return split, later, len(ranges), together
+
+
 class Session:
     """One side of a sync. ``store`` has columns ``hlc`` and ``payload``; payloads travel as they are, sealed or not.
 
