@@ -189,3 +189,31 @@ def test_plans_scan_only_what_they_need(spark):
 
     plan = QUERIES["lww_cells"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "partial_max_by" in plan
+
+
+def test_a_clock_that_stands_still_is_many_windows(spark, monkeypatch):
+    n, sizes = 400, []
+    rows = [("a", i * 1000, 1000, *((1000, i % 50) if i % 3 == 0 else (None, None))) for i in range(n)] + [("b", 1, 5, None, None)]
+    df = spark.createDataFrame(rows, "node string, seq long, now long, remote_millis long, remote_counter long")
+    real = R.blocks
+    monkeypatch.setattr(R, "blocks", lambda rows, by, order, block: sizes.append(real(rows, by, order, block).groupBy(*by, "_k").count().agg(F.max("count")).first()[0]) or real(rows, by, order, block))
+    got = {(r["node"], r["seq"]): (r["millis"], r["counter"]) for r in I.fold(df, block=32).collect()}
+    ms, c, want = 0, 0, {}
+    for node, seq, now, rm, rc in rows[:-1]:
+        ms, c, _ = I.step(ms, c, now, None if rm is None else (rm, rc))
+        want[node, seq] = ms, c
+    assert got == want | {("b", 1): (5, 0)}
+    assert len(sizes) == 2 and max(sizes) <= 32  # the node's clock, and the run of its one millisecond
+
+
+def test_arrivals_that_lie_far_apart_are_blocks_too(spark, monkeypatch):
+    rnd, sizes = random.Random(6), []
+    rows = [(rnd.randrange(1 << 60), f"{rnd.randint(0, 400):04d}") for _ in range(300)]
+    real = R.blocks
+    monkeypatch.setattr(R, "blocks", lambda rows, by, order, block: sizes.append(real(rows, by, order, block).groupBy("_k").count().agg(F.max("count")).first()[0]) or real(rows, by, order, block))
+    df = spark.createDataFrame(rows, "arrival long, hlc string").withColumn("cell", F.lit(1))
+    top, want = "", []
+    for a, at in sorted(rows):
+        want += [a] if top >= at else []
+        top = max(top, at)
+    assert sorted(r["arrival"] for r in L.rejected(df, ["cell"], "arrival", block=25).collect()) == want and sizes == [25]

@@ -43,7 +43,7 @@ def merge_cells(current: DataFrame, log: DataFrame, keys: list[str], value: str
 
 
 def rejected(log: DataFrame, keys: list[str], arrival: str, hlc: str = "hlc", block: int | None = None) -> DataFrame:
-    """The changes that come, in order of ``arrival`` (whole numbers, distinct within a cell), after a change of their cell with an equal or larger
+    """The changes that come, in order of ``arrival`` (distinct within a cell), after a change of their cell with an equal or larger
     timestamp. A much-changed cell is looked through in blocks of arrivals, see ``running_max``.
     """
     return running_max(log, keys, arrival, hlc, "_cur", before=True, block=block).filter(~accepts(F.col("_cur"), F.col(hlc))).drop("_cur")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import fingerprint as FP
-from ..sources.log import materialised, small
+from ..sources.log import dropped, materialised, small
 
 #: Buckets of a reconciliation round, the fewest keys a bucket may have, and the keys below which a range is listed. Fixed values.
 BUCKETS, LEAST, LISTED = 16, 2, 32
@@ -36,7 +36,9 @@ def with_position(log: DataFrame, key: str = "hlc", groups: list[str] | None = N
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *by, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     offsets = small(materialised(offsets, "offsets"))
-    return dealt.withColumn("_pid", pid).join(offsets, ["_pid", *by]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_pid", "_at", "_shift")
+    offsets = offsets.toDF("_p", *[f"_g{i}" for i in range(len(by))], "_shift")
+    on = [pid == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]]
+    return dealt.join(offsets, on).withColumn("pos", F.col("_at") + F.col("_shift")).select(*log.columns, "pos")
 
 
 def bucket_of(pos: Column, n: Column | int, k: int) -> Column:
@@ -159,17 +161,54 @@ def running_sum(rows: DataFrame, column: str, name: str, order: str = "pos", blo
     return placed.withColumn("_in", inner).join(small(materialised(upto, "sums")), "_k").withColumn(name, F.col("_in") + F.col("_before")).drop("_k", "_in", "_before")
 
 
+def hot_groups(rows: DataFrame, by: list[str], block: int) -> DataFrame | None:
+    """The groups with more than ``block`` rows, as ``_h0``, ``_h1``, ..; None if there are none. A partial and a final aggregate."""
+    names = [f"_h{i}" for i in range(len(by))]
+    hot = materialised(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).select(*[F.col(c).alias(n) for c, n in zip(by, names)]), "hot")
+    if hot.limit(1).count():
+        return hot
+    dropped(hot)
+    return None
+
+
+def split_hot(rows: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of other groups, and those of groups with more than ``block`` rows (None if there are none). Null equals null."""
+    hot = hot_groups(rows, by, block)
+    if hot is None:
+        return rows, None
+    on, hot = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(by)], small(hot)
+    return rows.join(hot, on, "left_anti"), rows.join(hot, on, "left_semi")
+
+
 def running_max(rows: DataFrame, by: list[str], order: str, column: str, name: str, before: bool = False, block: int | None = None) -> DataFrame:
-    """Adds the largest ``column`` of the rows with equal ``by`` (nulls are equal) up to each in the order of ``order``, a whole number that no two
-    of them share; with ``before`` the row itself is left out. Null where there is none.
+    """Adds the largest ``column`` of the rows with equal ``by`` (nulls are equal) up to each in the order of ``order``, which no two of them share; with
+    ``before`` the row itself is left out. Null where there is none.
 
-    A window spans ``block`` numbers of one group and begins with the largest value of the group's blocks before, so a group that holds much of all
-    rows is many tasks. The rows are shuffled once; beside them goes a partial aggregate of a row a group and block.
+    A group of up to ``block`` rows is one window. The rows of a larger one get their places in it (``with_position``), and a window spans ``block`` places and
+    begins with the largest value of the blocks before, so a group that holds much of all rows is many tasks, however its numbers are spread.
     """
     block = block or 1 << 20
-    placed = rows.withColumn("_k", F.col(order) - F.pmod(F.col(order), F.lit(block)))
-    earlier = Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    last = -1 if before else 0
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    rest, hot = split_hot(rows, by, block)
+    out = rest.withColumn(name, F.max(column).over(upto))
+    if hot is None:
+        return out
+    placed = blocks(hot, by, order, block)
+    earlier = Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     tops = placed.groupBy(*by, "_k").agg(F.max(column).alias("_top")).select(*by, "_k", F.max("_top").over(earlier).alias(column))
     both = placed.withColumn("_own", F.lit(True)).unionByName(tops.filter(F.col(column).isNotNull()).withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    upto = Window.partitionBy(*by, "_k").orderBy("_own", order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    return both.withColumn(name, F.max(column).over(upto)).filter("_own").drop("_own", "_k")
+    upto = Window.partitionBy(*by, "_k").orderBy("_own", "pos").rowsBetween(Window.unboundedPreceding, last)
+    return out.unionByName(both.withColumn(name, F.max(column).over(upto)).filter("_own").drop("_own", "_k", "pos"))
+
+
+def blocks(rows: DataFrame, by: list[str], order: str, block: int) -> DataFrame:
+    """Adds ``pos``, the place in the group, and ``_k``, the number of its block of ``block`` places."""
+    return with_position(rows, order, by).withColumn("_k", F.floor(F.col("pos") / block).cast("long"))
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str, block: int | None = None) -> DataFrame:
+    """Adds the number from 1 of each row in its group, in the order of ``order``; a group of more than ``block`` rows is no one window."""
+    rest, hot = split_hot(rows, by, block or 1 << 20)
+    out = rest.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long"))
+    return out if hot is None else out.unionByName(with_position(hot, order, by).withColumn(name, F.col("pos") + 1).drop("pos"))

@@ -264,7 +264,7 @@ ARRIVAL = "event_id * 7919 % 10007"
 
 @query(f"""SELECT event_id FROM (SELECT event_id, hlc, max(hlc) OVER (PARTITION BY user_id, event_type ORDER BY {ARRIVAL}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur FROM log) WHERE cur >= hlc""")
 def lww_rejected(spark: SparkSession, d: str) -> DataFrame:
-    log = event_log(spark, d).withColumn("arrival", F.expr(f"({ARRIVAL}) * {1 << 49} + event_id"))
+    log = event_log(spark, d).withColumn("arrival", F.struct(F.expr(ARRIVAL).alias("at"), "event_id"))
     return L.rejected(log, CELL, "arrival").select("event_id")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..functions import hlc as H
-from ..operators.ranges import running_max
+from ..operators.ranges import numbered, running_max, split_hot
 from ..sources.store import LogStore
 
 
@@ -46,26 +46,41 @@ def fold(events: DataFrame, order: str = "seq", node: str = "node", block: int |
     distinct within a node. An event that errs leaves the clock as it was: its remote or the clock is too far ahead (drift), or the counter would
     pass its largest value (counter). A remote with the largest counter errs unless the clock or ``now`` is past it, so what it adds to the clock is
     known beforehand. Within a run of equal millis a counter is the largest, over the run's events so far, of that event's own start plus the number
-    of events since; so running maxima give what is defined step by step. A busy node's events are looked through in blocks, see ``running_max``;
-    those of one millisecond are sorted and streamed, never held.
+    of events since; so running maxima give what is defined step by step. Nodes of up to ``block`` events are plain windows; those of busier ones are looked
+    through in blocks, and so are the runs of a clock that stands still, see ``running_max``.
     """
+    rest, hot = split_hot(events, [node], block or 1 << 20)
+    out = _fold(rest, order, node, None)
+    return out if hot is None else out.unionByName(_fold(hot, order, node, block or 1 << 20))
+
+
+def _fold(events: DataFrame, order: str, node: str, block: int | None) -> DataFrame:
+    """``block``: None where every node's events fit one window."""
+
+    def top(rows: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+        if block:
+            return running_max(rows, by, order, column, name, block=block)
+        return rows.withColumn(name, F.max(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
     remote, now = F.col("remote_millis"), F.col("now")
     far = F.coalesce(H.drifted(remote, now), F.lit(False))
     full = F.coalesce(F.col("remote_counter") >= H.MAX_COUNTER, F.lit(False))
     e = events.withColumn("_r", F.when(~far & ~full, remote))
     e = e.withColumn("_c", F.when(~far & (~full | (now > remote)), F.greatest(now, F.coalesce("_r", F.lit(0)))))
-    e = running_max(e, [node], order, "_c", "_m", block=block).drop("_c").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    e = top(e, [node], "_c", "_m").drop("_c").withColumn("_m", F.coalesce("_m", F.lit(0)))
     e = e.withColumn("error", F.when(far | H.drifted(F.col("_m"), now), "drift").when(full & (remote >= F.col("_m")), "counter"))
     good = e.filter("error IS NULL")
-    run = Window.partitionBy(node, "_m").orderBy(order)
+    if block:
+        good = numbered(good, [node, "_m"], order, "_i", block)
+    else:
+        good = good.withColumn("_i", F.row_number().over(Window.partitionBy(node, "_m").orderBy(order)))
     remote = F.when(F.col("_r") == F.col("_m"), F.col("remote_counter") + 1)
-    i = F.row_number().over(run)
-    start = F.when(i == 1, F.greatest(F.when(F.col("_m") == 0, 1).otherwise(0), F.coalesce(remote, F.lit(0)))).otherwise(remote)
-    good = good.withColumn("_i", i).withColumn("_v", start - F.col("_i")).withColumn("counter", (F.max("_v").over(run.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")).cast("long"))
+    start = F.when(F.col("_i") == 1, F.greatest(F.when(F.col("_m") == 0, 1).otherwise(0), F.coalesce(remote, F.lit(0)))).otherwise(remote)
+    good = top(good.withColumn("_v", start - F.col("_i")), [node, "_m"], "_v", "_w").withColumn("counter", (F.col("_w") + F.col("_i")).cast("long"))
     good = good.withColumn("error", F.when(F.col("counter") > H.MAX_COUNTER, "counter"))
     good = good.withColumn("millis", F.when(F.col("error").isNull(), F.col("_m"))).withColumn("counter", F.when(F.col("error").isNull(), F.col("counter")))
     bad = e.filter("error IS NOT NULL").withColumn("counter", F.lit(None).cast("long")).withColumn("millis", F.lit(None).cast("long"))
-    return good.drop("_i", "_v", "_r", "_m").unionByName(bad.drop("_r", "_m"))
+    return good.drop("_i", "_v", "_w", "_r", "_m").unionByName(bad.drop("_r", "_m"))
 
 
 CLOCK = "node string, seq long, millis long, counter long, error string"
