@@ -75,3 +75,19 @@ def live_rows(cells_: DataFrame, row_keys: list[str], column: str = "column", va
     """Row keys whose winning isDeleted is not 1: a later 0 brings a row back."""
     gone = cells_.filter((F.col(column) == "isDeleted") & (F.col(value) == "1")).select(*row_keys)
     return cells_.select(*row_keys).distinct().join(gone, row_keys, "left_anti")
+
+
+def typed(value: Column) -> Column:
+    """A value with its type, as a variant: numbers, texts, flags, bytes, times, nested values; null is a null of its own, which can win a cell like any other."""
+    return F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
+
+
+def type_of(value: str | Column) -> Column:
+    """The name of a typed value's type, e.g. DOUBLE, STRING, BINARY; VOID for null."""
+    return F.schema_of_variant(value)
+
+
+def typed_pivot(cells_: DataFrame, row_keys: list[str], column: str, value: str, known: dict[str, str]) -> DataFrame:
+    """Cells of typed values as rows with the ``known`` columns, each read as its type; null where a cell is missing, null or does not fit the type."""
+    each = [F.max(F.when(F.col(column) == name, F.try_variant_get(value, "$", kind))).alias(name) for name, kind in known.items()]  # a cell comes once
+    return cells_.groupBy(*row_keys).agg(*each)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from ..operators import lww as L
 from ..operators import ranges as R
 from ..operators import reconcile as RC
 from ..operators import sets as S
+from ..sources.bucketed import BucketedLog
 from ..sources.log import event_log, replica, scratch_path, table
 from ..sources.store import LogStore, ReplayError
 from ..streaming import feed as FE
@@ -325,6 +327,34 @@ def undelete(spark: SparkSession, d: str) -> DataFrame:
     return L.live_rows(L.cells(L.change_columns(_changes(spark, d)), ["user_id", "column"]), ["user_id"])
 
 
+#: Every event sets a cell to a number, a text, null or bytes.
+TYPED = """v AS (SELECT *, event_id % 4 AS kind FROM log), y AS (SELECT user_id, event_type, max(hlc) AS hlc, arg_max(kind, hlc) AS kind, arg_max(value, hlc) AS value FROM v GROUP BY user_id, event_type)"""
+
+
+def _typed_cells(spark: SparkSession, d: str) -> DataFrame:
+    kind, log = F.col("event_id") % 4, event_log(spark, d)
+    value = F.when(kind == 0, L.typed(F.col("value"))).when(kind == 1, L.typed(F.concat(F.lit("é"), "hlc"))).when(kind == 2, L.typed(F.lit(None).cast("string"))).otherwise(L.typed(H.to_bytes("hlc")))
+    return L.cells(log.withColumn("value", value), CELL)
+
+
+@query(f"""SELECT user_id, event_type, hlc, ['DOUBLE', 'STRING', 'VOID', 'BINARY'][kind + 1] AS type, CASE WHEN kind = 0 THEN value END AS number, CASE WHEN kind = 1 THEN 'é' || hlc END AS text, CASE WHEN kind = 3 THEN hlc END AS bytes FROM y""")
+def typed_cells(spark: SparkSession, d: str) -> DataFrame:
+    get = lambda kind: F.try_variant_get("value", "$", kind)
+    number = F.when(L.type_of("value") == "DOUBLE", get("double"))
+    text, data = F.when(L.type_of("value") == "STRING", get("string")), F.when(L.type_of("value") == "BINARY", F.lower(F.hex(get("binary"))))
+    return _typed_cells(spark, d).select(*CELL, "hlc", L.type_of("value").alias("type"), number.alias("number"), text.alias("text"), data.alias("bytes"))
+
+
+@query("""SELECT user_id, arg_max(value, hlc) FILTER (event_type = 'click') AS click, arg_max('é' || hlc, hlc) FILTER (event_type = 'view') AS view, arg_max(hlc, hlc) FILTER (event_type = 'purchase') AS purchase FROM log GROUP BY user_id""")
+def typed_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks are numbers, views texts, purchases bytes and all else null."""
+    kind = F.col("event_type")
+    value = F.when(kind == "click", L.typed(F.col("value"))).when(kind == "view", L.typed(F.concat(F.lit("é"), "hlc"))).when(kind == "purchase", L.typed(H.to_bytes("hlc"))).otherwise(L.typed(F.lit(None).cast("string")))
+    rows = L.typed_pivot(L.cells(event_log(spark, d).withColumn("value", value), CELL), ["user_id"], "event_type", "value", {"click": "double", "view": "string", "purchase": "binary"})
+    return rows.withColumn("purchase", F.lower(F.hex("purchase")))
+
+
+ORACLES["typed_cells"] = f"WITH {LOG}, {TYPED} " + ORACLES["typed_cells"].removeprefix(f"WITH {LOG} ")
 for _name in ("change_columns", "system_columns", "row_pivot", "soft_delete", "undelete"):
     _body = ORACLES[_name].removeprefix(f"WITH {LOG} ")
     ORACLES[_name] = f"WITH {LOG}, {CHANGES} {_body}"
@@ -633,6 +663,24 @@ def store_replay_detect(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(m.version).cast("long").alias("version"), F.lit(replayed).alias("replayed"), F.lit(m.version == 3).alias("advanced"))
 
 
+@query("SELECT event_id, hlc FROM log WHERE event_id % 10 <> 0 OR event_id % 7 <> 0")
+def bucketed_merge(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (x.select("event_id", "hlc") for x in _replicas(spark, d))
+    log = BucketedLog(spark, scratch_path(spark, "bucketed"), a.schema)
+    for batch in (a, b, a):
+        log.merge(batch)
+    return log.read()
+
+
+@query("SELECT event_id, hlc, pos >= 100 AS resumed FROM k")
+def store_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """A cursor is left after a hundred rows, and another goes on after the last key."""
+    store = _store(spark, event_log(spark, d).select("event_id", "hlc"), 2)
+    first = list(islice(store.cursor(), 100))
+    rest = store.scan(after=first[-1]["hlc"] if first else None)
+    return spark.createDataFrame(first, rest.schema).withColumn("resumed", F.lit(False)).unionByName(rest.withColumn("resumed", F.lit(True)))
+
+
 def _landing(spark: SparkSession, rows: DataFrame, files: int) -> DataFrame:
     path = scratch_path(spark, "landing")
     rows.repartition(files).write.parquet(path)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as FP
@@ -99,10 +100,21 @@ class LogStore:
         rows = self.read()
         return None if rows is None else rows.filter(F.col(self.hlc) == key)
 
-    def cursor(self, version: int | None = None):
-        """Rows in key order, pulled one partition at a time."""
-        rows = self.read(version)
-        return iter(()) if rows is None else rows.orderBy(self.hlc).toLocalIterator()
+    def scan(self, after: str | None = None, upper: str | None = None, version: int | None = None) -> DataFrame | None:
+        """Rows in key order after one timestamp and before another; both are pushed to the files, and segments beyond them are not read."""
+        m = self.manifest(version)
+        near = [s for s, b in zip(m.segments, m.bounds) if b is None or ((after is None or b[1] > after) and (upper is None or b[0] < upper))]
+        if not near:
+            rows = self.read(version)
+            return None if rows is None else rows.limit(0)
+        rows = self.spark.read.parquet(*[f"{self.path}/{s}" for s in near])
+        rows = rows if after is None else rows.filter(F.col(self.hlc) > after)
+        return (rows if upper is None else rows.filter(F.col(self.hlc) < upper)).orderBy(self.hlc)
+
+    def cursor(self, version: int | None = None, after: str | None = None) -> Iterator[Row]:
+        """Rows in key order, pulled one partition at a time; ``after`` the last key that was seen it goes on."""
+        rows = self.scan(after, version=version)
+        return iter(()) if rows is None else rows.toLocalIterator()
 
     def verify(self, version: int | None = None) -> None:
         m, rows = self.manifest(version), self.read(version)
