@@ -120,3 +120,14 @@ def test_no_rows(spark):
     assert K.katz_scores(frame(spark, []), order=3).count() == 0
     with pytest.raises(ValueError):
         K.fit(frame(spark, []), order=1)
+
+
+def test_a_fit_that_fails_leaves_no_tables(spark, monkeypatch):
+    def fails(model):
+        raise OSError("lost")
+
+    monkeypatch.setattr(K, "evaluate", fails)
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(OSError):
+        K.fit(frame(spark, [(1, "a b c"), (2, "a b d")]))
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -386,7 +386,9 @@ def read_grams(k: int, rows: list[tuple]) -> tuple[np.ndarray, ...]:
 
 
 def add_grams(k: int, model: Model) -> Callable:
-    """Sums of a partition's n-grams. Out come the model's rows (kind 0), answers to chunks (kind 1), and the parts of contexts that are cut (kind 2)."""
+    """Sums of a partition's n-grams. Out come the model's rows (kind 0), answers to chunks (kind 1), the parts of contexts that are cut (kind 2), and
+    which chunks ask for those (kind 3).
+    """
     schema, uni = arrow(SUMMED), model.unigrams
     d = discounts(model.ranks[k - 2]) if k > 2 else None
     none = (0,) * (KATZ + 1)
@@ -438,7 +440,8 @@ def add_grams(k: int, model: Model) -> Callable:
             if name >= 0:
                 zero = context[j[count[j] == 0]]
                 out.append((1, p, name, packed(count[j]), packed(followers[:, zero].ravel()) if len(zero) else None, squeezed(spent[zero].tobytes()) if len(zero) else None, None, None, None, None, 0.0, *none))
-            if len(out) == 1024:
+                out += [(3, p, name, None, None, None, None, None, None, [int(x[place[c]]) for x in heads], 0.0, *none) for c in np.unique(zero[is_cut[zero]])]
+            if len(out) >= 1024:
                 yield batch(out, schema)
                 out = []
         out += [(2, p, -1, None, None, None, None, None, None, [int(x[place[c]]) for x in heads], float(spent[c]), *(int(f) for f in followers[:, c]), 0) for c in np.flatnonzero(is_cut)]
@@ -452,8 +455,8 @@ SUMMED = "kind int, p int, chunk long, a binary, b binary, c binary, d binary, e
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def evaluate(model: Model, whole: list[dict]) -> Callable:
-    """The recursion for every token of a chunk. ``whole[k]``: of contexts that are cut, followers by count, and spent, over all their parts."""
+def evaluate(model: Model) -> Callable:
+    """The recursion for every token of a chunk. The last columns have, for each order, what the chunk asks of contexts that are cut: followers by count, and spent, over all their parts."""
     uni, d = model.unigrams, [None, *map(discounts, model.ranks)]
     result, r = arrow(RESULT), np.arange(1, KATZ + 1)[:, None]
 
@@ -469,7 +472,8 @@ def evaluate(model: Model, whole: list[dict]) -> Callable:
                 big = np.flatnonzero(before > model.most)
                 if len(big):
                     heads = [x[c.context[k][z[big]]] for x in c.contexts(k)]
-                    totals = [whole[k][key] for key in zip(*(x.tolist() for x in heads))]
+                    whole = {tuple(x["context"]): ([x[f"r{i}"] for i in range(1, KATZ + 1)], x["s"]) for x in row[1 + model.order + k]}
+                    totals = [whole[key] for key in zip(*(x.tolist() for x in heads))]
                     followers, spent = followers.copy(), spent.copy()
                     followers[:, big], spent[big] = np.array([t[0] for t in totals]).T, [t[1] for t in totals]
                 left = 1 - ((d[k][1 : KATZ + 1, None] * r * followers).sum(axis=0) + before - (r * followers).sum(axis=0)) / (before + 1.0)
@@ -526,10 +530,22 @@ HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 7)
 
 def _passes(docs: DataFrame, model: Model | None, order: int, held_out: str, store: str) -> tuple[DataFrame, Model]:
     """Scores of ``docs``, by ``model`` or by one fitted on those of them that are not held out, whose tables then are under ``store``."""
-    spark, given = docs.sparkSession, model
+    spark = docs.sparkSession
     # Some six bytes a token: about a chunk a bucket, so a task's share does not grow with the input.
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     tables = Tables(spark, max(size // (6 * CHUNK), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    scratch: list[str] = []
+    try:
+        return _scored(docs, model, order, held_out, store, tables, scratch)
+    finally:  # after a failure too
+        tables.drop()
+        for path in scratch:
+            tables.forget(path)
+
+
+def _scored(docs: DataFrame, model: Model | None, order: int, held_out: str, store: str, tables: Tables, scratch: list[str]) -> tuple[DataFrame, Model]:
+    """``_passes``, with scratch tables in ``tables`` and other scratch folders in ``scratch``."""
+    spark, given = docs.sparkSession, model
     rows = tables.add(chunks(docs.select("doc_id", F.expr(held_out).alias("held"), "text")))
     s = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts")).first()
     parts = given.parts if given else -(-s["n"] // PART) or 1
@@ -544,7 +560,8 @@ def _passes(docs: DataFrame, model: Model | None, order: int, held_out: str, sto
         model = Model(order, parts, s["starts"], t["n"], t["v"], [counts], f"{path}/kind=0")
     joined = rows.select("chunk", "docs", "lens", "held", "tokens").hint("merge").join(tables.answers(numbered.filter("kind = 1"), "a1"), "chunk")
     tables.forget(f"{path}/kind=1")
-    columns, whole, scratch = ["lens", "held", "tokens", "a1"], [{}, {}], [path] if given else []
+    columns, wholes = ["lens", "held", "tokens", "a1"], []
+    scratch += [path] if given else []
     for k in range(2, model.order + 1):
         tables.free()
         sent = joined.select("chunk", *columns).mapInArrow(deal_grams(k, model), GRAMS)
@@ -559,18 +576,20 @@ def _passes(docs: DataFrame, model: Model | None, order: int, held_out: str, sto
             t = summed.filter("kind = 0").agg(*[F.coalesce(F.sum(f"r{r}"), F.lit(0)).alias(f"r{r}") for r in range(1, KATZ + 2)]).first()
             model.ranks.append([0, *(t[f"r{r}"] for r in range(1, KATZ + 2))])
             model.grams.append(f"{path}/kind=0")
-        # A context that is cut has more than total / (2 parts) tokens, so these are at most 4 rows a partition.
-        cut = summed.filter("kind = 2").groupBy("context").agg(F.sum("spent").alias("s"), *[F.sum(f"r{r}").alias(f"r{r}") for r in range(1, KATZ + 1)]).collect()
-        whole.append({tuple(r["context"]): ([r[f"r{i}"] for i in range(1, KATZ + 1)], r["s"]) for r in cut})
+        ranks = [f"r{r}" for r in range(1, KATZ + 1)]
+        cut = summed.filter("kind = 2").groupBy("context").agg(F.sum("spent").alias("s"), *[F.sum(r).alias(r) for r in ranks])
+        asked = summed.filter("kind = 3").select("chunk", "context").distinct().join(cut, "context")
+        asked = tables.add(asked.select("chunk", F.struct("context", "s", *ranks).alias("x")).repartition(tables.buckets, "chunk"))
+        wholes.append(asked.groupBy("chunk").agg(F.collect_list("x").alias(f"w{k}")))
         joined = joined.join(tables.answers(summed.filter("kind = 1"), f"a{k}"), "chunk", "left")
         columns.append(f"a{k}")
         if not given:
-            tables.forget(f"{path}/kind=1")
-    scores = written(joined.select("docs", *columns).mapInArrow(evaluate(model, whole), RESULT), "scores")
-    tables.drop()
-    for path in scratch:
-        tables.forget(path)
-    return scores, model
+            for kind in (1, 3):
+                tables.forget(f"{path}/kind={kind}")
+    for k, w in enumerate(wholes, 2):
+        joined = joined.join(w, "chunk", "left")
+        columns.append(f"w{k}")
+    return written(joined.select("docs", *columns).mapInArrow(evaluate(model), RESULT), "scores"), model
 
 
 def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
