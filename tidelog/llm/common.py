@@ -31,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tidelog/{what}-{uuid.uuid4().hex}"
+    """A new name in the shared folder, in the part of it that the session names in tidelog.scratch, if it does."""
+    return "/".join(filter(None, [shared_dir(spark), "tidelog", spark.conf.get("tidelog.scratch", ""), f"{what}-{uuid.uuid4().hex}"]))
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of comparable ids -> (node, component): each node with an edge and the smallest node it reaches.
 
-    Nothing is collected. Every round ends in a written table. The joins are plain equi-joins between exchanged sides, so
+    Nothing is collected. Every round ends in a written table; the tables of rounds before are deleted. The joins are plain equi-joins between exchanged sides, so
     adaptive execution splits a node or label that has very many rows; the minimum is taken by partial aggregates first.
     Null ends and self-loops: dropped, so a node with no other edge is not in the result. No edges: an empty result.
     """
@@ -22,8 +22,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both["a"] == labels["v"]).groupBy("b").agg(F.min("l").alias("m"))
         low = labels.join(near, labels["v"] == near["b"]).select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
         low = written(low, "labels")
+        dropped(labels)
         jump = low.select(F.col("v").alias("p"), F.col("l").alias("pl"))
         new = written(low.join(jump, low["l"] == jump["p"]).select("v", F.least("l", "pl").alias("l"), "was"), "labels")
+        dropped(low)
         if not new.filter("l <> was").limit(1).count():
+            dropped(both)
             return new.select(F.col("v").alias("node"), F.col("l").alias("component"))
         labels = new.select("v", "l")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, split_hot, table, whole_groups, written
+from .common import dropped, pick, split_hot, table, whole_groups, written
 from .components import connected_components
 from .simhash import local_roots
 
@@ -201,11 +201,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
         return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(links[own]), pa.array(rep[root[own]])], names=["rep", "links", "root"])
 
     found = written(dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(link, "rep long, links long, root long"), "links")
+    dropped(reps)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     components = connected_components(edges).select(F.col("node").alias("rep"), "component")
     named = groups.join(counts, "rep", "left").join(components, "rep", "left")
     named = written(named.select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("c")), "named")
+    for scratch in (groups, found, components):
+        dropped(scratch)
     out = all_rows.select("vec_id", "digest").join(named, F.col("digest") == F.col("d"), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_ids, pick, split_hot, table, whole_groups, written
+from .common import dropped, keep_ids, pick, split_hot, table, whole_groups, written
 from .components import connected_components
 
 BITS = 64
@@ -156,10 +156,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    found = connected_components(written(links(least.select("fp"), tau), "links"))
+    edges = written(links(least.select("fp"), tau), "links")
+    found = connected_components(edges)
+    dropped(edges)
     low = found.join(least, found["node"] == least["fp"]).groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(found.join(low, "component").select(F.col("node").alias("fp"), "component_id"), "named")
-    named = written(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
+    linked = written(found.join(low, "component").select(F.col("node").alias("fp"), "component_id"), "linked")
+    named = written(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
+    for scratch in (found, linked, least):
+        dropped(scratch)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
