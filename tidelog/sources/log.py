@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tidelog/{what}-{uuid.uuid4().hex}"
+    """A new name in the shared folder, in the part of it that the session names in tidelog.scratch, if it does."""
+    return "/".join(filter(None, [shared_dir(spark), "tidelog", spark.conf.get("tidelog.scratch", ""), f"{what}-{uuid.uuid4().hex}"]))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it, all that operators write beside their results goes to a folder of its own, which is deleted at the end: read or write results before.
+
+    A result is lazy and reads its operator's tables, so these cannot go earlier; those that no result needs go as soon as they have been read.
+    """
+    before, name = spark.conf.get("tidelog.scratch", ""), f"scratch-{uuid.uuid4().hex}"
+    spark.conf.set("tidelog.scratch", name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidelog/{name}")
+    try:
+        yield at.toString()
+    finally:
+        spark.conf.set("tidelog.scratch", before)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialised(df: DataFrame, what: str) -> DataFrame:
