@@ -132,3 +132,9 @@ def test_rates_against_brute_force(spark):
         r = np.maximum(0, 1 - total_r)
         total_r += p @ (((r * n) @ p - goal) / present)
     assert np.allclose([got[i]["rate"] for i, _ in rows], np.maximum(0, 1 - total_r), rtol=1e-3, atol=1e-3)
+
+
+def test_too_many_domains_are_an_error(spark):
+    rows = [(i, f"w{i} x") for i in range(M.MAX_DOMAINS + 1)]
+    with pytest.raises(ValueError, match="domains"):
+        M.classifier(frame(spark, rows), spark.createDataFrame([(i, f"d{i}") for i, _ in rows], "doc_id long, domain string"))

@@ -13,6 +13,8 @@ from .common import dropped, pick, table, written
 
 #: Labelled documents that the classifier reads at most: those whose ids have the smallest hashes.
 MAX_LABELLED = 20_000
+#: Domains at most: the model has a number a feature and domain, and a round of ``fit`` a sum a pair of domains.
+MAX_DOMAINS = 64
 #: Words are hashed to so many features, all of which count; with the number of domains this bounds the broadcast model.
 FEATURES = 1 << 17
 BREAKS = "[\\s.,;:!?\"'()]+"
@@ -34,13 +36,15 @@ def classifier(docs: DataFrame, labelled: DataFrame, domain_col: str = "domain",
     Words are hashed to ``FEATURES`` features; none is left out. A domain's shares are smoothed towards those of all domains together, so a
     rare word speaks for the domain that has it, however large the others are, and a word never seen says nothing. Null ids and
     domains are left out; an id with several domains counts for the least. Every domain is a column of the model, and a pair of
-    them a sum of ``fit``. Without labelled documents there is the one domain ``""``.
+    them a sum of ``fit``; more than ``MAX_DOMAINS`` are an error. Without labelled documents there is the one domain ``""``.
     """
     chosen = pick(labelled, id_col, domain_col).toDF("id", "dom").dropna().groupBy("id").agg(F.min("dom").alias("dom"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled))
     texts = written(pick(docs, id_col, text_col).toDF("id", "text").join(chosen, "id").select("dom", words("text").alias("ws")), "labelled")
     shares = {r["dom"]: r["n"] for r in texts.groupBy("dom").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_labelled rows at most
     domains = sorted(shares) or [""]
+    if len(domains) > MAX_DOMAINS:
+        raise ValueError(f"{len(domains)} domains, at most {MAX_DOMAINS} are allowed")
     total = sum(shares.values())
     priors = [float(shares.get(d, 1)) / max(total, 1) for d in domains]
     k = range(len(domains))
