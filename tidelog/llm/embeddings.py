@@ -19,6 +19,8 @@ from .simhash import local_roots
 SAMPLE = 20_000
 #: Bits of one rotation's code, bits of one table's key, and rotations. A pair is a candidate when some table's keys differ in at most one bit.
 BITS, KEY, ROTATIONS = 64, 16, 2
+#: Share of all bits, beside four, in which the codes of a candidate pair differ at most. Vectors at the threshold's angle differ in 6 % of them on average.
+FARTHEST = 0.25
 #: Rows of one key that one task compares; a key with more is cut into pairs of blocks. Pairs expanded at a time.
 BLOCK, PAIRS = 20_000, 1 << 16
 
@@ -126,14 +128,16 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
 
     The rotations are learned on at most ``sample`` vectors; every vector is indexed. A table's key is cut in two halves and a vector goes to
     both, so keys that differ in at most one bit meet in a half that is equal. A pair counts in the first table, and there in the first half, in which it
-    can be found. A task takes its keys one after another, some ``BLOCK`` rows at a time, and returns for each vector its number of links and the smallest vector it reaches there. Extra columns are not looked at.
+    can be found, and is a candidate when their whole codes differ in at most ``FARTHEST`` of the bits. Codes alone are dealt to the tables; the vectors go only to where
+    they have a candidate. A task takes its keys one after another, some ``BLOCK`` rows at a time, and returns for each vector its number of
+    links and the smallest vector it reaches there. Extra columns are not looked at.
     """
     spark = rows.sparkSession
     all_rows, dt = vectors(rows, id_col, vec_col, label_col)
     all_rows = written(all_rows, "vectors")
     groups = written(all_rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
     reps = all_rows.join(groups.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("vec_id") == F.col("rep"))).dropDuplicates(["d"])
-    reps = written(reps.select("rep", "n", "label", "dim", "vec"), "reps")
+    reps = written(reps.select("d", "rep", "n", "label", "dim", "vec"), "reps")
     length = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if length is None:
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -147,43 +151,65 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
             dims = b.column(1).to_numpy()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                keys[at] = q.keys(unit(np.stack([np.frombuffer(b.column(4)[int(i)].as_buffer(), dt) for i in at])))
+                keys[at] = q.keys(unit(np.stack([np.frombuffer(b.column(3)[int(i)].as_buffer(), dt) for i in at])))
             packed = pa.array(list(keys.astype(np.uint16)), pa.list_(pa.uint16())).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), packed], names=["rep", "dim", "n", "label", "vec", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), packed], names=["d", "dim", "label", "keys"])
 
-    coded = reps.select("rep", "dim", "n", "label", "vec").mapInArrow(code, "rep long, dim int, n long, label string, vec binary, keys array<int>")
+    coded = reps.select("d", "dim", "label", "vec").mapInArrow(code, "d binary, dim int, label string, keys array<int>")
     low = [w // 2 for w in widths]
     at = [F.struct(F.lit(j).alias("j"), F.lit(h).alias("h"), (F.col("keys")[j].bitwiseAND((1 << low[j]) - 1) if h == 0 else F.shiftright(F.col("keys")[j], low[j])).alias("v")) for j in range(len(widths)) for h in (0, 1)]
-    dealt = coded.select("rep", "dim", "n", "label", "vec", "keys", F.explode(F.array(*at)).alias("s")).select("rep", "dim", "n", "label", "vec", "keys", "s.j", "s.h", "s.v")
-    dealt = split_hot(dealt, ["label", "dim", "j", "h", "v"], "rep", BLOCK)
-    dealt = dealt.select("rep", "n", "vec", "keys", "j", "h", F.xxhash64("label", "dim", "j", "h", "v", "part_a", "part_b").alias("g"), F.xxhash64("label", "dim").alias("ld"), "part", (F.col("part_a") == F.col("part_b")).alias("same"))
+    dealt = coded.select("d", "dim", "label", "keys", F.explode(F.array(*at)).alias("s")).select("d", "dim", "label", "keys", "s.j", "s.h", "s.v")
+    dealt = split_hot(dealt, ["label", "dim", "j", "h", "v"], "d", BLOCK)
+    dealt = dealt.select("d", "keys", "j", "h", F.xxhash64("label", "dim", "j", "h", "v", "part_a", "part_b").alias("g"), F.xxhash64("label", "dim").alias("ld"), "part", (F.col("part_a") == F.col("part_b")).alias("same"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    farthest = 4 + sum(widths) * FARTHEST
+
+    def candidates(got: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows (d, keys, j, h, g, ld, part, same, ..) whose codes are close, each in the first table and half that can find it."""
+        j, h, g, ld, part, same = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in range(2, 8))
+        keys = np.concatenate([b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) for b in got])
+        shift, width = np.array(low)[j], np.array(widths)[j]
+        mine = keys[np.arange(len(j)), j]
+        other = np.where(h == 0, mine >> shift, mine & ((1 << shift) - 1))
+        for a, b in near_pairs(np.unique(g, return_inverse=True)[1], np.where(h == 0, width - shift, shift), other):
+            ok = ((part[a] != part[b]) | same[a]) & (ld[a] == ld[b])
+            a, b = a[ok], b[ok]
+            differ = keys[a] ^ keys[b]
+            bits = np.bitwise_count(differ)
+            first = np.argmax(bits <= 1, axis=1)
+            d = differ[np.arange(len(a)), first]
+            low_equal = (d & ((1 << np.array(low)[first]) - 1)) == 0
+            ok = (first == j[a]) & (h[a] == np.where(low_equal, 0, 1)) & (bits.sum(axis=1) <= farthest)
+            yield a[ok], b[ok]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in whole_groups(batches, 4, BLOCK):
+            some = np.zeros(sum(b.num_rows for b in got), bool)
+            for a, b in candidates(got):
+                some[a] = some[b] = True
+            begin = 0
+            for b in got:
+                yield b.filter(pa.array(some[begin : begin + b.num_rows]))
+                begin += b.num_rows
+
+    chosen = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(choose, dealt.schema)
+    chosen = written(chosen, "candidates").join(reps.select(F.col("d").alias("_d"), "rep", "n", "vec"), F.col("d") == F.col("_d")).drop("_d")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in whole_groups(batches, 6, BLOCK):
+        for got in whole_groups(batches, 4, BLOCK):
             yield link_groups(got)
 
     def link_groups(got: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rep, n, j, h, g, ld, part, same = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in (0, 1, 4, 5, 6, 7, 8, 9))
-        raw = [v for b in got for v in b.column(2)]
-        keys = np.concatenate([b.column(3).flatten().to_numpy().reshape(b.num_rows, -1) for b in got])
+        rep, n = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in (8, 9))
+        raw = [v for b in got for v in b.column(10)]
         whole = np.concatenate([np.frombuffer(v.as_buffer(), dt) for v in raw])
         size = np.array([len(v.as_buffer()) for v in raw]) // np.dtype(dt).itemsize
         begin = np.cumsum(size) - size
-        shift, width = np.array(low)[j], np.array(widths)[j]
-        mine = keys[np.arange(len(j)), j]
-        other = np.where(h == 0, mine >> shift, mine & ((1 << shift) - 1))
         links = np.zeros(len(rep), np.int64)
 
         def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b in near_pairs(np.unique(g, return_inverse=True)[1], np.where(h == 0, width - shift, shift), other):
-                ok = ((part[a] != part[b]) | same[a]) & (rep[a] != rep[b]) & (ld[a] == ld[b]) & (size[a] == size[b])
-                a, b = a[ok], b[ok]
-                differ = keys[a] ^ keys[b]
-                first = np.argmax(np.bitwise_count(differ) <= 1, axis=1)
-                d = differ[np.arange(len(a)), first]
-                low_equal = (d & ((1 << np.array(low)[first]) - 1)) == 0
-                ok = (first == j[a]) & (h[a] == np.where(low_equal, 0, 1))
+            for a, b in candidates(got):
+                ok = (rep[a] != rep[b]) & (size[a] == size[b])
                 a, b = a[ok], b[ok]
                 keep = np.zeros(len(a), bool)
                 for s in np.unique(size[a]):
@@ -200,7 +226,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
         own = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(links[own]), pa.array(rep[root[own]])], names=["rep", "links", "root"])
 
-    found = written(dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(link, "rep long, links long, root long"), "links")
+    found = written(chosen.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(link, "rep long, links long, root long"), "links")
     dropped(reps)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
