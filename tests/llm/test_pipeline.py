@@ -33,7 +33,7 @@ def test_run_is_the_stages(spark):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 def tables(spark, path, rows, labels):
@@ -73,3 +73,16 @@ def test_odd_rows_through_all_stages(spark, tmp_path, labels):
 
 def test_an_empty_table(spark, tmp_path):
     assert P.run(spark, tables(spark, str(tmp_path), [], [])).count() == 0
+
+
+def test_toxic_documents_go_and_clean_odd_ones_stay(spark, tmp_path):
+    """Labels that do fit a model, among nulls, empty and long texts, ties and repeated rows."""
+    bad = [(100 + i, f"you are a vile scum number{i} and word{i % 7}") for i in range(30)]
+    good = [(200 + i, f"we were at the lake number{i} and word{i % 7}") for i in range(90)]
+    rows = [*ROWS, *bad, *good, (300, "some vile scum once more"), (301, "once more at the lake"), (None, "vile scum without an id")]
+    d = tables(spark, str(tmp_path), rows, [(i, 1, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in good])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = [(r["doc_id"], r["text"]) for r in P.toxicity(spark, docs, d).select("doc_id", "text").collect()]
+    assert sorted(kept, key=str) == sorted([*ROWS, *good, (301, "once more at the lake")], key=str)
+    packed = {r["doc_id"] for r in P.run(spark, d).collect()}
+    assert 301 in packed and not packed & {300, *(i for i, _ in bad)}
