@@ -19,7 +19,8 @@ def accepts(current: Column, incoming: Column) -> Column:
 def cells(log: DataFrame, keys: list[str], value: str = "value", hlc: str = "hlc", arrival: str | None = None) -> DataFrame:
     """The winner of each cell; a null value can win. One partial and one final aggregate, so a much-changed cell is no hot key.
 
-    Of changes with equal timestamps the first stays: by the number ``arrival``, or, without, in the log's own order (that in which it is read).
+    Of changes with equal timestamps the first stays: by the number ``arrival``. Without it that is the one read first, which depends on how files are split
+    among tasks: give ``arrival`` wherever timestamps may repeat.
     """
     at = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
     rows = log.select(*keys, value, hlc, (-at).alias("_late"))
