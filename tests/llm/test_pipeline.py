@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline as P
@@ -5,7 +7,7 @@ from tidelog.llm import packing, simhash
 from tidelog.llm.common import pick
 from tidelog.llm.registry import QUERIES
 
-from .cases import ROWS, frame
+from .cases import ROWS, frame, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,8 +79,9 @@ def test_an_empty_table(spark, tmp_path):
 
 def test_toxic_documents_go_and_clean_odd_ones_stay(spark, tmp_path):
     """Labels that do fit a model, among nulls, empty and long texts, ties and repeated rows."""
-    bad = [(100 + i, f"you are a vile scum number{i} and word{i % 7}") for i in range(30)]
-    good = [(200 + i, f"we were at the lake number{i} and word{i % 7}") for i in range(90)]
+    rnd = random.Random(8)
+    bad = [(1000 + i, " ".join([*words(rnd, 30, 300), "vile", "scum"])) for i in range(60)]
+    good = [(2000 + i, " ".join(words(rnd, 30, 300))) for i in range(200)]
     rows = [*ROWS, *bad, *good, (300, "some vile scum once more"), (301, "once more at the lake"), (None, "vile scum without an id")]
     d = tables(spark, str(tmp_path), rows, [(i, 1, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in good])
     docs = spark.read.parquet(f"{d}/documents.parquet")
