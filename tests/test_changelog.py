@@ -47,6 +47,9 @@ def test_encodings_agree_with_the_codec(spark):
     rows = spark.createDataFrame([(x,) for x in n], "n long").select("n", E.varint_hex("n").alias("v"), E.varint_size("n").alias("s"), E.padme_length("n").alias("p")).collect()
     for r in rows:
         assert r["v"] == W.varint(r["n"]).hex() and r["s"] == len(W.varint(r["n"])) and r["p"] == W.padme(r["n"])
+        assert rows and spark.range(1).select(E.varint_at(F.lit("ff" + r["v"] + "80"), 1).alias("x")).first()["x"] == (r["n"], r["s"])
+    odd = spark.createDataFrame([("",), ("80",), ("ff" * 9,), ("ff" * 8 + "7f",), ("00",)], "h string").select(E.varint_at("h").alias("x")).collect()
+    assert [x["x"] and tuple(x["x"]) for x in odd] == [None, None, None, (2**63 - 1, 9), (0, 1)]
     r = spark.range(1).select(*[E.base64url(F.unhex(F.lit(h))).alias(f"c{i}") for i, h in enumerate(("", "00", "0000", "000000", "ffffff", "4ad6ef7533f193cd33d1c355c03260ea"))]).first()
     assert list(r) == ["", "AA", "AAA", "AAAA", "____", "StbvdTPxk80z0cNVwDJg6g"]
 

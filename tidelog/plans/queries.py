@@ -532,6 +532,15 @@ def varint_bytes(spark: SparkSession, d: str) -> DataFrame:
     return event_log(spark, d).select("event_id", E.varint_hex("millis").alias("bytes"))
 
 
+@query("SELECT event_id, millis, TRUE AS whole FROM log")
+def varint_read(spark: SparkSession, d: str) -> DataFrame:
+    """Two numbers written one after the other and read again; without its last byte the second is none."""
+    log = event_log(spark, d).select("event_id", F.concat(E.varint_hex("event_id"), E.varint_hex("millis")).alias("data"))
+    log = log.withColumn("first", E.varint_at("data")).withColumn("second", E.varint_at("data", F.col("first.size")))
+    short = E.varint_at(F.expr("left(data, length(data) - 2)"), F.col("first.size"))
+    return log.select(F.col("first.value").alias("event_id"), F.col("second.value").alias("millis"), (short.isNull() & ((F.col("first.size") + F.col("second.size")) * 2 == F.length("data"))).alias("whole"))
+
+
 def _mapped(df: DataFrame, schema: str, row: Callable[..., tuple]) -> DataFrame:
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
     fields = pa.schema([pa.field(n, kinds[t]) for n, t in (x.split(" ") for x in schema.split(", "))])
