@@ -50,3 +50,15 @@ def test_ranges_of_few_keys_are_listed(spark, n):
     else:
         ends = [0, *R.boundaries(n, R.BUCKETS)]
         assert [(r["kind"], r["lower"], r["upper"]) for r in rows] == [("fingerprint", key(a), key(b) if b < n else None) for a, b in zip(ends, ends[1:])]
+
+
+def test_a_late_row_does_not_bring_in_what_lies_between(spark):
+    store = LogStore(spark, scratch_path(spark, "t"))
+    for i in range(4):
+        store.append(log(spark, range(i * 100_000, i * 100_000 + 50)))
+    m = store.manifest()
+    near = store._old(m, log(spark, [7, 300_010, 300_020, 300_900]), key(7), key(300_900))
+    assert all(m.segments[0] in f or m.segments[3] in f for f in near.inputFiles())
+    assert {int(r["hlc"][:12], 16) for r in near.collect()} >= {7, 300_010, 300_020}
+    assert store.append(log(spark, [7, 300_010, 300_020, 300_900])) == 1
+    store.verify()

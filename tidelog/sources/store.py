@@ -20,6 +20,10 @@ from .directory import Directory, build
 from .log import dropped, materialised
 
 
+#: Parts of a batch's time, each with bounds of its own.
+SPANS = 64
+
+
 class ReplayError(RuntimeError):
     """The store is not at the version that the reader trusts: it was rolled back, or moved on without the reader."""
 
@@ -128,15 +132,23 @@ class LogStore:
         """The stored rows that can have a key of ``batch``: of the segments whose bounds meet the batch's, and there within the batch's bounds
         (files are sorted by timestamp, so most of a large segment is not read). All rows where the timestamp is no part of the key.
         """
-        return self._between(m, *batch.agg(F.min(self.hlc), F.max(self.hlc)).first())
+        lo, hi = batch.agg(F.min(self.hlc), F.max(self.hlc)).first()
+        return self._within(m, [] if lo is None else [(lo, hi)])
 
-    def _between(self, m: Manifest, lo: str | None, hi: str | None) -> DataFrame | None:
+    def _within(self, m: Manifest, spans: list[tuple[str, str]]) -> DataFrame | None:
         if self.hlc not in self.keys:
             return self.read(m.version)
-        if lo is None:
-            return None
-        meet = [f"{self.path}/{s}" for s, b in zip(m.segments, m.bounds) if b is None or (b[0] <= hi and lo <= b[1])]
-        return self.spark.read.parquet(*meet).filter(F.col(self.hlc).between(lo, hi)) if meet else None
+        meet = [f"{self.path}/{s}" for s, b in zip(m.segments, m.bounds) if any(b is None or (b[0] <= hi and lo <= b[1]) for lo, hi in spans)]
+        return self.spark.read.parquet(*meet).filter(reduce(or_, [F.col(self.hlc).between(lo, hi) for lo, hi in spans])) if meet and spans else None
+
+    def _old(self, m: Manifest, batch: DataFrame, lo: str | None, hi: str | None) -> DataFrame | None:
+        """``near`` with the bounds of up to ``SPANS`` parts of the batch's time, so that one late row beside new ones does not bring in all that lies between."""
+        if lo is None or self.hlc not in self.keys or not any(b is None or (b[0] <= hi and lo <= b[1]) for b in m.bounds):
+            return self._within(m, [])
+        first = int(lo[:12], 16)
+        part = (F.conv(F.substring(self.hlc, 1, 12), 16, 10).cast("long") - first) / ((int(hi[:12], 16) - first) // SPANS + 1)
+        spans = batch.groupBy(part.cast("long").alias("p")).agg(F.min(self.hlc), F.max(self.hlc)).orderBy("p").collect()  # SPANS rows at most
+        return self._within(m, [(r[1], r[2]) for r in spans])
 
     def directory(self, version: int | None = None) -> Directory:
         """Order statistics and fingerprints of the keys at a version."""
@@ -165,7 +177,7 @@ class LogStore:
         if got["bare"]:
             dropped(fresh)
             raise ValueError(f"{got['bare']} keys of the batch are null")
-        old = self._between(m, got["lo"], got["hi"]) if m.segments else None
+        old = self._old(m, fresh, got["lo"], got["hi"]) if m.segments else None
         n = got["n"]
         if old is not None:
             batch, fresh = fresh, materialised(S.missing(fresh, old, self.keys), "fresh")
