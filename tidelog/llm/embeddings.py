@@ -135,9 +135,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
     spark = rows.sparkSession
     all_rows, dt = vectors(rows, id_col, vec_col, label_col)
     all_rows = written(all_rows, "vectors")
-    groups = written(all_rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
-    reps = all_rows.join(groups.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("vec_id") == F.col("rep"))).dropDuplicates(["d"])
-    reps = written(reps.select("d", "rep", "n", "label", "dim", "vec"), "reps")
+    # Of equal vectors one goes on: rows of a digest have the same label, dim and vec.
+    reps = all_rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("d")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in ("label", "dim", "vec")])
+    reps = written(reps, "reps")
     length = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if length is None:
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -227,13 +227,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE,
         return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(links[own]), pa.array(rep[root[own]])], names=["rep", "links", "root"])
 
     found = written(chosen.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(link, "rep long, links long, root long"), "links")
-    dropped(reps)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     components = connected_components(edges).select(F.col("node").alias("rep"), "component")
-    named = groups.join(counts, "rep", "left").join(components, "rep", "left")
-    named = written(named.select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("c")), "named")
-    for scratch in (groups, found, components):
+    named = reps.select("d", "rep", "n").join(counts, "rep", "left").join(components, "rep", "left")
+    named = written(named.select("d", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("c")), "named")
+    for scratch in (reps, found, components):
         dropped(scratch)
     out = all_rows.select("vec_id", "digest").join(named, F.col("digest") == F.col("d"), "left")
     component = F.coalesce("c", "vec_id")
