@@ -10,7 +10,7 @@ from tidelog.sources.log import scratch, shared_dir
 from .test_changelog import SF
 
 
-@pytest.mark.parametrize("query", ["rle_nodes", "reconcile_full", "store_append_idempotent", "store_range_fingerprints", "lww_rejected"])
+@pytest.mark.parametrize("query", ["rle_nodes", "reconcile_full", "store_append_idempotent", "store_range_fingerprints"])
 def test_nothing_is_left_after_a_query(spark, query):
     before = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/tidelog/*"))
     with scratch(spark) as folder:

@@ -110,10 +110,10 @@ def test_the_clock_is_passed_in(spark):
 def test_no_message_has_more_than_its_ranges(spark, monkeypatch):
     keys = range(600)
     a, b = SE.QueueTransport.pair()
-    x, y = SE.Session(store(spark, [k for k in keys if k % 10]), OWNER, a), SE.Session(store(spark, [k for k in keys if k % 7]), OWNER, b)
+    x, y = SE.Session(store(spark, [k for k in keys if k % 10 or k > 150]), OWNER, a), SE.Session(store(spark, [k for k in keys if k % 7 or k > 150]), OWNER, b)
     SE.run(x, y, max_rounds=80)
     assert x.state is y.state is SE.State.SYNCED
-    assert {r["hlc"] for r in x.log().collect()} == {r["hlc"] for r in y.log().collect()} == {hlc(k) for k in keys if k % 10 or k % 7}
+    assert {r["hlc"] for r in x.log().collect()} == {r["hlc"] for r in y.log().collect()} == {hlc(k) for k in keys if k % 10 or k % 7 or k > 150}
     messages = [W.read_message(m) for m in a.sent + b.sent]
     assert max(len(m.ranges) for m in messages) <= SE.RANGES and len(messages) > 8
     assert max(sum(len(r.stamps or []) for r in m.ranges) for m in messages) <= SE.RANGES * (R.LISTED - 1)
