@@ -35,12 +35,12 @@ def test_spread_differences_in_bounded_rounds(spark, monkeypatch):
     keys = [k * 37 for k in range(700)]
     x, y = {k for i, k in enumerate(keys) if i % 10}, {k for i, k in enumerate(keys) if i % 7}
     a, b = stores(spark, x, y)
-    d = DE.descend(a, b, ranges=24, keys=24 * 31)
+    d = DE.descend(a, b, ranges=24, keys=24 * 31, listed=32)
     assert lacking(d.found) == (y - x, x - y) and d.done
     assert all(r.opened <= 24 and r.compared <= 24 * 16 and r.listed <= 24 and r.keys <= 24 * 31 for r in d.rounds) and len(d.rounds) > 2
-    part = DE.descend(a, b, ranges=24, keys=24 * 31, max_rounds=2)
+    part = DE.descend(a, b, ranges=24, keys=24 * 31, listed=32, max_rounds=2)
     assert not part.done and len(part.cursor["open"]) + len(part.cursor["few"]) <= 24 * 16 * 2
-    rest = DE.descend(a, b, ranges=24, keys=24 * 31, cursor=part.cursor)
+    rest = DE.descend(a, b, ranges=24, keys=24 * 31, listed=32, cursor=part.cursor)
     assert lacking(part.found.unionByName(rest.found)) == (y - x, x - y)
     assert [*part.rounds, *rest.rounds] == d.rounds
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..sources.log import dropped, materialised, scratch_path
 from ..sources.store import LogStore
-from . import ranges as R
 
 #: Ranges that a round opens, and ranges that it lists, at most; keys that it lists at most.
-RANGES, KEYS = 1024, 1 << 20
+RANGES, KEYS = 8192, 1 << 20
+#: Keys from which on a side's range is opened rather than listed.
+LISTED = 256
 #: Ranges that an open one is cut into by one more digit, and the digits of a key.
 WIDTH, DIGITS = 16, 32
 
@@ -42,18 +43,18 @@ class Descent:
         return not self.cursor["open"] and not self.cursor["few"]
 
 
-def descend(a: LogStore, b: LogStore, ranges: int = RANGES, keys: int = KEYS, max_rounds: int | None = None, cursor: dict[str, list] | None = None) -> Descent:
+def descend(a: LogStore, b: LogStore, ranges: int = RANGES, keys: int = KEYS, listed: int = LISTED, max_rounds: int | None = None, cursor: dict[str, list] | None = None) -> Descent:
     """Finds the keys that either store lacks.
 
     A range is the keys with a common beginning; an open one is cut by its next digits, and of the pieces those stay that have different fingerprints or
-    counts. A piece is listed when both sides have fewer than ``R.LISTED`` keys in it, or one has none at all and the other no more than a round may
+    counts. A piece is listed when both sides have fewer than ``listed`` keys in it, or one has none at all and the other no more than a round may
     list; the rest are opened in turn, lowest first, so that what waits is a few times a round's ranges however many differences there are.
 
     A round opens and lists at most ``ranges`` ranges each and lists at most ``keys`` keys. Fingerprints come from the stores' directories (no inner rows are read);
     listed keys are compared by a join and written, never collected. After ``max_rounds`` it stops, to be continued by the cursor.
     """
-    if keys < 2 * (R.LISTED - 1):
-        raise ValueError(f"a round must be able to list one range: {2 * (R.LISTED - 1)} keys")
+    if keys < 2 * (listed - 1):
+        raise ValueError(f"a round must be able to list one range: {2 * (listed - 1)} keys")
     spark, path = a.spark, scratch_path(a.spark, "differences")
     spark.createDataFrame([], FOUND).write.parquet(path)
     out = Descent(spark.read.schema(FOUND).parquet(path))
@@ -66,7 +67,7 @@ def descend(a: LogStore, b: LogStore, ranges: int = RANGES, keys: int = KEYS, ma
         pieces = _cut([p for p, _, _ in taken], ranges)
         if pieces:
             differ = _differing(left, right, pieces)
-            short = lambda p, n, m: max(n, m) < R.LISTED or (min(n, m) == 0 and n + m <= keys) or len(p) >= DIGITS
+            short = lambda p, n, m: max(n, m) < listed or (min(n, m) == 0 and n + m <= keys) or len(p) >= DIGITS
             few += [x for x in differ if short(*x)]
             open_ = [x for x in differ if not short(*x)] + open_
         now, n = [], 0

@@ -495,8 +495,8 @@ def reconcile_descent(spark: SparkSession, d: str) -> DataFrame:
 def reconcile_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Whether every round of a descent kept to its budget, of a quarter of the usual ranges, and how many differences were found."""
     a, b = (_store(spark, x.select("event_id", "hlc"), 1) for x in _replicas(spark, d))
-    out = DE.descend(a, b, DE.RANGES // 4, DE.RANGES * R.LISTED // 4)
-    bounded = all(max(r.opened, r.listed) <= DE.RANGES // 4 and r.compared <= DE.RANGES // 4 * DE.WIDTH and r.keys <= DE.RANGES * R.LISTED // 4 for r in out.rounds)
+    out = DE.descend(a, b, DE.RANGES // 4, DE.KEYS // 4)
+    bounded = all(max(r.opened, r.listed) <= DE.RANGES // 4 and r.compared <= DE.RANGES // 4 * DE.WIDTH and r.keys <= DE.KEYS // 4 for r in out.rounds)
     return out.found.agg(F.count(F.lit(1)).alias("found")).select(F.lit(bounded and out.done).alias("bounded"), "found")
 
 

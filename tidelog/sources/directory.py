@@ -73,17 +73,20 @@ class Directory:
         return self.nodes.filter(F.col("depth") == STEP).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *FP.xor())
 
     def below(self, bounds: DataFrame) -> DataFrame:
-        """(bound, n, lanes) of the keys below each distinct bound of ``bounds`` (bound, not null). A row a bound and level meets one row of siblings."""
+        """(bound, n, lanes) of the keys below each distinct bound of ``bounds`` (bound, not null). What a level adds is worked out once for all bounds with the same
+        beginning, by a running sum over the siblings, and a row a bound and level meets it.
+        """
         bounds = bounds.select("bound").distinct()
         depth = F.explode(F.array(*[F.lit(d) for d in range(STEP, DEEPEST + 1, STEP)]))
         steps = bounds.withColumn("depth", depth).withColumn("parent", F.expr(f"left(bound, depth - {STEP})")).withColumn("child", F.expr("left(bound, depth)"))
-        merged = self.nodes.groupBy("depth", "prefix").agg(F.sum("n").alias("n"), *FP.xor()).withColumn("parent", F.expr(f"left(prefix, depth - {STEP})"))
-        siblings = merged.groupBy(F.col("depth").alias("d"), F.col("parent").alias("p")).agg(F.collect_list(F.struct("prefix", "n", *FP.LANES)).alias("under"))  # at most 256
-        met = steps.join(siblings, (F.col("depth") == F.col("d")) & (F.col("parent") == F.col("p")))
-        smaller = F.filter("under", lambda x: x["prefix"] < F.col("child"))
-        add = lambda c: F.aggregate(smaller, F.lit(0).cast("long"), lambda a, x: a + x[c])
-        xor = lambda c: F.aggregate(smaller, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x[c]))
-        inner = met.select("bound", add("n").alias("n"), *[xor(c).alias(c) for c in FP.LANES])
+        steps = materialised(steps, "steps")
+        merged = self.nodes.groupBy("depth", F.col("prefix").alias("child")).agg(F.sum("n").alias("n"), *FP.xor()).withColumn("parent", F.expr(f"left(child, depth - {STEP})"))
+        asked = steps.select("depth", "parent", "child").distinct()  # a few hundred under one parent, however many bounds there are
+        none = [F.lit(0).cast("long").alias(c) for c in ("n", *FP.LANES)]
+        both = merged.withColumn("_node", F.lit(1)).unionByName(asked.select("*", *none, F.lit(0).alias("_node")))
+        before = Window.partitionBy("depth", "parent").orderBy("child", "_node").rowsBetween(Window.unboundedPreceding, 0)
+        smaller = both.select("depth", "child", "_node", F.sum("n").over(before).alias("n"), *[F.bit_xor(c).over(before).alias(c) for c in FP.LANES]).filter("_node = 0")
+        inner = steps.join(smaller, ["depth", "child"]).select("bound", "n", *FP.LANES)
         leaves = self.nodes.filter("leaf").select(F.col("depth").alias("d"), "prefix", "segment")
         edges = materialised(steps.join(leaves, (F.col("depth") == F.col("d")) & (F.col("child") == F.col("prefix"))).select("bound", "segment", "prefix"), "edges")
         at = edges.select("bound", "prefix", F.col("segment").alias("s"))
@@ -100,7 +103,7 @@ class Directory:
         found = inner.groupBy("bound").agg(F.sum("n").alias("n"), *FP.xor())
         out = bounds.join(found, "bound", "left")
         out = materialised(out.select("bound", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", *FP.LANES)]), "below")
-        dropped(edges)
+        dropped(edges, steps)
         return out
 
     def fingerprints(self, ranges: DataFrame) -> DataFrame:
