@@ -14,7 +14,7 @@ from .common import dropped, pick, table, written
 #: Labelled documents that the classifier reads at most: those whose ids have the smallest hashes.
 MAX_LABELLED = 20_000
 #: Domains at most: the model has a number a feature and domain, and a round of ``fit`` a sum a pair of domains.
-MAX_DOMAINS = 64
+MAX_DOMAINS = 128
 #: Words are hashed to so many features, all of which count; with the number of domains this bounds the broadcast model.
 FEATURES = 1 << 17
 BREAKS = "[\\s.,;:!?\"'()]+"
