@@ -11,12 +11,12 @@ from .common import dropped, written
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of comparable ids -> (node, component): each node with an edge and the smallest node it reaches.
 
-    Nothing is collected. Every round ends in a written table; the tables of rounds before are deleted. The joins are plain equi-joins between exchanged sides, so
+    Nothing is collected. ``edges`` is computed once and need not be a written table. Every round ends in a written table; the tables of rounds before are deleted. The joins are plain equi-joins between exchanged sides, so
     adaptive execution splits a node or label that has very many rows; the minimum is taken by partial aggregates first.
     Null ends and self-loops: dropped, so a node with no other edge is not in the result. No edges: an empty result.
     """
-    both = edges.select("a", "b").filter("a <> b")
-    both = written(both.union(both.select("b", "a").toDF("a", "b")).distinct(), "edges")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")
+    both = written(edges.filter("a <> b").select(ends).select(F.col("e.v").alias("a"), F.col("e.w").alias("b")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).toDF("v", "l"), "labels")
     while True:
         near = both.join(labels, both["a"] == labels["v"]).groupBy("b").agg(F.min("l").alias("m"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, table
 
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 20
+#: Words whose ids a worker remembers; beyond it the memory starts anew. A worker lives on through later stages, and its memory with it.
+REMEMBERED = 1 << 18
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 

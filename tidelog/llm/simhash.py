@@ -156,13 +156,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    edges = written(links(least.select("fp"), tau), "links")
-    found = connected_components(edges)
-    dropped(edges)
+    found = connected_components(links(least.select("fp"), tau))
     low = found.join(least, found["node"] == least["fp"]).groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = written(found.join(low, "component").select(F.col("node").alias("fp"), "component_id"), "linked")
+    linked = found.join(low, "component").select(F.col("node").alias("fp"), "component_id")
     named = written(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
-    for scratch in (found, linked, least):
+    for scratch in (found, least):
         dropped(scratch)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

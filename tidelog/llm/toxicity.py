@@ -26,8 +26,8 @@ FEATURES = 1 << 18
 SIGNIFICANT = 3.0
 #: Tasks that share the labelled rows of a fit.
 TASKS = 8
-#: Words whose features a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 20
+#: Words whose features a worker remembers; beyond it the memory starts anew. A worker lives on through later stages, and its memory with it.
+REMEMBERED = 1 << 17
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-"
 
 SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
