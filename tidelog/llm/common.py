@@ -42,6 +42,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows for which a table of ``few_files`` gets a file, and the files that a small one may have.
+FILE_ROWS, FILES = 1 << 18, 8
+
+
+def few_files(df: DataFrame, rows: int = 0) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in partitions for few files: on a local disk each file starts child processes of the executor (``chmod``).
+
+    The last stage runs in as many tasks, so it should do little for each row and its keys should have few rows each.
+    """
+    return df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew for few files by one more small shuffle, which leaves the stage before as it is; adaptive execution cuts what is large."""
+    return df.hint("rebalance", FILES)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made, once nothing will read it again."""
     spark = df.sparkSession
@@ -61,12 +78,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in the one column of ``ids``, all columns as they were; a null id equals a null id."""
+def keep_ids(docs: DataFrame, ids: DataFrame, kept: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id has a row in ``ids`` (doc_id and any others) for which ``kept`` holds, all columns as they were; a null id equals
+    a null id. Each id of ``docs`` must be in ``ids``: the others, mostly few, are written and joined, so that whole texts are shuffled only where they are many.
+    """
     names = docs.columns
     at = names.index(id_col)
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return plain.join(ids.toDF("_id"), F.col(f"_c{at}").eqNullSafe(F.col("_id")), "left_semi").toDF(*names)
+    gone = ids.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.expr(kept)).alias("stays")).filter("NOT stays").select("_id")
+    return plain.join(written(evenly(gone), "gone"), F.col(f"_c{at}").eqNullSafe(F.col("_id")), "left_anti").toDF(*names)
 
 
 #: Rows of a table that is broadcast at most.

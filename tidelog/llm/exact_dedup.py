@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_ids, new_path, pick, table, written
+from .common import few_files, keep_ids, new_path, pick, table, written
 
 
 class DigestIndex:
@@ -58,10 +58,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     adaptive execution splits.
     """
     rows = written(pick(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest")), "digests")
-    groups = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "groups")
+    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     known = index.rows.select("digest", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n"), F.lit(True).alias("old"))
-    stats = written(groups.hint("merge").join(known, "digest", "left"), "groups")
-    index.append(groups)
+    stats = written(few_files(groups.hint("merge").join(known, "digest", "left"), rows.count()), "groups")
+    index.append(stats)
     out = rows.join(stats, "digest").select(
         "doc_id",
         F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -81,7 +81,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were. Rows that repeat both id and text are cut to one."""
     found = exact_dedup(docs, index, id_col, text_col)
-    kept = keep_ids(docs, found.filter("kept").select("doc_id"), id_col)
+    kept = keep_ids(docs, found, "kept", id_col)
     if found.filter("kept").count() == kept.count():
         return kept
     names = kept.columns

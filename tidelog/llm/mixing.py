@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, pick, table, written
+from .common import dropped, few_files, pick, table, written
 
 #: Labelled documents that the classifier reads at most: those whose ids have the smallest hashes.
 MAX_LABELLED = 20_000
@@ -49,7 +49,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domain_col: str = "domain",
     priors = [float(shares.get(d, 1)) / max(total, 1) for d in domains]
     k = range(len(domains))
     counts = texts.select("dom", F.explode("ws").alias("w")).filter("w <> ''").select("dom", feature("w").alias("f")).groupBy("f")
-    counts = written(counts.agg(*[F.count(F.when(F.col("dom") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)]), "features")
+    counts = written(few_files(counts.agg(*[F.count(F.when(F.col("dom") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)]), FEATURES), "features")
     dropped(texts)
     sums = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in k], F.count(F.lit(1)).alias("v")).first()
     everything = float(max(sum(sums[f"n{i}"] for i in k), 1))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, keep_ids, pick, split_hot, table, whole_groups, written
+from .common import dropped, few_files, keep_ids, pick, split_hot, table, whole_groups, written
 from .components import connected_components
 
 BITS = 64
@@ -155,11 +155,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal fingerprints are compared once. Repeated rows are kept. Empty input: no rows. Extra columns are not looked at.
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    n = fps.count()
+    least = written(few_files(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), n), "distinct")
     found = connected_components(links(least.select("fp"), tau))
     low = found.join(least, found["node"] == least["fp"]).groupBy("component").agg(F.min("low").alias("component_id"))
     linked = found.join(low, "component").select(F.col("node").alias("fp"), "component_id")
-    named = written(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
+    named = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    named = written(few_files(named, n), "named")
     for scratch in (found, least):
         dropped(scratch)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -168,7 +170,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest; rows with a null id stay. All columns as they were."""
     found = near_groups(docs, id_col, text_col)
-    return keep_ids(docs, found.filter("doc_id <=> component_id OR doc_id IS NULL").select("doc_id").distinct(), id_col)
+    return keep_ids(docs, found, "doc_id <=> component_id OR doc_id IS NULL", id_col)
 
 
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

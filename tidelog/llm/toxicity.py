@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", max_labell
             found = [_features.of(t.as_py()).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["id", "y", "words"])
 
-    coded = written(texts.select("id", "y", "text").mapInArrow(index, "id long, y int, words binary"), "labelled")
+    coded = written(texts.select("id", "y", "text").mapInArrow(index, "id long, y int, words binary").coalesce(4 * TASKS), "labelled")
     kinds = {r["y"]: r["n"] for r in coded.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").collect()}  # grades that occur, in order
     if len(kinds) < 2 or 0 not in kinds:
         dropped(coded)
