@@ -799,7 +799,7 @@ def stream_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
 GROUP BY node, run HAVING max(millis) + 7200000 <= (SELECT max(millis) FROM log) - 3600000""")
 def stream_session_windows(spark: SparkSession, d: str) -> DataFrame:
     _, stream = _thirds(spark, d, False)
-    return WI.run(WI.windowed(stream, F.session_window("at", "2 hours"), "1 hour", ["node"]), scratch_path(spark, "windows"), scratch_path(spark, "checkpoint"))
+    return WI.run(WI.windowed(stream, WI.session(7_200_000), "1 hour", ["node"]), scratch_path(spark, "windows"), scratch_path(spark, "checkpoint"))
 
 
 @query("SELECT count(*)::BIGINT AS messages, count(DISTINCT node)::BIGINT AS nodes FROM log")

@@ -13,16 +13,25 @@ def timed(stream: DataFrame, delay: str, millis: str = "millis") -> DataFrame:
     return stream.withColumn("at", F.timestamp_millis(millis)).withWatermark("at", delay)
 
 
+def session(gap: int) -> Column:
+    """Sessions of the column ``at``, each up to ``gap`` milliseconds after its last row; a row at just that time begins the next.
+
+    ``F.session_window`` takes such a row into the session before, so it gets a gap that is a microsecond shorter, which tells no other times in milliseconds apart.
+    """
+    return F.session_window("at", f"{gap * 1000 - 1} microseconds")
+
+
 def windowed(stream: DataFrame, window: Column, delay: str, by: list[str] | None = None, millis: str = "millis", hlc: str = "hlc") -> DataFrame:
     """Per window (and ``by``): begin and finish in milliseconds, n and fp.
 
-    ``window`` is of the column ``at``: ``F.window("at", width)`` for tumbling windows, with a slide for sliding ones, or ``F.session_window("at", gap)``.
+    ``window`` is of the column ``at``: ``F.window("at", width)`` for tumbling windows, with a slide for sliding ones, or ``session(gap)``.
     In append mode a window comes once, when the watermark has passed its end. A row whose window was closed by then is late: it is left out here
     and counted by ``late``; the log itself keeps it. State is bounded by the windows that are open.
     """
     rows = timed(FP.with_lanes(stream, hlc), delay, millis)
     out = rows.groupBy(window.alias("w"), *(by or [])).agg(F.count(F.lit(1)).alias("n"), *FP.xor())
-    return out.select(*(by or []), F.unix_millis("w.start").alias("begin"), F.unix_millis("w.end").alias("finish"), "n", FP.text().alias("fp"))
+    finish = F.unix_millis(F.col("w.end") + F.expr("INTERVAL 999 MICROSECONDS"))  # the end of a session is a microsecond early
+    return out.select(*(by or []), F.unix_millis("w.start").alias("begin"), finish.alias("finish"), "n", FP.text().alias("fp"))
 
 
 def run(windows: DataFrame, path: str, checkpoint: str) -> DataFrame:
