@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bulk as B
 from ..functions import encodings as E
 from ..functions import fingerprint as FP
 from ..functions import hlc as H
@@ -542,13 +545,26 @@ def varint_read(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mapped(df: DataFrame, schema: str, row: Callable[..., tuple]) -> DataFrame:
+    """``row`` of each row. A function marked ``_batched`` has another beside it that does most rows of a batch at once."""
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
     fields = pa.schema([pa.field(n, kinds[t]) for n, t in (x.split(" ") for x in schema.split(", "))])
 
+    def by_row(columns: list[pa.Array]) -> list[pa.Array]:
+        out = [row(*r) for r in zip(*(c.to_pylist() for c in columns))]
+        return [pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(fields), fields)]
+
+    def whole(columns: list[pa.Array]) -> list[pa.Array]:
+        done, out = row.many(*columns)
+        rest = np.flatnonzero(~done)
+        out = [c.cast(f.type) for c, f in zip(out, fields)]
+        if not len(rest):
+            return out
+        others = by_row([B.taken(c, rest) for c in columns])
+        return [B.in_order([(np.flatnonzero(done), c), (rest, o)]) for c, o in zip(out, others)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [row(*r) for r in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(fields), fields)], schema=fields)
+            yield pa.RecordBatch.from_arrays((whole if b.num_rows and hasattr(row, "many") else by_row)(b.columns), schema=fields)
 
     return df.mapInArrow(run, schema)
 
@@ -570,7 +586,7 @@ KEY, NONCE = bytes(range(32)), bytes(24)
 
 def _sealed(e: int, hlc: str, user: int, kind: str, v: float) -> tuple[int, str, bytes]:
     stamp = bytes.fromhex(hlc)
-    change = W.Change("events", user.to_bytes(16, "big"), {kind: v, "user": user}, True)
+    change = W.Change("events", user.to_bytes(16, "big"), {kind: v, "user" if kind != "user" else "user_id": user}, True)
     return e, hlc, W.seal_change(change, stamp, KEY, stamp + bytes(8))
 
 
@@ -579,26 +595,79 @@ def _opened(e: int, hlc: str, data: bytes) -> tuple:
         c = W.unseal_change(data, bytes.fromhex(hlc), KEY)
     except W.WireError as x:
         return e, None, None, None, str(x)
-    kind, v = next(iter(c.values.items()))
-    return e, c.values["user"], kind, v, None
+    (kind, v), (_, user) = c.values.items()
+    return e, user, kind, v, None
 
 
 OPENED = "event_id long, user_id long, event_type string, value double, error string"
 SENT = "sent_user long, sent_type string, sent_value double"
 
 
+def _batched(many: Callable[..., tuple[np.ndarray, list[pa.Array]]]) -> Callable:
+    """Marks a function of a row with its form for the columns of a batch. This gives which rows it has done, and the results of these; the others are done by row."""
+
+    def mark(row: Callable) -> Callable:
+        row.many = many
+        return row
+
+    return mark
+
+
+def _all_sent(*columns: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    stamp, done = B.stamps(columns[1])
+    mine = pc.and_(pc.greater_equal(columns[2], 0), pc.not_equal(columns[3], "user"))
+    done &= pc.fill_null(mine, False).to_numpy(zero_copy_only=False)
+    e, hlc, user, kind, v = (B.taken(c, np.flatnonzero(done)) for c in columns)
+    if not len(e):
+        return done, [e, hlc, pa.array([], pa.binary()), user, kind, v]
+    stamp, eight = stamp[done], np.zeros((len(e), 8), np.uint8)
+    ids = np.concatenate([eight, user.to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)], 1)
+    plain = B.plain_inserts("events", stamp, ids, [(kind, B.numbers(v)), ("user", B.integers(user))])
+    return done, [e, hlc, B.seal_changes(plain, KEY, np.concatenate([stamp, eight], 1)), user, kind, v]
+
+
+def _all_back(e: pa.Array, hlc: pa.Array, data: pa.Array, *sent: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    (stamp, good), done = B.stamps(hlc), np.zeros(len(e), bool)
+    parts: list[tuple[np.ndarray, list[pa.Array]]] = []
+    for at, nonces, sealed in B.sealed_parts(data):
+        plain, right = B.unseal(KEY, nonces, sealed)
+        fault = ~right | (plain[:, 1:17] != stamp[at]).any(1)
+        r = B.Readers(plain)
+        r.odd |= plain[:, 0] > 127
+        r.skip(18)  # version, timestamp and flags
+        r.string()
+        r.skip(16)
+        r.odd |= r.varint() != 2
+        kind, (v, null), name, user = r.string(), r.number(), r.string(), r.integer()
+        r.odd |= ~r.texts_are(*name, b"user")
+        ok = good[at] & (fault | ~r.odd)
+        try:
+            kinds = r.texts(kind[0], np.where(fault | r.odd, 0, kind[1])).cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8 somewhere
+            continue
+        done[at[ok]], bad = True, pa.array(fault)
+        error = pc.if_else(bad, pc.if_else(pa.array(right), "TimestampMismatch", "DecryptFailed"), pa.scalar(None, pa.string()))
+        columns = [pa.array(user, mask=fault), pc.if_else(bad, pa.scalar(None, pa.string()), kinds), pa.array(v, mask=fault | null), error]
+        parts.append((at[ok], [B.taken(c, np.flatnonzero(ok)) for c in columns]))
+    mine = np.flatnonzero(done)
+    opened = [B.in_order([(at, columns[i]) for at, columns in parts]) if parts else pa.nulls(0) for i in range(4)]
+    return done, [B.taken(e, mine), *opened, *(B.taken(c, mine) for c in sent)]
+
+
+@_batched(_all_sent)
 def _sent(e: int, hlc: str, user: int, kind: str, v: float) -> tuple:
     return *_sealed(e, hlc, user, kind, v), user, kind, v
 
 
+@_batched(_all_back)
 def _back(e: int, hlc: str, data: bytes, *sent: object) -> tuple:
     return *_opened(e, hlc, data), *sent
 
 
 def _codec(log: DataFrame, stamp: Column) -> DataFrame:
-    """Every row of ``log`` sealed, then opened under ``stamp``, beside what was sent. The cipher is slow, so rows are dealt to all cores first."""
-    log = log.repartition(log.sparkSession.sparkContext.defaultParallelism)
-    sealed = _mapped(log.select("event_id", "hlc", "user_id", "event_type", "value"), f"event_id long, hlc string, data binary, {SENT}", _sent)
+    """Every row of ``log`` sealed, then opened under ``stamp``, beside what was sent. The cipher takes most of the time, so rows are dealt to all cores first."""
+    log = log.select("event_id", "hlc", "user_id", "event_type", "value").repartition(log.sparkSession.sparkContext.defaultParallelism, "event_id")
+    sealed = _mapped(log, f"event_id long, hlc string, data binary, {SENT}", _sent)
     return _mapped(sealed.withColumn("hlc", stamp), f"{OPENED}, {SENT}", _back)
 
 
